@@ -6,9 +6,16 @@ from importlib import import_module
 
 #: Query name: module of this subpackage that has a function of that name.
 QUERIES = {
+    "op1_main_text": "html_extract",
+    "op2_decontaminate": "decontam",
+    "op3_line_dedup": "line_dedup",
+    "op4_near_dups": "minhash",
     "op5_quality": "quality",
+    "op6_url_filter": "url_filter",
+    "op7_toxicity": "toxicity",
     "op8_langid": "langid",
     "op9_packing": "packing",
+    "op10_secrets": "secrets",
 }
 
 
