@@ -53,7 +53,7 @@ _SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 FEATURES = ["bias", "run", "other_tag", *(f"tag {t}" for t in TAGS), *(f"name {k}" for k in NAMES), "hidden"]
-FEATURES += ["short", "medium", "long", "very_long", "sentence", "linked_some", "linked_all", "copyright"]
+FEATURES += ["short", "medium", "long", "very_long", "sentence", "linked_some", "linked_all", "copyright", *(f"in {t}" for t in TAGS), "in other"]
 #: Elements that hold text rather than other blocks: their edges have potentials of their own.
 TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre figure figcaption tr tbody thead ul ol dl table address".split())
 KINDS = 3
@@ -84,6 +84,7 @@ def features(nodes: list[Node]) -> list[list[int]]:
                 f.append(_AT["linked_all" if node.linked > 0.8 * n else "linked_some"])
             if "©" in node.text or "copyright" in node.text[:200].lower():
                 f.append(_AT["copyright"])
+            f.append(_AT.get(f"in {nodes[node.parent].tag}", _AT["in other"]))
         out.append(f)
     return out
 

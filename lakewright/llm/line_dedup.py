@@ -101,7 +101,7 @@ def banded_distance(a: Column, b: Column, threshold: int) -> Column:
     places = F.when(F.length(b) > 0, F.sequence(F.lit(0), F.length(b) - 1)).otherwise(F.array().cast("array<int>"))
     last = F.aggregate(places, start, step)
     end = F.length(a) - F.length(b) + t
-    within = [F.when(F.shiftright(last[name[e]], end).bitwiseAND(F.lit(1)) == 1, e) for e in range(t + 1)]
+    within = [F.when(F.call_function("shiftright", last[name[e]], end).bitwiseAND(F.lit(1)) == 1, e) for e in range(t + 1)]
     return F.when((end >= 0) & (end < width), F.coalesce(*within))
 
 
@@ -190,7 +190,7 @@ def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MI
     unique = F.size(F.array_distinct(lines)) == F.size(lines)
     none = F.array().cast("array<bigint>")
     left = F.filter(lines, lambda x: short(x) | ~F.array_contains(F.coalesce("__gone", none), F.xxhash64(x)))
-    once = F.when(unique, left).otherwise(F.filter(left, lambda x, i: short(x) | (F.array_position(left, x) == i + 1)))
+    once = F.when(unique, left).otherwise(F.filter(left, lambda x, i: short(x) | (F.call_function("array_position", left, x) == i + 1)))
     out = keyed.join(found, "__doc", "left").withColumns({"__kept": once, "__n_lines": F.coalesce(F.size(lines), F.lit(0))})
     text = F.when(F.col("text").isNull(), F.lit(None).cast("string")).otherwise(F.array_join("__kept", "\n"))
     columns = [text.alias(c) if c == "text" else docs[c] for c in docs.columns]

@@ -113,7 +113,8 @@ FIXED = [
 
 def op6_url_filter(spark, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return judge(captures_of(pages), entries_of(pages)).withColumnRenamed("capture_id", "page_id")
+    out = judge(captures_of(pages), entries_of(pages)).withColumnRenamed("capture_id", "page_id")
+    return out.withColumn("day", F.col("day").cast("string"))
 
 
 ORACLE_SQL = r"""
@@ -134,6 +135,6 @@ v AS (SELECT *, lead(day) OVER (PARTITION BY list, key ORDER BY day) AS to_day F
 m AS (SELECT k.rid, length(k.key) AS n, v.action = 'block' AS block, k.key FROM (SELECT rid, day, unnest(keys) AS key FROM c) k
       JOIN v ON k.key = v.key AND v.action IN ('block', 'allow') AND k.day >= v.day AND (v.to_day IS NULL OR k.day < v.to_day)),
 r AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY n DESC, block DESC, key DESC) AS place, count(*) OVER (PARTITION BY rid) AS n_active FROM m)
-SELECT c.page_id, c.url, c.day, c.host, coalesce(r.n_active, 0) AS n_active, coalesce(r.block, false) AS blocked, r.key AS rule
+SELECT c.page_id, c.url, CAST(c.day AS VARCHAR) AS day, c.host, coalesce(r.n_active, 0) AS n_active, coalesce(r.block, false) AS blocked, r.key AS rule
 FROM c LEFT JOIN r ON c.rid = r.rid AND r.place = 1
 """
