@@ -82,14 +82,14 @@ def banded_distance(a: Column, b: Column, threshold: int) -> Column:
     """
     t, width = threshold, 2 * threshold + 1
     letters = lambda s: F.regexp_extract_all(s, F.lit("(?s)."), F.lit(0))  # noqa: E731  code points
-    x, y = F.concat(F.array_repeat(F.lit(""), t), letters(a)), letters(b)
+    once = F.array(F.struct(F.concat(F.array_repeat(F.lit(""), t), letters(a)).alias("x"), letters(b).alias("y")))
     name = [f"r{e}" for e in range(t + 1)]
 
-    def step(s: Column, j: Column) -> Column:
-        c = F.get(y, j)
-        eq = F.lit(0)
-        for k in range(width):
-            eq = eq + F.when(F.get(x, j + k) == c, 1 << k).otherwise(0)
+    def agreeing(c: Column, j: Column, x: Column) -> Column:
+        bits = [F.when(F.get(x, j + k) == c, 1 << k).otherwise(0) for k in range(width)]
+        return sum(bits[1:], bits[0])
+
+    def step(s: Column, eq: Column) -> Column:
         new = [s["r0"].bitwiseAND(eq)]
         for e in range(1, t + 1):
             less = s[name[e - 1]]
@@ -98,11 +98,12 @@ def banded_distance(a: Column, b: Column, threshold: int) -> Column:
         return F.struct(*[v.alias(n) for v, n in zip(new, name, strict=True)])
 
     start = F.struct(*[F.lit(sum(1 << (t + i) for i in range(e + 1))).alias(name[e]) for e in range(t + 1)])
-    places = F.when(F.length(b) > 0, F.sequence(F.lit(0), F.length(b) - 1)).otherwise(F.array().cast("array<int>"))
-    last = F.aggregate(places, start, step)
     end = F.length(a) - F.length(b) + t
-    within = [F.when(F.call_function("shiftright", last[name[e]], end).bitwiseAND(F.lit(1)) == 1, e) for e in range(t + 1)]
-    return F.when((end >= 0) & (end < width), F.coalesce(*within))
+    # A lambda's variable is evaluated once: the letters, and then the last vectors, are bound by transforms over one element.
+    last = F.transform(once, lambda p: F.aggregate(F.transform(p["y"], lambda c, j: agreeing(c, j, p["x"])), start, step))
+    level = lambda v: F.call_function("shiftright", v, end).bitwiseAND(F.lit(1))
+    within = F.get(F.transform(last, lambda r: F.array_position(F.array(*[level(r[n]) for n in name]), 1) - 1), F.lit(0))
+    return F.when((end >= 0) & (end < width), F.when(within >= 0, within))
 
 
 def _candidates(lines: DataFrame, threshold: int) -> DataFrame:

@@ -19,8 +19,13 @@ QUERIES = {
 }
 
 
+def pipeline(spark, sf_dir: str):
+    return import_module("corpus_pipeline").run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {name: getattr(import_module(f"lakewright.llm.{module}"), name) for name, module in QUERIES.items()}
+    found = {name: getattr(import_module(f"lakewright.llm.{module}"), name) for name, module in QUERIES.items()}
+    return found | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:

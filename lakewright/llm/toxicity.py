@@ -68,6 +68,17 @@ def trigram_means(vocabulary: list[str], vectors: np.ndarray) -> tuple[np.ndarra
     return sums.astype(np.float32), code, owner
 
 
+def _sum_by(n: int, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sums of ``rows`` by the number in ``at``, below n."""
+    out = np.zeros((n, rows.shape[1]), np.float32)
+    if len(at):
+        order = np.argsort(at, kind="stable")
+        sorted_at = at[order]
+        starts = np.flatnonzero(np.concatenate([[True], sorted_at[1:] != sorted_at[:-1]]))
+        out[sorted_at[starts]] = np.add.reduceat(rows[order], starts, axis=0)
+    return out
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
@@ -136,16 +147,17 @@ class Network:
         for k, dirn in enumerate("fb"):
             part = dstates[:, :, k * HIDDEN : (k + 1) * HIDDEN]
             U, dU, dh = self.p[f"U{dirn}"], np.zeros_like(self.p[f"U{dirn}"]), np.zeros((len(y), HIDDEN), np.float32)
-            dgates = np.zeros((len(x), 3 * HIDDEN), np.float32)
+            per_word = np.zeros((*idx.shape, 3 * HIDDEN), np.float32)
             for t, h, z, r, c, uc in reversed(memory[dirn]):
                 dh = dh + part[t]
                 on = live[:, t, None]
                 dz, dc = dh * on * (c - h) * z * (1 - z), dh * on * z * (1 - c * c)
                 dr = dc * uc * r * (1 - r)
                 du = np.concatenate([dz, dr, dc * r], 1)
-                np.add.at(dgates, idx[:, t], np.concatenate([dz, dr, dc], 1))
+                per_word[:, t] = np.concatenate([dz, dr, dc], 1)
                 dU += h.T @ du
                 dh = dh * (1 - on * z) + du @ U.T
+            dgates = _sum_by(len(x), idx.reshape(-1), per_word.reshape(-1, 3 * HIDDEN))
             g |= {f"U{dirn}": dU, f"W{dirn}": x.T @ dgates, f"c{dirn}": dgates.sum(0)}
             dx += dgates @ self.p[f"W{dirn}"].T
         return g, dx
@@ -241,10 +253,9 @@ def fit(texts: list[list[str]], toxic: np.ndarray, epochs: int = EPOCHS) -> Netw
             x = np.concatenate([np.zeros((1, SIZE), np.float32), vectors])
             g, dx = net.gradients(x, back, y[o], weight[o])
             dx = dx[1:]
-            g["word"], g["char"] = np.zeros_like(net.p["word"]), np.zeros_like(net.p["char"])
-            np.add.at(g["word"], numbers, dx)
+            g["word"] = _sum_by(len(net.p["word"]), numbers, dx)
             n = np.maximum(np.bincount(at, minlength=len(dx)), 1)[:, None]
-            np.add.at(g["char"], code, (dx / n)[at])
+            g["char"] = _sum_by(TRIGRAMS, code, (dx / n).astype(np.float32)[at])
             step += 1
             for k, v in g.items():  # Adam
                 m, s = state[k]
