@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakewright.operators import aggregates
+from lakewright.functions import scalars as S
+from lakewright.operators import aggregates, joins, sets, text, topk, windows
+from lakewright.plans import graph
 
 Query = Callable[..., DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -44,3 +46,523 @@ def _t(spark, sf_dir: str, name: str) -> DataFrame:
 )
 def stats_by_group(spark, sf_dir):
     return aggregates.stats_by_group(_t(spark, sf_dir, "documents"), F.col("source"), F.col("n_chars"))
+
+
+# Text search
+
+LINES_SQL = """SELECT doc_id, CAST(i AS BIGINT) AS line_no, string_split(text, chr(10))[i] AS line FROM
+    (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE length(text) > 0)
+    WHERE NOT (i = len(string_split(text, chr(10))) AND string_split(text, chr(10))[i] = '')"""
+
+
+@query("text_lines", LINES_SQL)
+def text_lines(spark, sf_dir):
+    return text.lines(_t(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+
+
+@query("grep_lines", f"SELECT * FROM ({LINES_SQL}) WHERE contains(line, 'the')")
+def grep_lines(spark, sf_dir):
+    return text.grep(_t(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "the")
+
+
+@query("grep_ignore_case", f"SELECT * FROM ({LINES_SQL}) WHERE contains(lower(line), 'license')")
+def grep_ignore_case(spark, sf_dir):
+    return text.grep(_t(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "LICENSE", ignore_case=True)
+
+
+@query("grep_totals", f"SELECT (SELECT count(*) FROM documents) AS files, count(*) AS match_count FROM ({LINES_SQL}) WHERE contains(line, 'the')")
+def grep_totals(spark, sf_dir):
+    return text.grep_totals(_t(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "the")
+
+
+@query("grep_first_hits", f"SELECT doc_id, line_no, trim(line, ' ') AS line FROM ({LINES_SQL}) WHERE contains(line, 'the') ORDER BY doc_id, line_no LIMIT 40")
+def grep_first_hits(spark, sf_dir):
+    return text.grep_first(_t(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "the")
+
+
+@query("suffix_glob", "SELECT c_name FROM customer WHERE c_name LIKE '%7' ORDER BY c_name LIMIT 40")
+def suffix_glob(spark, sf_dir):
+    return text.suffix_first(_t(spark, sf_dir, "customer").select("c_name"), "c_name", "7")
+
+
+@query("glob_names", "SELECT p_partkey, p_name FROM part WHERE regexp_full_match(p_name, '.*a.e.*', 's')")
+def glob_names(spark, sf_dir):
+    return _t(spark, sf_dir, "part").select("p_partkey", "p_name").where(S.glob_match(F.col("p_name"), "**a?e*"))
+
+
+@query("find_filter", "SELECT doc_id, source, n_chars FROM documents WHERE source IN ('src1', 'src2', 'src3') AND n_chars BETWEEN 500 AND 2000 AND lang LIKE 'e%'")
+def find_filter(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", "lang")
+    found = text.find(docs, F.col("source"), F.col("n_chars"), S.glob_match(F.col("lang"), "e*"), ["SRC1", ".src2", "src3"], F.col("source"), 500, 2000, order=["doc_id"])
+    return found.select("doc_id", "source", "n_chars")
+
+
+@query("find_limited", "SELECT doc_id, n_chars FROM documents WHERE n_chars <= 400 ORDER BY doc_id LIMIT 25")
+def find_limited(spark, sf_dir):
+    return text.find(_t(spark, sf_dir, "documents").select("doc_id", "n_chars"), F.col("doc_id"), F.col("n_chars"), high=400, limit=25)
+
+
+@query("ascii_page_find", "SELECT page_id, url FROM pages WHERE contains(translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '/de/')")
+def ascii_page_find(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", "url").where(text.ascii_contains(F.col("url"), "/DE/"))
+
+
+@query("line_window", f"SELECT * FROM ({LINES_SQL}) WHERE line_no > 2 AND line_no <= 5")
+def line_window(spark, sf_dir):
+    return text.line_window(_t(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", 2, 3)
+
+
+@query("section_read", "SELECT doc_id, string_split(text, chr(10))[1] AS section FROM documents")
+def section_read(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", text.nth(F.split("text", "\n"), 1).alias("section"))
+
+
+@query("replace_once", """SELECT doc_id, CAST((length(text) - length(replace(text, 'license', ''))) / 7 AS BIGINT) AS matches,
+    CASE WHEN (length(text) - length(replace(text, 'license', ''))) / 7 = 1 THEN replace(text, 'license', 'licence') END AS text FROM documents""")
+def replace_once(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", text.replace_once(F.col("text"), "license", "licence").alias("r")).select("doc_id", "r.*")
+
+
+@query("catalog_search", "SELECT p_partkey, p_name, p_type FROM part WHERE contains(lower(p_name), 'brass') OR contains(lower(p_type), 'brass')")
+def catalog_search(spark, sf_dir):
+    return text.catalog_search(_t(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type"), "Latten", ["p_name", "p_type"], {"latten": "brass"})
+
+
+@query("front_end_search", "SELECT c_custkey FROM customer WHERE contains(lower(c_name || ' ' || c_mktsegment), 'build')")
+def front_end_search(spark, sf_dir):
+    customers = _t(spark, sf_dir, "customer")
+    return customers.where(F.contains(F.lower(F.concat_ws(" ", "c_name", "c_mktsegment")), F.lit("build"))).select("c_custkey")
+
+
+@query("argument_validation", """SELECT l_orderkey, l_linenumber, CASE WHEN NOT l_quantity BETWEEN 1 AND 45 THEN 'range' WHEN l_returnflag NOT IN ('N', 'R') THEN 'enum' WHEN l_tax >= 0.08 THEN 'tax' END AS violation
+    FROM lineitem WHERE l_orderkey <= 400""")
+def argument_validation(spark, sf_dir):
+    rows = _t(spark, sf_dir, "lineitem").where("l_orderkey <= 400")
+    rules = {"range": F.col("l_quantity").between(1, 45), "enum": F.col("l_returnflag").isin("N", "R"), "tax": F.col("l_tax") < 0.08}
+    return text.violations(rows, rules).select("l_orderkey", "l_linenumber", "violation")
+
+
+@query("audit_like_or_topk", "SELECT event_id, event_type FROM events WHERE event_type LIKE 'view%' OR event_type LIKE 'click%' ORDER BY event_id DESC NULLS LAST LIMIT 50")
+def audit_like_or_topk(spark, sf_dir):
+    return topk.matching_any_like(_t(spark, sf_dir, "events").select("event_id", "event_type"), "event_type", ["view%", "click%"], "event_id")
+
+
+# Joins
+
+
+@query("nested_left_join", """SELECT c_custkey, coalesce(n_orders, 0) AS n_orders, coalesce(ids, '') AS order_ids FROM customer LEFT JOIN
+    (SELECT o_custkey, count(*) AS n_orders, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS ids FROM orders GROUP BY o_custkey) ON c_custkey = o_custkey""")
+def nested_left_join(spark, sf_dir):
+    nested = joins.nest(_t(spark, sf_dir, "customer").select("c_custkey"), _t(spark, sf_dir, "orders"), "c_custkey", "o_custkey", ["o_orderkey", "o_orderstatus"], "orders")
+    ids = F.array_join(F.transform("orders", lambda o: o["o_orderkey"].cast("string")), ",")
+    return nested.select("c_custkey", F.size("orders").cast("long").alias("n_orders"), ids.alias("order_ids"))
+
+
+@query("children_of", "SELECT o_orderkey FROM orders WHERE o_custkey = 7")
+def children_of(spark, sf_dir):
+    return _t(spark, sf_dir, "orders").where("o_custkey = 7").select("o_orderkey")
+
+
+@query("existence_check", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+def existence_check(spark, sf_dir):
+    keys = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return joins.existing(_t(spark, sf_dir, "customer").select("c_custkey"), keys, "c_custkey")
+
+
+@query("cascade_delete", """SELECT 'customer' AS kind, count(*) AS n FROM customer WHERE c_mktsegment <> 'BUILDING'
+    UNION ALL SELECT 'orders', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')""")
+def cascade_delete(spark, sf_dir):
+    customers, orders = _t(spark, sf_dir, "customer"), _t(spark, sf_dir, "orders")
+    parents, children = joins.cascade_delete(customers, orders, "c_custkey", "o_custkey", customers.where("c_mktsegment = 'BUILDING'"))
+    n = lambda df, kind: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "n")
+    return n(parents, "customer").unionByName(n(children, "orders"))
+
+
+@query("retention_prune", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders ORDER BY o_orderkey DESC LIMIT 500)")
+def retention_prune(spark, sf_dir):
+    return joins.beyond_newest(_t(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 500)
+
+
+@query("two_way_orphans", """SELECT count(*) FILTER (l.doc_id IS NOT NULL AND r.doc_id IS NULL) AS left_only, count(*) FILTER (l.doc_id IS NULL) AS right_only,
+    count(*) FILTER (l.doc_id IS NOT NULL AND r.doc_id IS NOT NULL) AS matched FROM (SELECT DISTINCT doc_id FROM documents) l FULL JOIN (SELECT DISTINCT doc_id FROM labels) r ON l.doc_id = r.doc_id""")
+def two_way_orphans(spark, sf_dir):
+    return joins.two_way_orphans(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("three_state_refs", "SELECT doc_id, doc_id IN (SELECT doc_id FROM labels) AS resolved FROM documents")
+def three_state_refs(spark, sf_dir):
+    return joins.three_state(_t(spark, sf_dir, "documents").select("doc_id"), _t(spark, sf_dir, "labels").withColumnRenamed("doc_id", "label_id"), "doc_id", "label_id")
+
+
+@query("override_or_default", """SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 7 = 0 THEN 'seven' END, CASE o_orderstatus WHEN 'F' THEN 'final' WHEN 'O' THEN 'open' END) AS kind FROM orders""")
+def override_or_default(spark, sf_dir):
+    orders = _t(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    overrides = orders.where("o_orderkey % 7 = 0").select("o_orderkey", F.lit("seven").alias("kind"))
+    defaults = spark.createDataFrame([("F", "final"), ("O", "open")], "ext string, kind string")
+    return joins.override_or_default(orders, overrides, defaults, "o_orderkey", F.col("o_orderstatus"), "kind").select("o_orderkey", "kind")
+
+
+@query("as_of_owner", """SELECT e.event_id, max(p.event_id) AS last_purchase FROM events e LEFT JOIN events p
+    ON e.user_id = p.user_id AND p.event_type = 'purchase' AND p.event_id <= e.event_id GROUP BY e.event_id""")
+def as_of_owner(spark, sf_dir):
+    events = _t(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    bought = events.where("event_type = 'purchase'").select("user_id", "event_id", F.col("event_id").alias("last_purchase"))
+    return joins.as_of(events, bought, ["user_id"], "event_id", "event_id", "last_purchase").select("event_id", "last_purchase")
+
+
+@query("rename_collisions", "SELECT c_mktsegment AS target, count(*) AS n, c_mktsegment = 'BUILDING' AS exists FROM customer GROUP BY 1 HAVING count(*) > 1 OR c_mktsegment = 'BUILDING'")
+def rename_collisions(spark, sf_dir):
+    taken = spark.createDataFrame([("BUILDING",)], "target string")
+    return joins.collisions(_t(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("target")), "target", taken)
+
+
+@query("address_index", """SELECT l_partkey, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS n FROM lineitem) WHERE n = 1""")
+def address_index(spark, sf_dir):
+    return joins.first_of_each(_t(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber"), ["l_partkey"], ["l_orderkey", "l_linenumber"])
+
+
+@query("unambiguous_alias", "SELECT user_id, min(event_type) AS event_type FROM events WHERE event_id % 50 = 0 GROUP BY user_id HAVING count(DISTINCT event_type) = 1")
+def unambiguous_alias(spark, sf_dir):
+    return joins.unambiguous(_t(spark, sf_dir, "events").where("event_id % 50 = 0"), "user_id", "event_type")
+
+
+@query("alias_conflicts", "SELECT count(*) AS conflicts FROM (SELECT c_nationkey FROM customer GROUP BY 1 HAVING count(DISTINCT c_mktsegment) > 1)")
+def alias_conflicts(spark, sf_dir):
+    return joins.ambiguous(_t(spark, sf_dir, "customer"), "c_nationkey", "c_mktsegment")
+
+
+RECTS = "SELECT l_suppkey AS g, l_orderkey * 10 + l_linenumber AS id, CAST(floor(l_quantity) AS BIGINT) AS x0, CAST(floor(l_quantity) + l_linenumber AS BIGINT) AS x1, CAST(floor(l_discount * 100) AS BIGINT) AS y0, CAST(floor(l_discount * 100) + 1 AS BIGINT) AS y1 FROM {}"
+
+
+@query("rect_overlap", f"WITH r AS ({RECTS.format('lineitem WHERE l_orderkey % 20 = 0')}) SELECT a.g, a.id AS earlier, b.id AS later FROM r a JOIN r b ON a.g = b.g AND a.id < b.id AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1")
+def rect_overlap(spark, sf_dir):
+    _t(spark, sf_dir, "lineitem").createOrReplaceTempView("__lineitem")
+    return joins.rect_overlaps(spark.sql(RECTS.format("__lineitem WHERE l_orderkey % 20 = 0")), ["g"])
+
+
+@query("domain_suffix_join", """SELECT p.page_id, c.name FROM (SELECT page_id, regexp_extract(url, '://([^/:?#]+)', 1) AS host FROM pages) p
+    JOIN (VALUES ('example.com', 'a'), ('example.net', 'b'), ('www.example.com', 'c')) c(domain, name) ON p.host = c.domain OR p.host LIKE '%.' || c.domain""")
+def domain_suffix_join(spark, sf_dir):
+    pages = _t(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "://([^/:?#]+)", 1).alias("host"))
+    cookies = spark.createDataFrame([("example.com", "a"), ("example.net", "b"), ("www.example.com", "c")], "domain string, name string")
+    return joins.domain_suffix(pages, "host", cookies, "domain").select("page_id", "name")
+
+
+@query("fallback_match", """SELECT p_partkey, rule_id, priority FROM (SELECT p_partkey, r.rule_id, CASE WHEN p_type = key THEN 0 WHEN contains(p_type, key) THEN 1 END AS priority,
+    row_number() OVER (PARTITION BY p_partkey ORDER BY CASE WHEN p_type = key THEN 0 WHEN contains(p_type, key) THEN 1 END, r.rule_id) AS n
+    FROM part LEFT JOIN (VALUES (1, 'STEEL'), (2, 'BRASS'), (3, 'ECONOMY')) r(rule_id, key) ON p_type = key OR contains(p_type, key)) WHERE n = 1""")
+def fallback_match(spark, sf_dir):
+    rules = spark.createDataFrame([(1, "STEEL"), (2, "BRASS"), (3, "ECONOMY")], "rule_id int, key string")
+    parts = _t(spark, sf_dir, "part").select("p_partkey", "p_type")
+    return joins.best_match(parts, "p_partkey", rules, [F.col("p_type") == F.col("key"), F.contains("p_type", "key")]).select("p_partkey", "rule_id", "priority")
+
+
+# Aggregates
+
+
+@query("dedup_groups", """SELECT n_chars AS size, sha256(text) AS digest, count(*) AS n, min(doc_id) AS first, n_chars * (count(*) - 1) AS wasted FROM documents
+    WHERE n_chars >= 10 GROUP BY n_chars, text HAVING count(*) > 1""")
+def dedup_groups(spark, sf_dir):
+    return aggregates.duplicate_groups(_t(spark, sf_dir, "documents"), F.col("text"), F.col("n_chars"), F.col("doc_id"), 10)
+
+
+@query("text_tally", r"""SELECT doc_id, length(text) AS chars, length(regexp_replace(text, '\s', '', 'g')) AS dense_chars, CAST(len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS BIGINT) AS words,
+    CAST(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S'))) AS BIGINT) AS paragraphs FROM documents""")
+def text_tally(spark, sf_dir):
+    return aggregates.text_tally(_t(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+
+
+@query("scoped_tally", """SELECT 'all' AS scope, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM documents UNION ALL SELECT 'en', CAST(sum(n_chars) AS BIGINT) FROM documents WHERE lang = 'en'
+    UNION ALL SELECT 'other', CAST(sum(n_chars) AS BIGINT) FROM documents WHERE lang <> 'en'""")
+def scoped_tally(spark, sf_dir):
+    scopes = {"all": F.lit(True), "en": F.col("lang") == "en", "other": F.col("lang") != "en"}
+    return aggregates.scoped_tally(_t(spark, sf_dir, "documents"), scopes, ["n_chars"])
+
+
+@query("declared_vs_actual", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE n_chars = length(text) END AS right_count FROM documents")
+def declared_vs_actual(spark, sf_dir):
+    declared = F.when(F.col("doc_id") % 5 != 0, F.col("n_chars"))
+    return _t(spark, sf_dir, "documents").select("doc_id", aggregates.declared_equals(declared, F.length("text")).alias("right_count"))
+
+
+@query("value_census", "SELECT event_type AS value, count(*) AS n, min(event_id) AS first_seen FROM events WHERE event_type IS NOT NULL GROUP BY 1")
+def value_census(spark, sf_dir):
+    return aggregates.census(_t(spark, sf_dir, "events"), "event_type", "event_id")
+
+
+@query("written_states", "SELECT count(*) FILTER (v IS NULL) AS n_null, count(*) FILTER (v = '') AS n_empty, count(*) FILTER (v <> '') AS n_other FROM (SELECT CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 3 = 1 THEN '' ELSE text END AS v FROM documents)")
+def written_states(spark, sf_dir):
+    v = F.when(F.col("doc_id") % 3 == 1, "").when(F.col("doc_id") % 3 == 2, F.col("text"))
+    return aggregates.written_states(_t(spark, sf_dir, "documents").select(v.alias("v")), "v")
+
+
+@query("workbook_totals", """SELECT l_returnflag, count(*) AS cells, count(*) FILTER (l_tax = 0) AS n_zero_tax, count(*) FILTER (l_discount > 0.05) AS n_discounted, count(DISTINCT l_suppkey) AS n_suppliers FROM lineitem GROUP BY 1""")
+def workbook_totals(spark, sf_dir):
+    return _t(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("cells"), F.count_if(F.col("l_tax") == 0).alias("n_zero_tax"), F.count_if(F.col("l_discount") > 0.05).alias("n_discounted"), F.count_distinct("l_suppkey").alias("n_suppliers"))
+
+
+@query("ext_totals", "SELECT count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS total, (SELECT string_agg(lang || '=' || n, ',' ORDER BY lang) FROM (SELECT lang, count(*) AS n FROM documents GROUP BY 1)) AS by_ext FROM documents")
+def ext_totals(spark, sf_dir):
+    out = aggregates.ext_totals(_t(spark, sf_dir, "documents"), F.col("lang"), F.col("n_chars"))
+    return out.withColumn("by_ext", F.array_join(F.transform(F.map_entries("by_ext"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ","))
+
+
+@query("proofread_report", """SELECT l_orderkey, bool_and(l_quantity < 50) AS passed, count(*) FILTER (l_discount > 0.09) AS warnings FROM lineitem GROUP BY 1""")
+def proofread_report(spark, sf_dir):
+    return _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.bool_and(F.col("l_quantity") < 50).alias("passed"), F.count_if(F.col("l_discount") > 0.09).alias("warnings"))
+
+
+@query("grid_diff", """SELECT CAST(floor(l_linenumber / 2.0) AS BIGINT) AS gx, CAST(floor(l_quantity / 10) AS BIGINT) AS gy, count(*) AS n,
+    round(avg(abs(floor(l_tax * 100) - floor(l_discount * 100)) / 255.0), 9) AS score FROM lineitem GROUP BY 1, 2""")
+def grid_diff(spark, sf_dir):
+    pixels = _t(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("x"), F.col("l_quantity").alias("y"), F.floor(F.col("l_tax") * 100).alias("a"), F.floor(F.col("l_discount") * 100).alias("b"))
+    return aggregates.grid_diff(pixels, 2, 10).withColumn("score", F.round("score", 9))
+
+
+@query("band_usage", """SELECT band, low, high, count(DISTINCT p_size) AS used, high - low + 1 - count(DISTINCT p_size) AS free, coalesce(string_agg(DISTINCT CAST(p_size AS VARCHAR), ',' ORDER BY CAST(p_size AS VARCHAR)), '') AS ports
+    FROM (VALUES ('a', CAST(1 AS BIGINT), CAST(20 AS BIGINT)), ('b', 21, 60), ('c', 100, 120)) b(band, low, high) LEFT JOIN part ON p_size BETWEEN low AND high GROUP BY band, low, high""")
+def band_usage(spark, sf_dir):
+    bands = spark.createDataFrame([("a", 1, 20), ("b", 21, 60), ("c", 100, 120)], "band string, low long, high long")
+    out = aggregates.band_usage(_t(spark, sf_dir, "part").select(F.col("p_size").alias("port")), bands)
+    return out.withColumn("ports", F.array_join(F.array_sort(F.transform("ports", lambda p: p.cast("string"))), ","))
+
+
+@query("success_counter", "SELECT c_custkey, CAST(sum(n) AS BIGINT) AS success_count, max(ts) AS last_used FROM (SELECT c_custkey, 2 AS n, CAST(0 AS BIGINT) AS ts FROM customer UNION ALL SELECT o_custkey, 1, o_orderkey FROM orders) GROUP BY 1")
+def success_counter(spark, sf_dir):
+    old = _t(spark, sf_dir, "customer").select("c_custkey", F.lit(2).cast("long").alias("success_count"), F.lit(0).cast("long").alias("last_used"))
+    return aggregates.success_counter(old, _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("at")), "c_custkey")
+
+
+# Ordered operators
+
+SPANS = "SELECT l_orderkey AS g, CAST(l_linenumber * 10 AS BIGINT) AS s, CAST(floor(l_quantity / 3) AS BIGINT) AS n FROM {}"
+GAPS_SQL = f"""SELECT g, kind, start, length FROM (SELECT g, s, e, r, unnest([{{'kind': 'gap', 'start': r, 'length': s - r}}, {{'kind': 'claimed', 'start': greatest(s, coalesce(r, s)), 'length': e - greatest(s, coalesce(r, s))}}], recursive := true)
+    FROM (SELECT g, s, s + n AS e, max(s + n) OVER (PARTITION BY g ORDER BY s, s + n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM ({SPANS.format('lineitem')}))) WHERE length > 0 AND start IS NOT NULL"""
+
+
+@query("interval_gaps", GAPS_SQL)
+def interval_gaps(spark, sf_dir):
+    _t(spark, sf_dir, "lineitem").createOrReplaceTempView("__lineitem")
+    return windows.interval_gaps(spark.sql(SPANS.format("__lineitem")), ["g"], "s", "n")
+
+
+@query("region_totals", f"SELECT g, CAST(coalesce(sum(length) FILTER (kind = 'claimed'), 0) AS BIGINT) AS claimed, CAST(coalesce(sum(length) FILTER (kind = 'gap'), 0) AS BIGINT) AS unreferenced FROM ({GAPS_SQL}) GROUP BY g")
+def region_totals(spark, sf_dir):
+    return windows.region_totals(interval_gaps(spark, sf_dir), ["g"])
+
+
+@query("adjacent_merge", """SELECT user_id, CAST(run AS BIGINT) AS run, event_type, min(event_id) AS first, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM
+    (SELECT *, CASE WHEN event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) OR row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1 THEN 1 ELSE 0 END AS new FROM events)) GROUP BY 1, 2, 3""")
+def adjacent_merge(spark, sf_dir):
+    return windows.adjacent_runs(_t(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), ["user_id"], ["event_id"], ["event_type"])
+
+
+@query("latest_per_name", "SELECT o_custkey, max_by(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey, max_by(o_orderstatus, (o_orderdate, o_orderkey)) AS o_orderstatus FROM orders GROUP BY 1")
+def latest_per_name(spark, sf_dir):
+    return windows.latest_of_each(_t(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], ["o_orderkey", "o_orderstatus"])
+
+
+@query("first_per_key", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders) WHERE n = 1")
+def first_per_key(spark, sf_dir):
+    return joins.first_of_each(_t(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey")
+
+
+@query("newest_percent", "SELECT user_id, least(greatest(max_by(value, event_id) * 100.0 / 250, 0), 100) AS percent FROM events GROUP BY 1")
+def newest_percent(spark, sf_dir):
+    return windows.newest_percent(_t(spark, sf_dir, "events"), ["user_id"], "event_id", "value", F.lit(250.0))
+
+
+@query("next_same_before_boundary", """SELECT event_id, CASE WHEN event_type IN ('view', 'click') THEN coalesce(nxt = event_type, false) END AS keep FROM (SELECT *, first_value(CASE WHEN event_type IN ('view', 'click') THEN event_type WHEN event_type = 'error' THEN 'b' END IGNORE NULLS)
+    OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM events)""")
+def next_same_before_boundary(spark, sf_dir):
+    t = F.col("event_type")
+    return windows.keep_if_same_next(_t(spark, sf_dir, "events"), ["user_id"], ["event_id"], t.isin("view", "click"), t == "error", "event_type").select("event_id", "keep")
+
+
+@query("inherited_rows", """SELECT event_id, CASE WHEN event_type <> 'error' THEN last_value(CASE WHEN event_type <> 'error' THEN v END IGNORE NULLS) OVER (PARTITION BY user_id, c ORDER BY event_id) ELSE v END AS effective FROM
+    (SELECT *, CASE WHEN event_type = 'view' THEN value END AS v, sum(CASE WHEN event_type <> 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id) AS c FROM events)""")
+def inherited_rows(spark, sf_dir):
+    events = _t(spark, sf_dir, "events").withColumn("v", F.when(F.col("event_type") == "view", F.col("value")))
+    return windows.inherit(events, ["user_id"], "event_id", "v", F.col("event_type") != "error").select("event_id", "effective")
+
+
+@query("failure_streaks", """SELECT event_id, CAST(sum(f) OVER (PARTITION BY user_id, ok ORDER BY event_id) AS BIGINT) AS streak FROM (SELECT *, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS f,
+    sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id) AS ok FROM events)""")
+def failure_streaks(spark, sf_dir):
+    return windows.failure_streaks(_t(spark, sf_dir, "events"), ["user_id"], "event_id", F.col("event_type") == "error").select("event_id", "streak")
+
+
+@query("feed_high_water", """SELECT event_id FROM (SELECT *, max(v) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mark FROM (SELECT *, CAST(floor(value * 10) AS BIGINT) AS v FROM events WHERE event_type <> '')) WHERE mark IS NULL OR v > mark""")
+def feed_high_water(spark, sf_dir):
+    events = _t(spark, sf_dir, "events").withColumn("v", F.floor(F.col("value") * 10))
+    return windows.high_water(events, ["user_id"], ["event_id"], "v", "event_type").select("event_id")
+
+
+@query("playhead", """WITH f AS (SELECT l_orderkey AS seq, CAST(l_linenumber - 1 AS BIGINT) AS frame, CAST(floor(max(l_quantity)) AS BIGINT) AS t FROM lineitem GROUP BY l_orderkey, l_linenumber),
+    p AS (SELECT *, sum(t) OVER (PARTITION BY seq ORDER BY frame) AS e, sum(t) OVER (PARTITION BY seq) AS al, count(*) OVER (PARTITION BY seq) AS n FROM f),
+    q AS (SELECT *, CASE WHEN 1 >= n THEN 0 ELSE 1 END AS st FROM p), r AS (SELECT *, coalesce(sum(CASE WHEN frame < st THEN t END) OVER (PARTITION BY seq), 0) AS intro FROM q),
+    u AS (SELECT *, CASE WHEN 100 < al THEN 100 ELSE intro + (100 - al) % nullif(al - intro, 0) END AS l FROM r) SELECT seq, CAST(100 AS BIGINT) AS at, frame FROM u WHERE l >= e - t AND l < e""")
+def playhead(spark, sf_dir):
+    lines = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("q"))
+    frames = lines.select(F.col("l_orderkey").alias("seq"), (F.col("l_linenumber") - 1).cast("long").alias("frame"), F.floor("q").alias("t"))
+    return windows.playhead(frames, "seq", "frame", "t", F.lit(1), F.lit(100).cast("long"))
+
+
+# Top-k
+
+
+@query("stats_largest_topk", "SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 10")
+def stats_largest_topk(spark, sf_dir):
+    return topk.largest(_t(spark, sf_dir, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id")
+
+
+@query("recent_runs", "SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 50")
+def recent_runs(spark, sf_dir):
+    return topk.newest(_t(spark, sf_dir, "events").select("event_id", "event_type"), "event_id")
+
+
+@query("log_tail", "SELECT event_id FROM events ORDER BY event_id DESC LIMIT 500")
+def log_tail(spark, sf_dir):
+    return topk.tail(_t(spark, sf_dir, "events").select("event_id"), "event_id", 9999)
+
+
+@query("take_report", "SELECT count(*) AS count, least(count(*), 100) AS listed, count(*) > 100 AS cut FROM events")
+def take_report(spark, sf_dir):
+    return topk.take_report(_t(spark, sf_dir, "events"), "event_id", 0)
+
+
+# Sets
+
+
+@query("union_of_providers", """SELECT name, provider FROM (SELECT 'a__' || c_name AS name, 'a' AS provider FROM customer UNION ALL SELECT 'b__' || s_name, 'b' FROM supplier) ORDER BY name, provider LIMIT 1000""")
+def union_of_providers(spark, sf_dir):
+    parts = {"a": _t(spark, sf_dir, "customer").select(F.col("c_name").alias("name")), "b": _t(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"))}
+    return sets.union_of_providers(parts, "name")
+
+
+@query("endpoint_template", r"""SELECT DISTINCT regexp_extract(url, '://([^/:?#]+)', 1) AS host, regexp_replace(regexp_replace(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/+$', ''), '/[0-9]+$', '/{id}') AS path FROM pages""")
+def endpoint_template(spark, sf_dir):
+    pages = _t(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "://([^/:?#]+)", 1).alias("host"), S.templatize_path(F.regexp_extract("url", "://[^/?#]*([^?#]*)", 1)).alias("path"))
+    return sets.distinct_first(pages, ["host", "path"], ["page_id"]).select("host", "path")
+
+
+@query("sorted_distinct", "SELECT l_orderkey, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS flags FROM lineitem GROUP BY 1")
+def sorted_distinct(spark, sf_dir):
+    rows = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_returnflag").alias("f"))
+    return rows.select("l_orderkey", F.array_join(sets.sorted_distinct(F.col("f")), ",").alias("flags"))
+
+
+@query("membership_difference", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def membership_difference(spark, sf_dir):
+    return joins.missing(_t(spark, sf_dir, "documents").select("doc_id"), _t(spark, sf_dir, "labels").select("doc_id"), "doc_id")
+
+
+@query("category_list", "SELECT DISTINCT split_part(p_brand, '#', 1) AS category FROM part")
+def category_list(spark, sf_dir):
+    return sets.categories(_t(spark, sf_dir, "part"), "p_brand", "#")
+
+
+@query("upsert_keep_first", "SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, 'NEW' FROM customer WHERE c_custkey % 2 = 1")
+def upsert_keep_first(spark, sf_dir):
+    customers = _t(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    return sets.upsert_keep_first(customers.where("c_custkey % 2 = 0"), customers.withColumn("c_mktsegment", F.lit("NEW")), "c_custkey")
+
+
+@query("replace_by_path", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'NEW' ELSE c_mktsegment END AS c_mktsegment FROM customer")
+def replace_by_path(spark, sf_dir):
+    customers = _t(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    return sets.replace_by(customers, customers.where("c_custkey % 3 = 0").withColumn("c_mktsegment", F.lit("NEW")), "c_custkey")
+
+
+@query("cookie_merge", "SELECT user_id, event_type, max_by(value, event_id) AS value FROM events GROUP BY 1, 2")
+def cookie_merge(spark, sf_dir):
+    return sets.last_value_of(_t(spark, sf_dir, "events"), ["user_id", "event_type"], "value", "event_id")
+
+
+# Scalar functions
+
+
+@query("json_pointer", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def json_pointer(spark, sf_dir):
+    return _t(spark, sf_dir, "events").select("event_id", S.json_pointer(F.col("props"), "/k").alias("k"))
+
+
+@query("csv_quote", """SELECT doc_id, CASE WHEN regexp_matches(text, '[",\r\n]') THEN '"' || replace(text, '"', '""') || '"' ELSE text END AS field FROM documents""")
+def csv_quote(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", S.csv_field(F.col("text")).alias("field"))
+
+
+@query("md_cells", "SELECT doc_id, replace(replace(text, '|', '\\|'), chr(10), '<br>') AS cell FROM documents")
+def md_cells(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", S.md_cell(F.col("text")).alias("cell"))
+
+
+@query("text_budget", "SELECT doc_id, CASE WHEN length(text) > 200 THEN text[:200] || '…' ELSE text END AS short, substr(text, 1, 6) || '****' AS masked FROM documents")
+def text_budget(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", S.truncate_budget(F.col("text"), 200).alias("short"), S.secret_mask(F.col("text")).alias("masked"))
+
+
+@query("line_counts", "SELECT doc_id, CAST(CASE WHEN text = '' THEN 0 ELSE length(text) - length(replace(text, chr(10), '')) + CASE WHEN ends_with(text, chr(10)) THEN 0 ELSE 1 END END AS BIGINT) AS n FROM documents")
+def line_counts(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", S.line_count(F.col("text")).alias("n"))
+
+
+@query("digests", "SELECT doc_id, sha256(text) AS sha256, md5(text) AS md5 FROM documents")
+def digests(spark, sf_dir):
+    t = F.col("text").cast("binary")
+    return _t(spark, sf_dir, "documents").select("doc_id", F.sha2(t, 256).alias("sha256"), F.md5(t).alias("md5"))
+
+
+@query("stable_ids", "SELECT c_custkey, h[1:8] || '-' || h[9:12] || '-4' || h[14:16] || '-8' || h[18:20] || '-' || h[21:32] AS id FROM (SELECT c_custkey, md5('own:' || c_name) AS h FROM customer)")
+def stable_ids(spark, sf_dir):
+    return _t(spark, sf_dir, "customer").select("c_custkey", S.stable_id("own", F.col("c_name")).alias("id"))
+
+
+@query("phone_scan", r"SELECT doc_id, unnest(regexp_extract_all(text, '1[3-9][0-9]{9}')) AS phone FROM documents")
+def phone_scan(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("1[3-9][0-9]{9}"), F.lit(0))).alias("phone"))
+
+
+@query("page_hosts", r"SELECT page_id, lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1)) AS host FROM pages")
+def page_hosts(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", F.lower(F.try_parse_url("url", F.lit("HOST"))).alias("host"))
+
+
+@query("slugs", r"SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM part")
+def slugs(spark, sf_dir):
+    return _t(spark, sf_dir, "part").select("p_partkey", S.sanitize_ident(F.col("p_name"), "x").alias("slug"))
+
+
+@query("unit_conversion", "SELECT p_partkey, (2 * 127 * CAST(p_size AS BIGINT) + 72) // (2 * 72) AS hmm FROM part")
+def unit_conversion(spark, sf_dir):
+    return _t(spark, sf_dir, "part").select("p_partkey", S.to_hundredth_mm(F.col("p_size").cast("string"), "twip").alias("hmm"))
+
+
+@query("serial_dates", "SELECT p_partkey, strftime(DATE '1899-12-30' + CAST(p_partkey + 100 AS INT), '%Y-%m-%d') AS iso FROM part")
+def serial_dates(spark, sf_dir):
+    return _t(spark, sf_dir, "part").select("p_partkey", S.serial_to_iso((F.col("p_partkey") + 100).cast("double")).alias("iso"))
+
+
+@query("cell_addresses", """SELECT p_partkey, CASE WHEN p_partkey < 26 THEN chr(CAST(65 + p_partkey AS INT)) WHEN p_partkey < 702 THEN chr(CAST(64 + p_partkey // 26 AS INT)) || chr(CAST(65 + p_partkey % 26 AS INT))
+    ELSE chr(CAST(64 + (p_partkey // 26 - 1) // 26 AS INT)) || chr(CAST(65 + (p_partkey // 26 - 1) % 26 AS INT)) || chr(CAST(65 + p_partkey % 26 AS INT)) END || '8' AS a1 FROM part WHERE p_partkey < 17000""")
+def cell_addresses(spark, sf_dir):
+    return _t(spark, sf_dir, "part").where("p_partkey < 17000").select("p_partkey", S.address(F.lit(7), F.col("p_partkey")).alias("a1"))
+
+
+# Graphs and iteration
+
+
+@query("graph_levels", """WITH RECURSIVE e AS (SELECT DISTINCT n_regionkey AS src, 100 + n_nationkey AS dst FROM nation UNION SELECT 100 + n_nationkey, 1000 + c_mktsegment_id FROM (SELECT DISTINCT c_nationkey AS n_nationkey, length(c_mktsegment) AS c_mktsegment_id FROM customer)),
+    w AS (SELECT DISTINCT src AS node, 0 AS level FROM e WHERE src NOT IN (SELECT dst FROM e) UNION SELECT e.dst, w.level + 1 FROM w JOIN e ON e.src = w.node) SELECT CAST(node AS BIGINT) AS node, CAST(max(level) AS BIGINT) AS level FROM w GROUP BY node""")
+def graph_levels(spark, sf_dir):
+    a = _t(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("long").alias("src"), (F.col("n_nationkey") + 100).cast("long").alias("dst")).distinct()
+    b = _t(spark, sf_dir, "customer").select((F.col("c_nationkey") + 100).cast("long").alias("src"), (F.length("c_mktsegment") + 1000).cast("long").alias("dst")).distinct()
+    return graph.levels(spark, a.unionByName(b))
+
+
+@query("terminal_rows", "SELECT user_id, count(*) FILTER (event_type IN ('purchase', 'error')) AS n_terminal, count(*) FILTER (event_type IN ('purchase', 'error')) = 1 AS ok FROM events GROUP BY 1")
+def terminal_rows(spark, sf_dir):
+    from lakewright.streaming import feeds
+
+    events = _t(spark, sf_dir, "events").withColumn("kind", F.when(F.col("event_type") == "purchase", "Done").when(F.col("event_type") == "error", "Error").otherwise("Tick"))
+    return feeds.terminal_check(events, "user_id", "kind")
