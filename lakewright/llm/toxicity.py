@@ -2,8 +2,8 @@
 
 A text is read in windows of WINDOW words that overlap by OVERLAP; every window of the whole text is
 scored, and the document's score is that of its worst window. A word enters as the sum of a word
-vector (the most telling words of the training rows; others share one vector) and the mean of the
-vectors of its hashed character trigrams. A gated recurrent layer reads the window in either direction,
+vector (the most telling words of the training rows; others share one vector), the mean of the vectors
+of its hashed character trigrams, and the log-odds of its most telling run of 3 to 6 characters. A gated recurrent layer reads the window in either direction,
 attention pools the states, and a logistic unit gives the probability.
 
 The labels are of documents, so the training is multiple-instance learning: windows of clean documents
@@ -36,6 +36,9 @@ from lakewright.llm.quality import chunks
 WINDOW, OVERLAP = 32, 8
 HIDDEN, SIZE = 12, 12
 VOCABULARY, TRIGRAMS = 2048, 4096
+RUNS = 1 << 20
+#: Log-odds count from so many standard errors on.
+CLEAR = 3.0
 POSITIVE, NEGATIVE, TRAIN_WINDOWS = 1200, 2400, 12
 EPOCHS, BATCH, RATE = 5, 256, 0.01
 #: Windows that are run through the network at once.
@@ -68,6 +71,22 @@ def trigram_means(vocabulary: list[str], vectors: np.ndarray) -> tuple[np.ndarra
     return sums.astype(np.float32), code, owner
 
 
+def run_codes(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, below RUNS, of all runs of 3 to 6 bytes of the words and their marked ends, and the word of each."""
+    raw = [f"<{w}>".encode() for w in vocabulary]
+    b = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint32)
+    owner = np.repeat(np.arange(len(raw)), np.fromiter(map(len, raw), np.int64, len(raw)))
+    codes, owners, h = [], [], b.copy()
+    for n in range(2, 7):
+        h = h[:-1] * np.uint32(2654435761) + b[n - 1 :] + np.uint32(n)
+        h = h ^ (h >> np.uint32(15))
+        if n > 2:
+            inside = owner[: len(h)] == owner[n - 1 :]
+            codes.append((h * np.uint32(2246822519) >> np.uint32(12))[inside])
+            owners.append(owner[: len(h)][inside])
+    return np.concatenate(codes), np.concatenate(owners)
+
+
 def _sum_by(n: int, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Sums of ``rows`` by the number in ``at``, below n."""
     out = np.zeros((n, rows.shape[1]), np.float32)
@@ -86,12 +105,13 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class Network:
     """Weights, forward and backward pass. Windows are rows of word numbers, 0 beyond their end."""
 
-    def __init__(self, known: dict[str, float], seed: int = 7) -> None:
+    def __init__(self, known: dict[str, float], runs: np.ndarray | None = None, seed: int = 7) -> None:
         r = np.random.default_rng(seed)
         self.known = {w: i for i, w in enumerate(known, 1)}  # 0: any other word
         weight = lambda *s: (r.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
         word = 0.1 * r.standard_normal((len(known) + 1, SIZE)).astype(np.float32)
         word[1:, 0] += np.clip(np.array(list(known.values()), np.float32), -3, 3)
+        self.runs = runs
         self.p = {"word": word, "char": 0.3 * r.standard_normal((TRIGRAMS, SIZE)).astype(np.float32)}
         for d in ("f", "b"):
             self.p |= {f"W{d}": weight(SIZE, 3 * HIDDEN), f"U{d}": weight(HIDDEN, 3 * HIDDEN), f"c{d}": np.zeros(3 * HIDDEN, np.float32)}
@@ -102,7 +122,18 @@ class Network:
         """Input vectors of distinct words, and what the backward pass needs."""
         numbers = np.fromiter((self.known.get(w, 0) for w in vocabulary), np.int64, len(vocabulary))
         means, code, owner = trigram_means(vocabulary, self.p["char"])
-        return self.p["word"][numbers] + means, (numbers, code, owner)
+        x = self.p["word"][numbers] + means
+        if self.runs is not None and len(vocabulary):
+            x[:, 1] += self.run_odds(vocabulary)
+        return x, (numbers, code, owner)
+
+    def run_odds(self, vocabulary: list[str]) -> np.ndarray:
+        """The largest log-odds of a word's runs of characters, 0 if none is telling."""
+        code, owner = run_codes(vocabulary)
+        out, found = np.zeros(len(vocabulary), np.float32), self.runs[code]
+        telling = found > 0
+        np.maximum.at(out, owner[telling], found[telling].astype(np.float32))
+        return out
 
     def _direction(self, d: str, gates: np.ndarray, idx: np.ndarray, live: np.ndarray, keep: bool):
         """States of one direction, (steps, windows, HIDDEN); ``gates``: what the words alone give."""
@@ -193,20 +224,32 @@ def encode(net: Network, texts: list[list[str]]):
     return np.concatenate([np.zeros((1, SIZE), np.float32), vectors]), idx, owner
 
 
-def _log_odds(texts: list[list[str]], toxic: np.ndarray) -> dict[str, float]:
-    """The most telling words: log-odds of being in a toxic document, largest by z-score first."""
+def _clear_odds(b: np.ndarray, a: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Log-odds of being in a toxic document (in b of n[1], and in a of n[0] clean ones), 0 within CLEAR standard errors."""
+    p, q = (b + 0.5) / (n[1] + 1), (a + 0.5) / (n[0] + 1)
+    odds = np.log(p / (1 - p)) - np.log(q / (1 - q))
+    return np.where(np.abs(odds) * np.sqrt(1 / (1 / (b + 0.5) + 1 / (a + 0.5))) >= CLEAR, odds, 0.0)
+
+
+def _telling(texts: list[list[str]], toxic: np.ndarray) -> tuple[dict[str, float], np.ndarray]:
+    """Log-odds of the most telling words, and of all hashed runs of characters."""
     n = np.array([(~toxic).sum(), toxic.sum()], float)
-    seen: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-    for ws, t in zip(texts, toxic.tolist(), strict=True):
-        for w in set(ws):
-            seen[w][t] += 1
-    found = []
-    for w, (a, b) in seen.items():
-        if a + b >= 3:
-            p, q = (b + 0.5) / (n[1] + 1), (a + 0.5) / (n[0] + 1)
-            odds = np.log(p / (1 - p)) - np.log(q / (1 - q))
-            found.append((abs(odds) / np.sqrt(1 / (b + 0.5) + 1 / (a + 0.5)), w, odds))
-    return {w: float(odds) for _, w, odds in sorted(found, reverse=True)[: VOCABULARY - 1]}
+    number: dict[str, int] = defaultdict(count().__next__)
+    docs = [np.unique(np.fromiter(map(number.__getitem__, ws), np.int64, len(ws))) for ws in texts]
+    seen = np.zeros((2, len(number)))
+    for ids, t in zip(docs, toxic.tolist(), strict=True):
+        seen[int(t), ids] += 1
+    odds, vocabulary = _clear_odds(seen[1], seen[0], n), list(number)
+    best = np.argsort(-np.abs(odds), kind="stable")[: VOCABULARY - 1]
+    words_found = {vocabulary[i]: float(odds[i]) for i in best if odds[i]}
+    code, owner = run_codes(vocabulary) if vocabulary else (np.zeros(0, np.int64),) * 2
+    order = np.argsort(owner, kind="stable")
+    code, cut = code[order], np.searchsorted(owner[order], np.arange(len(vocabulary) + 1))
+    runs = np.zeros((2, RUNS), np.float32)
+    for ids, t in zip(docs, toxic.tolist(), strict=True):
+        mine = np.concatenate([code[cut[i] : cut[i + 1]] for i in ids.tolist()]) if len(ids) else code[:0]
+        runs[int(t), np.unique(mine)] += 1
+    return words_found, np.maximum(_clear_odds(runs[1], runs[0], n), 0).astype(np.float16)
 
 
 def fit(texts: list[list[str]], toxic: np.ndarray, epochs: int = EPOCHS) -> Network | None:
@@ -214,12 +257,15 @@ def fit(texts: list[list[str]], toxic: np.ndarray, epochs: int = EPOCHS) -> Netw
     if toxic.all() or not toxic.any():
         return None
     r = np.random.default_rng(11)
-    odds = _log_odds(texts, toxic)
-    net = Network(odds)
+    odds, runs = _telling(texts, toxic)
+    net = Network(odds, runs)
+    distinct = sorted({w for ws in texts for w in ws})
+    prior = dict(zip(distinct, net.run_odds(distinct).tolist(), strict=True)) if distinct else {}
+    prior = {w: max(v, odds.get(w, 0.0)) for w, v in prior.items()}
     parts, label, owner = [], [], []
     for k, ws in enumerate(texts):
         all_parts = [ws[s : s + WINDOW] for s in window_starts(len(ws))]
-        worth = np.array([max((odds.get(w, 0.0) for w in p), default=0.0) for p in all_parts])
+        worth = np.array([max((prior[w] for w in p), default=0.0) for p in all_parts])
         take = np.argsort(-worth, kind="stable")[: TRAIN_WINDOWS // 2]
         take = np.unique(np.concatenate([take, r.permutation(len(all_parts))[: TRAIN_WINDOWS // 2]]))
         parts += [all_parts[i] for i in take]
@@ -291,7 +337,7 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
     """All columns of ``docs`` and ``score``."""
     if net is None:
         return docs.withColumn("score", F.lit(0.0))
-    shared = docs.sparkSession.sparkContext.broadcast(net)  # weights of fixed size, under 1 MB
+    shared = docs.sparkSession.sparkContext.broadcast(net)  # weights of fixed size, 3 MB
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
