@@ -566,3 +566,89 @@ def terminal_rows(spark, sf_dir):
 
     events = _t(spark, sf_dir, "events").withColumn("kind", F.when(F.col("event_type") == "purchase", "Done").when(F.col("event_type") == "error", "Error").otherwise("Tick"))
     return feeds.terminal_check(events, "user_id", "kind")
+
+
+# Pages and pixels
+
+HTML_LINKS = r"""SELECT page_id, CAST(len(list_distinct(regexp_extract_all(html, '<a href="([^"]*)">[^<]*</a>', 0))) AS BIGINT) AS n_links FROM pages"""
+
+
+@query("distilled_links", HTML_LINKS)
+def distilled_links(spark, sf_dir):
+    from lakewright.functions import html
+
+    pages = _t(spark, sf_dir, "pages").select("page_id", html.distil("url", "html").alias("d"))
+    return pages.select("page_id", F.size("d.links").cast("long").alias("n_links"))
+
+
+@query("distilled_titles")
+def distilled_titles(spark, sf_dir):
+    from lakewright.functions import html
+
+    pages = _t(spark, sf_dir, "pages").select("page_id", html.distil("url", "html").alias("d"))
+    return pages.select("page_id", "d.title", F.size("d.sections").cast("long").alias("n_sections"), F.size("d.tables").cast("long").alias("n_tables"))
+
+
+@query("selector_texts", r"""SELECT page_id, CAST(len(regexp_extract_all(html, '<nav>.*?</nav>')) AS BIGINT) AS n_nav, CAST(len(regexp_extract_all(html, '<li><a')) AS BIGINT) AS n_items FROM pages""")
+def selector_texts(spark, sf_dir):
+    from lakewright.functions import html
+
+    pages = _t(spark, sf_dir, "pages").select("page_id", html.selected_texts("nav")("html").alias("a"), html.selected_texts("nav li > a, nav li a")("html").alias("b"))
+    return pages.select("page_id", F.size("a").cast("long").alias("n_nav"), F.size("b").cast("long").alias("n_items"))
+
+
+PIXELS = "SELECT l_suppkey AS image_id, l_orderkey % 40 AS x, l_linenumber AS y, CAST(floor(l_quantity * 5) AS BIGINT) AS r, CAST(floor(l_discount * 1000) AS BIGINT) AS g, CAST(floor(l_tax * 1000) AS BIGINT) AS b FROM {}"
+
+
+@query("palette_pick", f"""WITH c AS (SELECT image_id, r, g, b, count(*) AS n FROM ({PIXELS.format('lineitem')}) GROUP BY 1, 2, 3, 4), p AS (SELECT * FROM (VALUES ('low', 20, 20, 20), ('mid', 100, 50, 40), ('high', 240, 90, 70)) p(name, pr, pg, pb)),
+    m AS (SELECT image_id, name, sum(CASE WHEN r = pr AND g = pg AND b = pb THEN n ELSE 0 END) AS exact, sum(n) AS near FROM c JOIN p ON greatest(abs(r - pr), abs(g - pg), abs(b - pb)) <= 12 GROUP BY 1, 2),
+    k AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY exact > 0 DESC, CASE WHEN exact > 0 THEN exact ELSE near END DESC, name DESC) AS place FROM m)
+    SELECT i.image_id, k.name, CASE WHEN k.name IS NULL THEN 'none' WHEN exact > 0 THEN 'exact' ELSE 'near' END AS how FROM (SELECT DISTINCT image_id FROM c) i LEFT JOIN k ON i.image_id = k.image_id AND place = 1""")
+def palette_pick(spark, sf_dir):
+    from lakewright.operators import images
+
+    _t(spark, sf_dir, "lineitem").createOrReplaceTempView("__lineitem")
+    palette = spark.createDataFrame([("low", 20, 20, 20), ("mid", 100, 50, 40), ("high", 240, 90, 70)], "name string, r int, g int, b int")
+    return images.pick_color(spark.sql(PIXELS.format("__lineitem")), palette, 12)
+
+
+@query("dominant_colors")
+def dominant_colors(spark, sf_dir):
+    from lakewright.operators import images
+
+    _t(spark, sf_dir, "lineitem").createOrReplaceTempView("__lineitem")
+    return images.dominant_colors(spark.sql(PIXELS.format("__lineitem")), 24)
+
+
+LIFE = "SELECT DISTINCT CAST(l_partkey % 60 AS BIGINT) AS x, CAST(l_orderkey % 50 AS BIGINT) AS y FROM {} WHERE l_orderkey % 7 < 2 AND l_linenumber = 1"
+
+
+@query("life_step", f"""WITH c AS ({LIFE.format('lineitem')}), t AS (SELECT x + dx AS x, y + dy AS y, dx = 0 AND dy = 0 AS own FROM c, (SELECT unnest([-1, 0, 1]) AS dx), (SELECT unnest([-1, 0, 1]) AS dy))
+    SELECT x, y FROM t WHERE x BETWEEN 0 AND 59 AND y BETWEEN 0 AND 49 GROUP BY x, y HAVING count(*) FILTER (NOT own) = 3 OR count(*) FILTER (NOT own) = 2 AND bool_or(own)""")
+def life_step(spark, sf_dir):
+    from lakewright.operators import images
+
+    _t(spark, sf_dir, "lineitem").createOrReplaceTempView("__lineitem")
+    return images.life_step(spark.sql(LIFE.format("__lineitem")), 60, 50)
+
+
+@query("connected_components")
+def connected_components(spark, sf_dir):
+    from lakewright.operators import images
+
+    _t(spark, sf_dir, "lineitem").createOrReplaceTempView("__lineitem")
+    return images.components(spark.sql(f"SELECT 1 AS image_id, * FROM ({LIFE.format('__lineitem')})"))
+
+
+@query("progress_blocks", """SELECT user_id, CAST(block AS BIGINT) AS block, max_by(value, event_id) FILTER (event_type = 'view') AS view FROM (SELECT *, coalesce(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER
+    (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS block FROM events) GROUP BY 1, 2 HAVING bool_or(event_type = 'purchase')""")
+def progress_blocks(spark, sf_dir):
+    events = _t(spark, sf_dir, "events").select("user_id", "event_id", F.concat_ws("=", "event_type", F.col("value").cast("string")).alias("line"))
+    blocks = windows.marker_blocks(events, ["user_id"], "event_id", "line", "purchase")
+    return blocks.select("user_id", "block", F.try_element_at("fields", F.lit("view")).cast("double").alias("view"))
+
+
+@query("first_free_text", "SELECT doc_id, coalesce(nullif(trim(CASE WHEN doc_id % 2 = 0 THEN '  ' ELSE lang END), ''), source) AS v FROM documents")
+def first_free_text(spark, sf_dir):
+    v = S.first_non_empty(F.when(F.col("doc_id") % 2 == 0, F.lit("  ")).otherwise(F.col("lang")), F.col("source"))
+    return _t(spark, sf_dir, "documents").select("doc_id", v.alias("v"))
