@@ -41,7 +41,7 @@ ENDPOINT = r"""https?://[^\s"'<>]+"""
 
 def _found(text: Column, kind: int, pattern: str, value: bool = False) -> Column:
     """Array of (kind, i, gap, length, value): the i-th match, and the characters between it and the one before."""
-    each = rf"(?s)(.*?)({pattern})"
+    each = rf"(?s)\G(.*?)({pattern})"  # \G: each match starts where the last ended, so the end of a text is searched once
     gaps, hits = F.regexp_extract_all(text, F.lit(each), F.lit(1)), F.regexp_extract_all(text, F.lit(each), F.lit(2))
     values = F.regexp_extract_all(text, F.lit(each), F.lit(3)) if value else hits
     rows = F.transform(
