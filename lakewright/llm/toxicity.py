@@ -39,7 +39,7 @@ VOCABULARY, TRIGRAMS = 2048, 4096
 RUNS = 1 << 20
 #: Log-odds count from so many standard errors on.
 CLEAR = 3.0
-POSITIVE, NEGATIVE, TRAIN_WINDOWS = 1200, 2400, 12
+POSITIVE, NEGATIVE, TRAIN_WINDOWS = 800, 1600, 10
 EPOCHS, BATCH, RATE = 5, 256, 0.01
 #: Windows that are run through the network at once.
 AT_ONCE = 1024
