@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakewright.functions import scalars as S
-from lakewright.operators import aggregates, joins, sets, text, topk, windows
+from lakewright.operators import aggregates, joins, records, sets, text, topk, windows
 from lakewright.plans import graph
 
 Query = Callable[..., DataFrame]
@@ -652,3 +652,81 @@ def progress_blocks(spark, sf_dir):
 def first_free_text(spark, sf_dir):
     v = S.first_non_empty(F.when(F.col("doc_id") % 2 == 0, F.lit("  ")).otherwise(F.col("lang")), F.col("source"))
     return _t(spark, sf_dir, "documents").select("doc_id", v.alias("v"))
+
+
+# Records
+
+
+@query("positional_lookup", "SELECT c_custkey, n_name FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey + 20")
+def positional_lookup(spark, sf_dir):
+    customers = _t(spark, sf_dir, "customer").select("c_custkey", (F.col("c_nationkey") + 20).alias("at"))
+    return records.positional(customers, "at", _t(spark, sf_dir, "nation"), "n_nationkey", "n_name").select("c_custkey", "n_name")
+
+
+@query("reverse_lookup", """SELECT c_custkey, CASE WHEN a.name IS NOT NULL THEN 'attachment' ELSE 'field' END AS source, coalesce(a.name, f.name) AS name FROM customer
+    LEFT JOIN (SELECT n_nationkey AS v, n_name AS name FROM nation WHERE n_nationkey < 8) a ON c_nationkey = a.v LEFT JOIN (SELECT r_regionkey AS v, r_name AS name FROM region) f ON c_nationkey = f.v WHERE a.name IS NOT NULL OR f.name IS NOT NULL""")
+def reverse_lookup(spark, sf_dir):
+    attachments = _t(spark, sf_dir, "nation").where("n_nationkey < 8").select(F.col("n_nationkey").alias("value"), F.col("n_name").alias("name"))
+    fields = _t(spark, sf_dir, "region").select(F.col("r_regionkey").alias("value"), F.col("r_name").alias("name"))
+    return records.reverse_lookup(_t(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_nationkey", attachments, fields).drop("c_nationkey")
+
+
+@query("apply_bindings", """SELECT c_name AS param, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE n_name END AS value FROM customer LEFT JOIN nation ON c_custkey % 2 = 1 AND n_nationkey = c_custkey % 40
+    WHERE c_custkey % 2 = 0 OR n_name IS NOT NULL""")
+def apply_bindings(spark, sf_dir):
+    even = F.col("c_custkey") % 2 == 0
+    bindings = _t(spark, sf_dir, "customer").select(F.col("c_name").alias("param"), F.when(even, "const").otherwise("ref").alias("kind"), F.when(even, F.col("c_mktsegment")).otherwise((F.col("c_custkey") % 40).cast("string")).alias("target"))
+    return records.apply_bindings(bindings, _t(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("name"), F.col("n_name").alias("value")))
+
+
+@query("recipe_fallback", """SELECT c_custkey AS request, coalesce(o.o_orderkey, f.k) AS recipe FROM customer LEFT JOIN orders o ON o.o_orderkey = c_custkey * 400
+    LEFT JOIN (SELECT o_custkey, max_by(o_orderkey, (o_orderdate, o_orderkey)) AS k FROM orders GROUP BY 1) f ON f.o_custkey = c_custkey""")
+def recipe_fallback(spark, sf_dir):
+    wanted = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("request"), (F.col("c_custkey") * 400).alias("id"), F.col("c_custkey").alias("host"), F.lit("c").alias("command"))
+    recipes = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("host"), F.lit("c").alias("command"), F.col("o_orderdate").alias("last_used"))
+    return records.by_id_or_newest(wanted, recipes)
+
+
+@query("update_where_known", "SELECT c_custkey, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') THEN 'final' ELSE c_mktsegment END AS c_mktsegment FROM customer")
+def update_where_known(spark, sf_dir):
+    known = _t(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"), F.lit("final").alias("c_mktsegment")).distinct()
+    return records.update_where_known(_t(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_custkey", known, "c_mktsegment")
+
+
+@query("greedy_claim")
+def greedy_claim(spark, sf_dir):
+    offers = _t(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("key"), (F.col("l_partkey") % 5).alias("item"), F.col("l_suppkey").alias("priority"))
+    return records.greedy_claim(offers, "l_orderkey")
+
+
+@query("depth_tally", "SELECT l_suppkey, count(*) AS n, CAST(sum(CAST(floor(l_quantity) AS BIGINT)) AS BIGINT) AS span, max(l_linenumber) AS deepest FROM lineitem GROUP BY 1")
+def depth_tally(spark, sf_dir):
+    return records.depth_tally(_t(spark, sf_dir, "lineitem").withColumn("q", F.floor("l_quantity")), ["l_suppkey"], "l_linenumber", "q")
+
+
+@query("json_key_sizes", "SELECT event_id, CAST(json_array_length('[' || event_id || ',2,3]') AS INT) AS n_a, 2 AS n_b, CAST(NULL AS INT) AS n_c FROM events")
+def json_key_sizes(spark, sf_dir):
+    skeleton = F.concat(F.lit('{"a": ['), F.col("event_id").cast("string"), F.lit(',2,3], "b": {"x": 1, "y": 2}, "c": 5}'))
+    return records.key_sizes(_t(spark, sf_dir, "events").select("event_id", skeleton.alias("s")), "s", ["a", "b", "c"]).drop("s")
+
+
+@query("markdown_tables", """SELECT n_regionkey, '| n_name | n_nationkey |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_name || ' | ' || n_nationkey || ' |', chr(10) ORDER BY n_nationkey) AS markdown FROM nation GROUP BY 1""")
+def markdown_tables(spark, sf_dir):
+    return records.markdown_table(_t(spark, sf_dir, "nation"), ["n_regionkey"], "n_nationkey", ["n_name", "n_nationkey"])
+
+
+@query("response_markdown")
+def response_markdown(spark, sf_dir):
+    pages = _t(spark, sf_dir, "pages").select("page_id", "url", F.lit("text/html").alias("content_type"), F.col("html").alias("body"))
+    return records.extract_response(pages, "auto", budget=2000).select("page_id", "extracted")
+
+
+@query("alias_search", "SELECT p_partkey FROM part WHERE lower(p_name) LIKE '%steel%' OR lower(p_type) LIKE '%steel%'")
+def alias_search(spark, sf_dir):
+    parts = _t(spark, sf_dir, "part").select("p_partkey", "p_name", F.array("p_type", "p_brand").alias("aliases"))
+    return records.find_by_title_or_alias(parts, "p_name", "aliases", "*STEEL*").select("p_partkey")
+
+
+@query("json_result", "SELECT '{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}' AS json FROM region")
+def json_result(spark, sf_dir):
+    return records.json_rows(_t(spark, sf_dir, "region"), ["r_regionkey", "r_name"])

@@ -1,0 +1,68 @@
+"""A Python data source of device registers: batch and stream, with any reader function behind it."""
+
+from __future__ import annotations
+
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+
+MOST = 125
+SCHEMA = "addr int, value int, at long"
+
+
+def mock_register(addr: int, tick: int) -> int:
+    """A register of a device that isn't there: 16 bits, by address and time."""
+    return (addr * 31 + tick * 7) % 65536
+
+
+def checked(options) -> tuple[int, int]:
+    addr, count = int(options.get("addr", 0)), int(options.get("count", 1))
+    if not 1 <= count <= MOST or not 0 <= addr <= 65535 or addr + count > 65536:
+        raise ValueError(f"can't read {count} registers from {addr}: 1 to {MOST} within 0 to 65535")
+    return addr, count
+
+
+class _Batch(DataSourceReader):
+    def __init__(self, options) -> None:
+        self.addr, self.count = checked(options)
+
+    def partitions(self):
+        return [InputPartition(0)]
+
+    def read(self, partition):
+        for k in range(self.addr, self.addr + self.count):
+            yield (k, mock_register(k, 0), 0)
+
+
+class _Stream(SimpleDataSourceStreamReader):
+    def __init__(self, options) -> None:
+        self.addr, self.count = checked(options)
+        self.ticks = int(options.get("ticks", 1))
+
+    def initialOffset(self):
+        return {"tick": 0}
+
+    def read(self, start):
+        end = min(start["tick"] + self.ticks, start["tick"] + 1_000)
+        return iter(self.rows(start["tick"], end)), {"tick": end}
+
+    def readBetweenOffsets(self, start, end):
+        return iter(self.rows(start["tick"], end["tick"]))
+
+    def rows(self, first: int, last: int):
+        return [(k, mock_register(k, t), t) for t in range(first, last) for k in range(self.addr, self.addr + self.count)]
+
+
+class RegisterSource(DataSource):
+    """``spark.dataSource.register(RegisterSource)``, then format("registers") with addr, count and, for streams, ticks a batch."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "registers"
+
+    def schema(self) -> str:
+        return SCHEMA
+
+    def reader(self, schema):
+        return _Batch(self.options)
+
+    def simpleStreamReader(self, schema):
+        return _Stream(self.options)
