@@ -116,7 +116,10 @@ def _candidates(lines: DataFrame, threshold: int) -> DataFrame:
     if not hot.limit(1).count():
         return pair(index.join(probe, "key")).distinct()
     pairs = pair(index.join(hot, "key", "left_anti").join(probe, "key"))
-    return pairs.unionByName(pair(_refined(lines, hot, threshold))).distinct()
+    # A line's own segments are among what it asks for, so its probes tell whether it has a hot key.
+    having = probe.join(hot, "key", "left_semi").select(F.col("b").alias("id")).distinct()
+    some = stored(lines.join(having, "id", "left_semi"), "hot-lines")
+    return pairs.unionByName(pair(_refined(some, hot, threshold))).distinct()
 
 
 def _pieces(line: Column, length: Column, threshold: int, probing: bool) -> Column:

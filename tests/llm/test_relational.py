@@ -196,7 +196,9 @@ def test_signatures_estimate_similarity():
     assert np.isfinite(alone).all() and (alone == minhash.signatures(["x", "ONE two-three"])[1]).all()
 
 
-def test_near_duplicates(spark, odd):
+@pytest.mark.parametrize("small", [12, 1])
+def test_near_duplicates(spark, odd, monkeypatch, small):
+    monkeypatch.setattr(minhash, "SMALL", small)  # at 1, all that the stars leave is joined by rare shingles
     r = random.Random(7)
     words = ["w%d" % k for k in range(400)]
     texts = [t for n in (2, 3, 7, 40) for t in near_copies(r, n, words)] + [" ".join(r.choice(words) for _ in range(r.randint(1, 80))) for _ in range(60)] + ["a b c d", "A b, c d!", "", None, ""]
