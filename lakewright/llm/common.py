@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -23,11 +24,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and return a DataFrame that reads it.
 
     This cuts the lineage and computes ``df`` once; a lost executor costs no more than its
-    running tasks. The files go when the driver's JVM ends.
+    running tasks. The files go when the driver's JVM ends. A garbage collection is asked for, after
+    which Spark removes the shuffle files of earlier steps that nothing refers to any more.
     """
     spark = df.sparkSession
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)

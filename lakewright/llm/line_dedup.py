@@ -27,6 +27,7 @@ from lakewright.llm.common import stored, table
 THRESHOLD = 2
 MIN_CHARS = 40
 HOT = 48
+BROADCAST_IDS = 1_000_000
 LAST = (1 << 63) - 1
 
 
@@ -41,7 +42,7 @@ def _key(length: Column | int, number: int, part: Column, outer: Column | None)
 
 def _segment(length: Column, number: int, k: int) -> tuple[Column, Column]:
     """Start (from 1) and length of segment ``number`` (from 1) of ``k``; the later ones are longer by one if it doesn't part evenly."""
-    short = F.floor(length / k).cast("int")
+    short = F.call_function("div", length, F.lit(k)).cast("int")
     longer = length - short * k  # so many segments at the end are longer
     extra = F.greatest(F.lit(number - 1) - (F.lit(k) - longer), F.lit(0))
     return (short * (number - 1) + extra + 1).cast("int"), (short + F.when(F.lit(number) > F.lit(k) - longer, 1).otherwise(0)).cast("int")
@@ -57,7 +58,7 @@ def index_keys(line: Column, length: Column, threshold: int, outer: Column | Non
 
 
 def probe_keys(line: Column, length: Column, threshold: int, outer: Column | None = None) -> Column:
-    """Array of the keys that a line asks the index for."""
+    """Array of the keys that a line asks the index for, null where the line is too short for one."""
     k, keys = threshold + 1, []
     for delta in range(threshold + 1):
         other = length - delta
@@ -69,7 +70,7 @@ def probe_keys(line: Column, length: Column, threshold: int, outer: Column | Non
                     at = start + shift
                     ok = (at >= 1) & (at + size - 1 <= length) & (other >= k)
                     keys.append(F.when(ok, _key(other, i, F.substring(line, at, size), outer)))
-    return F.array_compact(F.array(*keys))
+    return F.array(*keys)
 
 
 def banded_distance(a: Column, b: Column, threshold: int) -> Column:
@@ -106,11 +107,18 @@ def banded_distance(a: Column, b: Column, threshold: int) -> Column:
     return F.when((end >= 0) & (end < width), F.when(within >= 0, within))
 
 
+def may_be_near(a: Column, b: Column, threshold: int, blocks: int = 8) -> Column:
+    """Whether all but ``threshold`` of the blocks of one line stand in the other, as each edit spoils one at most."""
+    size = F.call_function("div", F.length(a), F.lit(blocks)).cast("int")
+    held = [F.contains(b, F.substring(a, size * k + 1, size)).cast("int") for k in range(blocks)]
+    return sum(held[1:], held[0]) >= blocks - threshold
+
+
 def _candidates(lines: DataFrame, threshold: int) -> DataFrame:
     """Pairs (a, b) of line ids, a < b, that share a key. ``lines``: id, line."""
     line, length = F.col("line"), F.length("line")
     index = lines.select(F.explode(index_keys(line, length, threshold)).alias("key"), F.col("id").alias("a"))
-    probe = lines.select(F.explode(probe_keys(line, length, threshold)).alias("key"), F.col("id").alias("b"))
+    probe = lines.select(F.explode(probe_keys(line, length, threshold)).alias("key"), F.col("id").alias("b")).where("key is not null")
     hot = stored(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("key"), "hot")
     pair = lambda df: df.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     if not hot.limit(1).count():
@@ -122,8 +130,8 @@ def _candidates(lines: DataFrame, threshold: int) -> DataFrame:
     return pairs.unionByName(pair(_refined(some, hot, threshold))).distinct()
 
 
-def _pieces(line: Column, length: Column, threshold: int, probing: bool) -> Column:
-    """Array of (key, rest): every key of a line, with the line less the segment of that key."""
+def _places(length: Column, line: Column, threshold: int, probing: bool) -> Column:
+    """Array of (key, at, size): every key of a line with the place of its segment; nulls where there is none."""
     k, out = threshold + 1, []
     for delta in range(threshold + 1 if probing else 1):
         other = length - delta
@@ -133,20 +141,24 @@ def _pieces(line: Column, length: Column, threshold: int, probing: bool) -> Colu
                 if not probing or (abs(shift) <= i - 1 and abs(shift - delta) <= threshold + 1 - i):
                     at = start + shift
                     ok = (at >= 1) & (at + size - 1 <= length) & (other >= k)
-                    rest = F.concat(F.substring(line, F.lit(1), at - 1), F.substring(line, at + size, length))
-                    out.append(F.when(ok, F.struct(_key(other, i, F.substring(line, at, size), None).alias("key"), rest.alias("rest"))))
-    return F.array_compact(F.array(*out))
+                    out.append(F.when(ok, F.struct(_key(other, i, F.substring(line, at, size), None).alias("key"), at.alias("at"), size.alias("size"))))
+    return F.array(*out)
 
 
 def _refined(lines: DataFrame, hot: DataFrame, threshold: int) -> DataFrame:
-    """The pairs of hot keys: the rests of the lines must share a key too."""
-    line, length, rest = F.col("line"), F.length("line"), F.col("rest")
+    """The pairs of hot keys: the rests of the lines, without the segment of the key, must share a key too.
+
+    Keys are told hot before any rest is made, so that few strings are copied.
+    """
+    line, rest = F.col("line"), F.col("rest")
 
     def again(probing: bool, name: str) -> DataFrame:
-        each = lines.select("id", F.explode(_pieces(line, length, threshold, probing)).alias("p")).select("id", "p.*")
-        each = each.join(hot, "key", "left_semi")
+        each = lines.select("id", F.explode(_places(F.length(line), line, threshold, probing)).alias("p")).where("p is not null")
+        each = each.select("id", "p.*").join(hot, "key", "left_semi").join(lines, "id")
+        cut = F.concat(F.substring(line, F.lit(1), F.col("at") - 1), F.substring(line, F.col("at") + F.col("size"), F.length(line)))
+        each = each.select("id", "key", cut.alias("rest"))
         keys = (probe_keys if probing else index_keys)(rest, F.length("rest"), threshold, F.col("key"))
-        return each.select(F.explode(keys).alias("finer"), F.col("id").alias(name))
+        return each.select(F.explode(keys).alias("finer"), F.col("id").alias(name)).where("finer is not null")
 
     return again(False, "a").join(again(True, "b"), "finer").select("a", "b")
 
@@ -162,10 +174,13 @@ def line_nodes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 def links(nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(a, b, later): linked lines, and which of them goes."""
     pairs = stored(_candidates(nodes.select("id", "line"), threshold), "pairs")
-    side = lambda c: nodes.select(F.col("id").alias(c), F.struct("first_doc", "line").alias(f"{c}_at"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    distance = banded_distance(F.col("a_at.line"), F.col("b_at.line"), threshold)
-    found = both.where(distance.isNotNull())
+    ids = stored(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
+    few = ids.count() <= BROADCAST_IDS
+    wanted = nodes.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    side = lambda c: wanted.select(F.col("id").alias(c), F.struct("first_doc", "line").alias(f"{c}_at"))
+    a, b = F.col("a_at.line"), F.col("b_at.line")
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(may_be_near(a, b, threshold))
+    found = both.where(banded_distance(a, b, threshold).isNotNull())
     return found.select("a", "b", F.when(F.col("a_at") > F.col("b_at"), F.col("a")).otherwise(F.col("b")).alias("later"))
 
 
