@@ -115,8 +115,8 @@ def may_be_near(a: Column, b: Column, threshold: int, blocks: int = 8) -> Column
 
 
 def _candidates(lines: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b) of line ids, a < b, that share a key. ``lines``: id, line."""
-    line, length = F.col("line"), F.length("line")
+    """Pairs (a, b) of line ids, a < b, that share a key. ``lines``: id, line, length (a column, as each key asks for it)."""
+    line, length = F.col("line"), F.col("length")
     index = lines.select(F.explode(index_keys(line, length, threshold)).alias("key"), F.col("id").alias("a"))
     probe = lines.select(F.explode(probe_keys(line, length, threshold)).alias("key"), F.col("id").alias("b")).where("key is not null")
     hot = stored(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("key"), "hot")
@@ -153,27 +153,27 @@ def _refined(lines: DataFrame, hot: DataFrame, threshold: int) -> DataFrame:
     line, rest = F.col("line"), F.col("rest")
 
     def again(probing: bool, name: str) -> DataFrame:
-        each = lines.select("id", F.explode(_places(F.length(line), line, threshold, probing)).alias("p")).where("p is not null")
+        each = lines.select("id", F.explode(_places(F.col("length"), line, threshold, probing)).alias("p")).where("p is not null")
         each = each.select("id", "p.*").join(hot, "key", "left_semi").join(lines, "id")
-        cut = F.concat(F.substring(line, F.lit(1), F.col("at") - 1), F.substring(line, F.col("at") + F.col("size"), F.length(line)))
-        each = each.select("id", "key", cut.alias("rest"))
-        keys = (probe_keys if probing else index_keys)(rest, F.length("rest"), threshold, F.col("key"))
+        cut = F.concat(F.substring(line, F.lit(1), F.col("at") - 1), F.substring(line, F.col("at") + F.col("size"), F.col("length")))
+        each = each.select("id", "key", cut.alias("rest"), (F.col("length") - F.col("size")).alias("left"))
+        keys = (probe_keys if probing else index_keys)(rest, F.col("left"), threshold, F.col("key"))
         return each.select(F.explode(keys).alias("finer"), F.col("id").alias(name)).where("finer is not null")
 
     return again(False, "a").join(again(True, "b"), "finer").select("a", "b")
 
 
 def line_nodes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Distinct lines that take part: id, line, first_doc (smallest document id), n (documents)."""
+    """Distinct lines that take part: id, line, length, first_doc (smallest document id), n (documents)."""
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
     each = docs.select(doc.alias("doc"), F.explode(F.array_distinct(lines_of(F.col("text")))).alias("line")).where(F.length("line") >= min_chars)
     nodes = each.groupBy("line").agg(F.min("doc").alias("first_doc"), F.count(F.lit(1)).alias("n"))
-    return stored(nodes.select(F.monotonically_increasing_id().alias("id"), "line", "first_doc", "n"), "lines")
+    return stored(nodes.select(F.monotonically_increasing_id().alias("id"), "line", F.length("line").alias("length"), "first_doc", "n"), "lines")
 
 
 def links(nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(a, b, later): linked lines, and which of them goes."""
-    pairs = stored(_candidates(nodes.select("id", "line"), threshold), "pairs")
+    pairs = stored(_candidates(nodes.select("id", "line", "length"), threshold), "pairs")
     ids = stored(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
     few = ids.count() <= BROADCAST_IDS
     wanted = nodes.join(F.broadcast(ids) if few else ids, "id", "left_semi")
