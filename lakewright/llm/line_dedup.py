@@ -35,42 +35,33 @@ def lines_of(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def _key(length: Column | int, number: int, part: Column, outer: Column | None) -> Column:
-    of = [F.lit(length) if isinstance(length, int) else length, F.lit(number), part]
-    return F.xxhash64(*of, *([outer] if outer is not None else []))
-
-
-def _segment(length: Column, number: int, k: int) -> tuple[Column, Column]:
-    """Start (from 1) and length of segment ``number`` (from 1) of ``k``; the later ones are longer by one if it doesn't part evenly."""
-    short = F.call_function("div", length, F.lit(k)).cast("int")
-    longer = length - short * k  # so many segments at the end are longer
-    extra = F.greatest(F.lit(number - 1) - (F.lit(k) - longer), F.lit(0))
-    return (short * (number - 1) + extra + 1).cast("int"), (short + F.when(F.lit(number) > F.lit(k) - longer, 1).otherwise(0)).cast("int")
-
-
-def index_keys(line: Column, length: Column, threshold: int, outer: Column | None = None) -> Column:
-    """Array of the keys of a line's segments."""
-    k, keys = threshold + 1, []
-    for i in range(1, k + 1):
-        start, size = _segment(length, i, k)
-        keys.append(_key(length, i, F.substring(line, start, size), outer))
-    return F.array(*keys)
-
-
-def probe_keys(line: Column, length: Column, threshold: int, outer: Column | None = None) -> Column:
-    """Array of the keys that a line asks the index for, null where the line is too short for one."""
-    k, keys = threshold + 1, []
-    for delta in range(threshold + 1):
-        other = length - delta
-        for i in range(1, k + 1):
-            start, size = _segment(other, i, k)
-            for shift in range(-threshold, threshold + 1):
-                # A start that leaves too many edits on one side is not asked for.
-                if abs(shift) <= i - 1 and abs(shift - delta) <= threshold + 1 - i:
-                    at = start + shift
-                    ok = (at >= 1) & (at + size - 1 <= length) & (other >= k)
-                    keys.append(F.when(ok, _key(other, i, F.substring(line, at, size), outer)))
-    return F.array(*keys)
+def _options(threshold: int, probing: bool) -> list[tuple[int, int, int]]:
+    """(delta, number, shift) of the keys of a line: how much shorter the indexed line is, which of its segments, and how
+    far from its place there. An index key has neither delta nor shift; a probe leaves out the shifts that would need
+    too many edits on one side of the segment."""
+    k = threshold + 1
+    if not probing:
+        return [(0, i, 0) for i in range(1, k + 1)]
+    shifts = range(-threshold, threshold + 1)
+    return [(d, i, s) for d in range(k) for i in range(1, k + 1) for s in shifts if abs(s) <= i - 1 and abs(s - d) <= k - i]
+
+
+def key_rows(lines: DataFrame, threshold: int, probing: bool, outer: str | None = None) -> DataFrame:
+    """One row for each key of each line (id, line, length): id, key, at, size.
+
+    The options are exploded first, so that one short expression makes all keys: unrolled, they are more
+    than the JVM compiles. Segments are even, the later ones longer by one where the length doesn't part.
+    """
+    k = threshold + 1
+    options = F.array(*[F.struct(F.lit(d).alias("delta"), F.lit(i).alias("i"), F.lit(s).alias("shift")) for d, i, s in _options(threshold, probing)])
+    each = lines.select("*", F.explode(options).alias("o")).select("*", "o.*").withColumn("other", F.col("length") - F.col("delta")).where(F.col("other") >= k)
+    each = each.withColumn("short", F.call_function("div", F.col("other"), F.lit(k)).cast("int"))
+    each = each.withColumn("even", F.lit(k) - F.pmod(F.col("other"), F.lit(k)))  # so many segments are the short ones
+    start = F.col("short") * (F.col("i") - 1) + F.greatest(F.col("i") - 1 - F.col("even"), F.lit(0)) + 1
+    each = each.select("*", (start + F.col("shift")).alias("at"), (F.col("short") + F.when(F.col("i") > F.col("even"), 1).otherwise(0)).alias("size"))
+    each = each.where((F.col("at") >= 1) & (F.col("at") + F.col("size") - 1 <= F.col("length")))
+    of = [F.col("other"), F.col("i"), F.substring(F.col("line"), F.col("at"), F.col("size")), *([F.col(outer)] if outer else [])]
+    return each.select("id", F.xxhash64(*of).alias("key"), "at", "size")
 
 
 def banded_distance(a: Column, b: Column, threshold: int) -> Column:
@@ -116,9 +107,8 @@ def may_be_near(a: Column, b: Column, threshold: int, blocks: int = 8) -> Column
 
 def _candidates(lines: DataFrame, threshold: int) -> DataFrame:
     """Pairs (a, b) of line ids, a < b, that share a key. ``lines``: id, line, length (a column, as each key asks for it)."""
-    line, length = F.col("line"), F.col("length")
-    index = lines.select(F.explode(index_keys(line, length, threshold)).alias("key"), F.col("id").alias("a"))
-    probe = lines.select(F.explode(probe_keys(line, length, threshold)).alias("key"), F.col("id").alias("b")).where("key is not null")
+    index = key_rows(lines, threshold, False).select("key", F.col("id").alias("a"))
+    probe = key_rows(lines, threshold, True).select("key", F.col("id").alias("b"))
     hot = stored(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("key"), "hot")
     pair = lambda df: df.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     if not hot.limit(1).count():
@@ -130,35 +120,18 @@ def _candidates(lines: DataFrame, threshold: int) -> DataFrame:
     return pairs.unionByName(pair(_refined(some, hot, threshold))).distinct()
 
 
-def _places(length: Column, line: Column, threshold: int, probing: bool) -> Column:
-    """Array of (key, at, size): every key of a line with the place of its segment; nulls where there is none."""
-    k, out = threshold + 1, []
-    for delta in range(threshold + 1 if probing else 1):
-        other = length - delta
-        for i in range(1, k + 1):
-            start, size = _segment(other, i, k)
-            for shift in range(-threshold, threshold + 1) if probing else (0,):
-                if not probing or (abs(shift) <= i - 1 and abs(shift - delta) <= threshold + 1 - i):
-                    at = start + shift
-                    ok = (at >= 1) & (at + size - 1 <= length) & (other >= k)
-                    out.append(F.when(ok, F.struct(_key(other, i, F.substring(line, at, size), None).alias("key"), at.alias("at"), size.alias("size"))))
-    return F.array(*out)
-
-
 def _refined(lines: DataFrame, hot: DataFrame, threshold: int) -> DataFrame:
     """The pairs of hot keys: the rests of the lines, without the segment of the key, must share a key too.
 
     Keys are told hot before any rest is made, so that few strings are copied.
     """
-    line, rest = F.col("line"), F.col("rest")
+    line = F.col("line")
 
     def again(probing: bool, name: str) -> DataFrame:
-        each = lines.select("id", F.explode(_places(F.col("length"), line, threshold, probing)).alias("p")).where("p is not null")
-        each = each.select("id", "p.*").join(hot, "key", "left_semi").join(lines, "id")
-        cut = F.concat(F.substring(line, F.lit(1), F.col("at") - 1), F.substring(line, F.col("at") + F.col("size"), F.col("length")))
-        each = each.select("id", "key", cut.alias("rest"), (F.col("length") - F.col("size")).alias("left"))
-        keys = (probe_keys if probing else index_keys)(rest, F.col("left"), threshold, F.col("key"))
-        return each.select(F.explode(keys).alias("finer"), F.col("id").alias(name)).where("finer is not null")
+        each = key_rows(lines, threshold, probing).join(hot, "key", "left_semi").join(lines, "id")
+        rest = F.concat(F.substring(line, F.lit(1), F.col("at") - 1), F.substring(line, F.col("at") + F.col("size"), F.col("length")))
+        rests = each.select("id", F.col("key").alias("outer"), rest.alias("line"), (F.col("length") - F.col("size")).alias("length"))
+        return key_rows(rests, threshold, probing, "outer").select(F.col("key").alias("finer"), F.col("id").alias(name))
 
     return again(False, "a").join(again(True, "b"), "finer").select("a", "b")
 
