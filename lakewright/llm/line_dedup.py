@@ -28,6 +28,8 @@ THRESHOLD = 2
 MIN_CHARS = 40
 HOT = 48
 BROADCAST_IDS = 1_000_000
+#: Letters whose counts a key carries along, eight bits each.
+COUNTED = "entairso"
 LAST = (1 << 63) - 1
 
 
@@ -35,6 +37,24 @@ def lines_of(text: Column) -> Column:
     return F.split(text, "\n")
 
 
+def letter_counts(line: Column) -> Column:
+    """How often each of COUNTED stands in a line, modulo 256, packed into a long."""
+    parts = [F.shiftleft((F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))).cast("long").bitwiseAND(F.lit(255)), 8 * k) for k, c in enumerate(COUNTED)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.bitwiseOR(part)
+    return out
+
+
+def counts_allow(a: Column, b: Column, threshold: int) -> Column:
+    """Whether two packed counts can belong to lines within ``threshold`` edits: each edit moves two counts by one at most."""
+    apart = []
+    for k in range(len(COUNTED)):
+        x = (F.shiftright(a, 8 * k) - F.shiftright(b, 8 * k)).bitwiseAND(F.lit(255))
+        apart.append(F.least(x, F.lit(256) - x))
+    return sum(apart[1:], apart[0]) <= 2 * threshold
+
+
 def _options(threshold: int, probing: bool) -> list[tuple[int, int, int]]:
     """(delta, number, shift) of the keys of a line: how much shorter the indexed line is, which of its segments, and how
     far from its place there. An index key has neither delta nor shift; a probe leaves out the shifts that would need
@@ -47,7 +67,7 @@ def _options(threshold: int, probing: bool) -> list[tuple[int, int, int]]:
 
 
 def key_rows(lines: DataFrame, threshold: int, probing: bool, outer: str | None = None) -> DataFrame:
-    """One row for each key of each line (id, line, length): id, key, at, size.
+    """One row for each key of each line (id, line, length, counts): id, key, counts, at, size.
 
     The options are exploded first, so that one short expression makes all keys: unrolled, they are more
     than the JVM compiles. Segments are even, the later ones longer by one where the length doesn't part.
@@ -61,7 +81,7 @@ def key_rows(lines: DataFrame, threshold: int, probing: bool, outer: str | None
     each = each.select("*", (start + F.col("shift")).alias("at"), (F.col("short") + F.when(F.col("i") > F.col("even"), 1).otherwise(0)).alias("size"))
     each = each.where((F.col("at") >= 1) & (F.col("at") + F.col("size") - 1 <= F.col("length")))
     of = [F.col("other"), F.col("i"), F.substring(F.col("line"), F.col("at"), F.col("size")), *([F.col(outer)] if outer else [])]
-    return each.select("id", F.xxhash64(*of).alias("key"), "at", "size")
+    return each.select("id", F.xxhash64(*of).alias("key"), "counts", "at", "size")
 
 
 def banded_distance(a: Column, b: Column, threshold: int) -> Column:
@@ -106,14 +126,19 @@ def may_be_near(a: Column, b: Column, threshold: int, blocks: int = 8) -> Column
 
 
 def _candidates(lines: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b) of line ids, a < b, that share a key. ``lines``: id, line, length (a column, as each key asks for it)."""
-    index = key_rows(lines, threshold, False).select("key", F.col("id").alias("a"))
-    probe = key_rows(lines, threshold, True).select("key", F.col("id").alias("b"))
+    """Pairs (a, b) of line ids, a < b, that share a key. ``lines``: id, line, and length and counts as columns, as each key asks for them.
+
+    Lines of one key whose letter counts are too far apart don't meet, which keeps groups of lines with a
+    replaced word from meeting in all pairs.
+    """
+    index = key_rows(lines, threshold, False).select("key", F.col("id").alias("a"), F.col("counts").alias("a_counts"))
+    probe = key_rows(lines, threshold, True).select("key", F.col("id").alias("b"), F.col("counts").alias("b_counts"))
+    met = lambda x, y, on: x.join(y, on).where((F.col("a") != F.col("b")) & counts_allow(F.col("a_counts"), F.col("b_counts"), threshold))
     hot = stored(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("key"), "hot")
     pair = lambda df: df.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     if not hot.limit(1).count():
-        return pair(index.join(probe, "key")).distinct()
-    pairs = pair(index.join(hot, "key", "left_anti").join(probe, "key"))
+        return pair(met(index, probe, "key")).distinct()
+    pairs = pair(met(index.join(hot, "key", "left_anti"), probe, "key"))
     # A line's own segments are among what it asks for, so its probes tell whether it has a hot key.
     having = probe.join(hot, "key", "left_semi").select(F.col("b").alias("id")).distinct()
     some = stored(lines.join(having, "id", "left_semi"), "hot-lines")
@@ -128,25 +153,26 @@ def _refined(lines: DataFrame, hot: DataFrame, threshold: int) -> DataFrame:
     line = F.col("line")
 
     def again(probing: bool, name: str) -> DataFrame:
-        each = key_rows(lines, threshold, probing).join(hot, "key", "left_semi").join(lines, "id")
+        each = key_rows(lines, threshold, probing).drop("counts").join(hot, "key", "left_semi").join(lines, "id")
         rest = F.concat(F.substring(line, F.lit(1), F.col("at") - 1), F.substring(line, F.col("at") + F.col("size"), F.col("length")))
-        rests = each.select("id", F.col("key").alias("outer"), rest.alias("line"), (F.col("length") - F.col("size")).alias("length"))
-        return key_rows(rests, threshold, probing, "outer").select(F.col("key").alias("finer"), F.col("id").alias(name))
+        rests = each.select("id", F.col("key").alias("outer"), rest.alias("line"), (F.col("length") - F.col("size")).alias("length"), "counts")
+        return key_rows(rests, threshold, probing, "outer").select(F.col("key").alias("finer"), F.col("id").alias(name), F.col("counts").alias(f"{name}_counts"))
 
-    return again(False, "a").join(again(True, "b"), "finer").select("a", "b")
+    allowed = counts_allow(F.col("a_counts"), F.col("b_counts"), threshold) & (F.col("a") != F.col("b"))
+    return again(False, "a").join(again(True, "b"), "finer").where(allowed).select("a", "b")
 
 
 def line_nodes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Distinct lines that take part: id, line, length, first_doc (smallest document id), n (documents)."""
+    """Distinct lines that take part: id, line, length, counts, first_doc (smallest document id), n (documents)."""
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
     each = docs.select(doc.alias("doc"), F.explode(F.array_distinct(lines_of(F.col("text")))).alias("line")).where(F.length("line") >= min_chars)
     nodes = each.groupBy("line").agg(F.min("doc").alias("first_doc"), F.count(F.lit(1)).alias("n"))
-    return stored(nodes.select(F.monotonically_increasing_id().alias("id"), "line", F.length("line").alias("length"), "first_doc", "n"), "lines")
+    return stored(nodes.select(F.monotonically_increasing_id().alias("id"), "line", F.length("line").alias("length"), letter_counts(F.col("line")).alias("counts"), "first_doc", "n"), "lines")
 
 
 def links(nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(a, b, later): linked lines, and which of them goes."""
-    pairs = stored(_candidates(nodes.select("id", "line", "length"), threshold), "pairs")
+    pairs = stored(_candidates(nodes.select("id", "line", "length", "counts"), threshold), "pairs")
     ids = stored(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
     few = ids.count() <= BROADCAST_IDS
     wanted = nodes.join(F.broadcast(ids) if few else ids, "id", "left_semi")
