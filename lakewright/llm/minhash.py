@@ -10,8 +10,10 @@ latest register of its text, which bounds the work by about m log m points a tex
 
 Texts that agree in a whole band are candidates. Equal texts are first merged into one node. In a bucket
 of at most SMALL nodes every two are compared; in a larger one every node with the smallest. The nodes of
-large buckets that this leaves in several components are joined once more, by their rarest shingles
-(``by_rare_shingles``), so that no bucket is capped and no large one expanded into all its pairs. Every candidate pair is verified on
+large buckets that this leaves in several components are joined by their rarest shingles (``rare_shingles``): first
+each with one node of every other component (``by_first``), then, with the components that this leaves, every two of
+different components that can be similar enough (``by_all``). So no bucket is capped, no large one is expanded into the
+pairs within a component, and no pair between components goes unseen. Every candidate pair is verified on
 the multisets themselves (similarity of SIMILARITY or more), and classes are the connected components
 of the verified links.
 
@@ -221,28 +223,60 @@ def tokens_udf(shingles: pa.Array) -> pa.Array:
     return pa.array(out, pa.list_(pa.int64()))
 
 
-def by_rare_shingles(loose: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of nodes (node, label) in different components that share one of their rarest shingles.
+def rare_shingles(loose: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The rarest shingles of each node, stored: node, n (size of its multiset), token, at (its place by rareness), listed.
 
     Of two multisets of sizes m <= n that are similar enough, the rarest n - ceil(s n) + 1 shingles of the
-    larger hold one of the rarest m - ceil(2 s m / (1 + s)) + 1 of the smaller. A shingle's list keeps the
-    first node of each component, so that a large group of near copies counts once in it.
+    larger hold one of the rarest m - ceil(2 s m / (1 + s)) + 1 of the smaller, its listed ones.
     """
-    each = loose.join(sets, "node").select("node", "label", tokens_udf("shingles").alias("tokens"))
-    each = stored(each.select("node", "label", F.size("tokens").alias("n"), F.explode("tokens").alias("token")), "tokens")
+    each = loose.join(sets, "node").select("node", tokens_udf("shingles").alias("tokens"))
+    each = stored(each.select("node", F.size("tokens").alias("n"), F.explode("tokens").alias("token")), "tokens")
     seen = each.groupBy("token").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1")
     rare = F.array_sort(F.collect_list(F.struct(F.coalesce("seen", F.lit(1)).alias("seen"), "token")))
-    ranked = each.join(seen, "token", "left").groupBy("node", "label", "n").agg(rare.alias("rare"))
+    ranked = each.join(seen, "token", "left").groupBy("node", "n").agg(rare.alias("rare"))
     n = F.col("n")
     asks = (n - F.ceil(F.lit(similarity) * n - 1e-9) + 1).cast("int")
     listed = (n - F.ceil(F.lit(2 * similarity / (1 + similarity)) * n - 1e-9) + 1).cast("int")
-    rows = ranked.select("node", "label", listed.alias("listed"), F.posexplode(F.slice("rare", F.lit(1), asks)).alias("at", "r"))
-    rows = stored(rows.where("r.seen > 1").select("node", "label", "r.token", (F.col("at") < F.col("listed")).alias("listed")), "rare")
+    rows = ranked.select("node", "n", listed.alias("listed"), F.posexplode(F.slice("rare", F.lit(1), asks)).alias("at", "r"))
+    return stored(rows.where("r.seen > 1").select("node", "n", "r.token", "at", (F.col("at") < F.col("listed")).alias("listed")), "rare")
+
+
+def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows with the component of their node; a node without links is its own."""
+    return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def by_first(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes in different components, each with the first listed node of the other component.
+
+    A large group of near copies counts once in a shingle's list, which merges most groups at little cost.
+    """
     first = rows.where("listed").groupBy("token", "label").agg(F.min("node").alias("other")).withColumnRenamed("label", "other_label")
     met = rows.join(first, "token").where("label <> other_label")
     return met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
+def by_all(rows: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (a, b) of nodes in different components that can be similar enough.
+
+    A node meets every listed node that isn't larger, unless the two sizes, or what stands behind the shared
+    shingle in both, rule the similarity out; the first shingle that two similar texts share always passes.
+    The rows of a list's most frequent component never meet each other, so that no more pairs are tried
+    than lie between components.
+    """
+    per = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("rows"))
+    per = per.groupBy("token").agg(F.max_by("label", F.struct("rows", "label")).alias("top"), F.count(F.lit(1)).alias("labels"))
+    mixed = stored(rows.join(per.where("labels > 1"), "token").select("token", "node", "n", "at", "listed", "label", (F.col("label") == F.col("top")).alias("top")), "mixed")
+    other = mixed.where("listed").select("token", *[F.col(c).alias(f"other_{c}") for c in ("node", "n", "at", "label", "top")])
+    smaller = F.struct("other_n", "other_node") < F.struct("n", "node")
+    least = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("other_n")) - 1e-9)
+    behind = F.least(F.col("n") - F.col("at"), F.col("other_n") - F.col("other_at"))
+    on = (F.col("label") != F.col("other_label")) & smaller & (behind >= least)
+    met = mixed.where("not top").join(other, "token").where(on).select("node", "other_node")
+    met = met.unionByName(mixed.where("top").join(other.where("not other_top"), "token").where(on).select("node", "other_node"))
+    return met.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct()
+
+
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose multisets are similar enough; ``sets`` has node and shingles."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
@@ -282,14 +316,16 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame,
     big = met.where(F.col("n") > SMALL).join(of("node"), "node", "left").join(of("least"), "least", "left")
     open_ = stored(big.where(F.coalesce("node_label", "node") != F.coalesce("least_label", "least")).select("bucket").distinct(), "open")
     if open_.limit(1).count():
-        loose = met.where(F.col("n") > SMALL).join(open_, "bucket", "left_semi").select("node").distinct()
-        loose = stored(loose.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "loose")
+        loose = stored(met.where(F.col("n") > SMALL).join(open_, "bucket", "left_semi").select("node").distinct(), "loose")
         sets = sets_of(loose.select(F.col("node").alias("a"), F.col("node").alias("b")), sets)
-        more = likely(by_rare_shingles(loose, sets, similarity).join(pairs, ["a", "b"], "left_anti"), nodes)
-        more = stored(verified(stored(more, "pairs"), sets, similarity).distinct(), "links")
-        if more.limit(1).count():
-            links = links.unionByName(more)
-            labels = components(links)
+        rare = rare_shingles(loose, sets, similarity)
+        for find in (by_first, lambda rows: by_all(rows, similarity)):
+            more = stored(likely(find(labelled(rare, labels)).join(pairs, ["a", "b"], "left_anti"), nodes), "pairs")
+            pairs = pairs.unionByName(more)
+            more = stored(verified(more, sets, similarity).distinct(), "links")
+            if more.limit(1).count():
+                links = links.unionByName(more)
+                labels = components(links)
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
     degree = ends.groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     known = nodes.drop("bands").join(labels, "node", "left").join(degree, "node", "left").withColumn("label", F.coalesce("label", "node"))

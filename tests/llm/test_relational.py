@@ -213,6 +213,30 @@ def test_near_duplicates(spark, odd, monkeypatch, small):
     assert minhash.near_duplicates(odd.limit(0)).count() == 0 and minhash.keep_one(odd.limit(0)).count() == 0
 
 
+def test_no_link_between_components_goes_unseen(spark):
+    r = random.Random(12)
+    words = ["w%d" % k for k in range(400)]
+    base = [r.choice(words) for _ in range(120)]
+    texts = []
+    for edits in itertools.product((0, 1), repeat=5):  # up to two edits apart they are similar enough, the farthest are five apart
+        w = list(base)
+        for place, edit in zip((20, 40, 60, 80, 100), edits, strict=True):
+            w[place] = "edited" if edit else w[place]
+        texts.append(" ".join(w))
+    sets = [slow_multiset(t) for t in texts]
+    alike = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if slow_similarity(sets[i], sets[j]) >= 0.8}
+    nodes = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    labels = spark.createDataFrame([(k, k % 3) for k in range(len(texts))], "node long, label long")  # components yet to be merged
+    rows = minhash.labelled(minhash.rare_shingles(nodes.select("node"), nodes.select("node", minhash.shingles_udf("text").alias("shingles")), 0.8), labels)
+    wanted = {(i, j) for i, j in alike if i % 3 != j % 3}
+    found = lambda df: {(x["a"], x["b"]) for x in df.collect()}
+    assert wanted <= found(minhash.by_all(rows, 0.8)) and all(i % 3 != j % 3 for i, j in found(minhash.by_all(rows, 0.8)))
+    assert wanted - found(minhash.by_first(rows))  # what the first of each component alone would miss
+    docs = nodes.withColumnRenamed("node", "doc_id")
+    got = {x["doc_id"]: x["class_id"] for x in minhash.near_duplicates(docs).collect()}
+    assert [got[k] for k in range(len(texts))] == slow_classes(texts)
+
+
 def test_components(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, 102), (101, 102), (200, 200)]
     got = {x["node"]: x["label"] for x in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
