@@ -6,7 +6,7 @@ offset in the one stream of all tokens. Pass two cuts the stream into windows of
 that crosses a boundary gives one boundary record a piece. Nothing is shuffled but the totals, and
 only the last sequence is not full, so that no other needs padding.
 
-Edge cases: a null or empty text has the end mark alone, one token. Repeated rows and equal ids are
+Edge cases: a null or empty text has the end mark alone, one token. The text <|endoftext|> is one token. Repeated rows and equal ids are
 packed as often as they occur. An empty table gives no rows. Documents of any length are cut freely.
 """
 
@@ -27,6 +27,8 @@ from lakewright.llm.common import stored, table
 
 SEQUENCE = 2048
 END_ID = 1
+#: The vocabulary's added token, and its id as two bytes.
+END_OF_TEXT, END_OF_TEXT_ID = "<|endoftext|>", np.array([50256], "<u2").tobytes()
 #: Distinct chunks whose ids a worker remembers.
 CACHE = 300_000
 
@@ -34,6 +36,9 @@ CACHE = 300_000
 class Encoder:
     """Token ids of ``byte_bpe_50k``, two bytes an id, by the same vocabulary's ranks.
 
+    As in ``tokenizers``, which the ranks stand in for, the text END_OF_TEXT is the added token END_OF_TEXT_ID
+    wherever it stands, and what is before and after it is tokenised apart.
+
     The tokenizer's pattern always breaks before a space that stands before a character that is not
     white space, so a text can be cut there and the ids of each chunk remembered.
     """
@@ -56,6 +61,9 @@ class Encoder:
         return np.array(self.encoding.encode_ordinary(text), "<u2").tobytes()
 
     def __call__(self, text: str) -> bytes:
+        return END_OF_TEXT_ID.join(map(self._plain, text.split(END_OF_TEXT)))
+
+    def _plain(self, text: str) -> bytes:
         first, *rest = text.split(" ")
         parts = [first]
         for piece in rest:

@@ -113,6 +113,16 @@ def test_encoder_equals_tokenizer(texts):
         assert np.frombuffer(encode(t), "<u2").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_encoder_knows_the_added_token(texts):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encode = packing.Encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    r = random.Random(2)
+    mark = "<|endoftext|>"
+    hard = ["".join(r.choice([mark, mark, " ", "  ", "\n", "a", " b", "'s", "é", "<|", "|>", mark[:-1]]) for _ in range(r.randint(0, 12))) for _ in range(3000)]
+    for t in [mark, f"a {mark} b", f"a{mark}{mark}b", *texts[:20], *hard]:
+        assert np.frombuffer(encode(t), "<u2").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+
+
 def test_langid(spark, odd):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.op8_langid(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
