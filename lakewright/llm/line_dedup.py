@@ -1,19 +1,20 @@
 """Line dedup by a segment-partition edit join.
 
-Lines of MIN_CHARS or more characters take part; shorter ones always stay. Equal lines are one node.
-Two nodes are linked if their edit distance is at most ``threshold``. To find such pairs, each line is
+All lines with a word take part; the others (blank lines, rules) always stay, and so do lines under ``min_chars``
+where a caller asks for such a floor. Equal lines are one node. Two nodes of more than ``threshold`` characters are
+linked if their edit distance is at most ``threshold``; shorter lines go by equality alone. To find such pairs, each line is
 cut into threshold + 1 even segments: of two linked lines, one contains a segment of the other, near
 the same place. The index holds (length, segment number, segment); a line probes it, for each length
 from its own down to ``threshold`` less, with the few substrings whose start a match can have. Both
 sides travel as 64-bit keys. Keys that more than HOT lines share are refined: their lines, without the
 matching segment, are joined in the same way once more on the rest, which is exact too, as what is left
-must match within the threshold. Candidates are verified by a banded bit-parallel edit distance.
+must match within the threshold; keys whose rest would be too short for that stay as they are. Candidates are verified by a banded bit-parallel edit distance.
 
 A line stays where it first occurs (smallest doc_id, then place) unless it is linked to a line that
 first occurs in an earlier document, or in the same and is smaller as a string. All else is removed.
 
 Everything is DataFrame functions. Edge cases: null and empty texts have no lines that take part and
-stay as they are. Rows that share an id count as one document. A null id comes last. A text of which
+stay as they are. Rows that share an id count as one document. Rows with a null id are a document each and come last. A text of which
 every line goes becomes the empty string. Empty tables give no rows.
 """
 
@@ -25,18 +26,34 @@ from pyspark.sql import functions as F
 from lakewright.llm.common import stored, table
 
 THRESHOLD = 2
-MIN_CHARS = 40
+MIN_CHARS = 0
+WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
 HOT = 48
 BROADCAST_IDS = 1_000_000
 #: Letters whose counts a key carries along, eight bits each.
 COUNTED = "entairso"
-LAST = (1 << 63) - 1
 
 
 def lines_of(text: Column) -> Column:
     return F.split(text, "\n")
 
 
+def takes_part(line: Column, min_chars: int) -> Column:
+    return (F.length(line) >= min_chars) & line.rlike(WORD)
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with __doc (none, id): the document id, or for rows without one, which come last, a number of the row.
+
+    The rows without an id are written out, so that their numbers stay."""
+    key = lambda none, n: F.struct(F.lit(none).alias("none"), n.cast("long").alias("id"))
+    none = docs.where(docs["doc_id"].isNull())
+    with_id = docs.where(docs["doc_id"].isNotNull()).withColumn("__doc", key(False, docs["doc_id"]))
+    if not none.limit(1).count():
+        return with_id
+    return with_id.unionByName(stored(none.withColumn("__doc", key(True, F.monotonically_increasing_id())), "null-ids"))
+
+
 def letter_counts(line: Column) -> Column:
     """How often each of COUNTED stands in a line, modulo 256, packed into a long."""
     parts = [F.shiftleft((F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))).cast("long").bitwiseAND(F.lit(255)), 8 * k) for k, c in enumerate(COUNTED)]
@@ -81,7 +98,7 @@ def key_rows(lines: DataFrame, threshold: int, probing: bool, outer: str | None
     each = each.select("*", (start + F.col("shift")).alias("at"), (F.col("short") + F.when(F.col("i") > F.col("even"), 1).otherwise(0)).alias("size"))
     each = each.where((F.col("at") >= 1) & (F.col("at") + F.col("size") - 1 <= F.col("length")))
     of = [F.col("other"), F.col("i"), F.substring(F.col("line"), F.col("at"), F.col("size")), *([F.col(outer)] if outer else [])]
-    return each.select("id", F.xxhash64(*of).alias("key"), "counts", "at", "size")
+    return each.select("id", F.xxhash64(*of).alias("key"), "counts", "at", "size", "other")
 
 
 def banded_distance(a: Column, b: Column, threshold: int) -> Column:
@@ -131,10 +148,11 @@ def _candidates(lines: DataFrame, threshold: int) -> DataFrame:
     Lines of one key whose letter counts are too far apart don't meet, which keeps groups of lines with a
     replaced word from meeting in all pairs.
     """
-    index = key_rows(lines, threshold, False).select("key", F.col("id").alias("a"), F.col("counts").alias("a_counts"))
+    keys = key_rows(lines, threshold, False)
+    index = keys.select("key", F.col("id").alias("a"), F.col("counts").alias("a_counts"))
     probe = key_rows(lines, threshold, True).select("key", F.col("id").alias("b"), F.col("counts").alias("b_counts"))
     met = lambda x, y, on: x.join(y, on).where((F.col("a") != F.col("b")) & counts_allow(F.col("a_counts"), F.col("b_counts"), threshold))
-    hot = stored(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("key"), "hot")
+    hot = stored(keys.where(F.col("other") - F.col("size") > threshold).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("key"), "hot")
     pair = lambda df: df.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     if not hot.limit(1).count():
         return pair(met(index, probe, "key")).distinct()
@@ -163,9 +181,8 @@ def _refined(lines: DataFrame, hot: DataFrame, threshold: int) -> DataFrame:
 
 
 def line_nodes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Distinct lines that take part: id, line, length, counts, first_doc (smallest document id), n (documents)."""
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    each = docs.select(doc.alias("doc"), F.explode(F.array_distinct(lines_of(F.col("text")))).alias("line")).where(F.length("line") >= min_chars)
+    """Distinct lines that take part of ``numbered`` documents: id, line, length, counts, first_doc (smallest document id), n (documents)."""
+    each = docs.select(F.col("__doc").alias("doc"), F.explode(F.array_distinct(lines_of(F.col("text")))).alias("line")).where(takes_part(F.col("line"), min_chars))
     nodes = each.groupBy("line").agg(F.min("doc").alias("first_doc"), F.count(F.lit(1)).alias("n"))
     return stored(nodes.select(F.monotonically_increasing_id().alias("id"), "line", F.length("line").alias("length"), letter_counts(F.col("line")).alias("counts"), "first_doc", "n"), "lines")
 
@@ -184,7 +201,7 @@ def links(nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 
 def removals(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
-    """For each document id with lines to remove or to link: doc, gone (hashes of lines that go), n_links."""
+    """For each of ``numbered`` documents with lines to remove or to link: doc, gone (hashes of lines that go), n_links."""
     nodes = line_nodes(docs, min_chars)
     found = stored(links(nodes, threshold), "links")
     gone = found.select(F.col("later").alias("id")).distinct().withColumn("gone", F.lit(True))
@@ -192,8 +209,7 @@ def removals(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_C
     h1, h2 = F.xxhash64("line"), F.xxhash64(F.lit(1), F.col("line"))
     verdict = nodes.join(gone, "id", "left").join(ends, "id", "left").where("n > 1 or gone or n_links > 0")
     verdict = verdict.select(h1.alias("h1"), h2.alias("h2"), "first_doc", F.coalesce("gone", F.lit(False)).alias("gone"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    each = docs.select(doc.alias("doc"), F.explode(F.array_distinct(lines_of(F.col("text")))).alias("line")).where(F.length("line") >= min_chars)
+    each = docs.select(F.col("__doc").alias("doc"), F.explode(F.array_distinct(lines_of(F.col("text")))).alias("line")).where(takes_part(F.col("line"), min_chars))
     placed = each.select("doc", h1.alias("h1"), h2.alias("h2")).join(verdict, ["h1", "h2"])
     goes = F.col("gone") | (F.col("doc") != F.col("first_doc"))
     return placed.groupBy("doc").agg(F.collect_set(F.when(goes, F.col("h1"))).alias("gone"), F.sum("n_links").alias("n_links"))
@@ -201,17 +217,17 @@ def removals(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_C
 
 def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """All columns of ``docs`` with the kept lines as text, and __n_lines, __n_removed, __n_links."""
-    found = removals(docs, threshold, min_chars).withColumnsRenamed({"doc": "__doc", "gone": "__gone", "n_links": "__n_links"})
-    keyed = docs.withColumn("__doc", F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)))
+    keyed = numbered(docs)
+    found = removals(keyed, threshold, min_chars).withColumnsRenamed({"doc": "__doc", "gone": "__gone", "n_links": "__n_links"})
     lines = lines_of(F.col("text"))
-    short = lambda x: F.length(x) < min_chars
+    stays = lambda x: ~takes_part(x, min_chars)
     unique = F.size(F.array_distinct(lines)) == F.size(lines)
     none = F.array().cast("array<bigint>")
-    left = F.filter(lines, lambda x: short(x) | ~F.array_contains(F.coalesce("__gone", none), F.xxhash64(x)))
-    once = F.when(unique, left).otherwise(F.filter(left, lambda x, i: short(x) | (F.call_function("array_position", left, x) == i + 1)))
+    left = F.filter(lines, lambda x: stays(x) | ~F.array_contains(F.coalesce("__gone", none), F.xxhash64(x)))
+    once = F.when(unique, left).otherwise(F.filter(left, lambda x, i: stays(x) | (F.call_function("array_position", left, x) == i + 1)))
     out = keyed.join(found, "__doc", "left").withColumns({"__kept": once, "__n_lines": F.coalesce(F.size(lines), F.lit(0))})
     text = F.when(F.col("text").isNull(), F.lit(None).cast("string")).otherwise(F.array_join("__kept", "\n"))
-    columns = [text.alias(c) if c == "text" else docs[c] for c in docs.columns]
+    columns = [text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
     removed = F.when(F.col("text").isNull(), 0).otherwise(F.col("__n_lines") - F.size("__kept"))
     return out.select(*columns, F.when(F.col("text").isNull(), 0).otherwise(F.col("__n_lines")).cast("long").alias("__n_lines"), removed.cast("long").alias("__n_removed"), F.coalesce("__n_links", F.lit(0)).alias("__n_links"))
 

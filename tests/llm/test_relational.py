@@ -149,6 +149,21 @@ def test_line_dedup(spark, odd):
     assert line_dedup.dedup_lines(odd.limit(0)).count() == 0
 
 
+def test_line_dedup_of_short_lines_and_null_ids(spark):
+    rows = [(1, "Read more\n\nok\n---\nfirst body"), (2, "Read more\n\nok\n---\nother text"), (3, "Read mole\nno"), (None, "menu one\nquite alone"), (None, "menu one\nsome more"), (None, "menu one\nsome more")]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(x["text"] for x in got if x["doc_id"]) == sorted(["Read more\n\nok\n---\nfirst body", "\n---\nother text", "no"])
+    assert Counter(y for x in got if x["doc_id"] is None for y in x["text"].split("\n") if y) == {"menu one": 1, "quite alone": 1, "some more": 1}
+
+
+def test_segment_join_of_short_lines(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HOT", 3)
+    lines = sorted({"".join(x) for n in (3, 4, 5) for x in itertools.product("ab", repeat=n)})
+    df = spark.createDataFrame([(k, x, len(x)) for k, x in enumerate(lines)], "id long, line string, length int").withColumn("counts", line_dedup.letter_counts(F.col("line")))
+    found = {(x["a"], x["b"]) for x in line_dedup._candidates(df, 2).collect()}
+    assert {(i, j) for i, j in itertools.combinations(range(len(lines)), 2) if distance(lines[i], lines[j]) <= 2} <= found
+
+
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 
