@@ -1,21 +1,25 @@
 """Line dedup by a segment-partition edit join.
 
 All lines with a word take part; the others (blank lines, rules) always stay, and so do lines under ``min_chars``
-where a caller asks for such a floor. Equal lines are one node. Two nodes of more than ``threshold`` characters are
-linked if their edit distance is at most ``threshold``; shorter lines go by equality alone. To find such pairs, each line is
-cut into threshold + 1 even segments: of two linked lines, one contains a segment of the other, near
-the same place. The index holds (length, segment number, segment); a line probes it, for each length
+where a caller asks for such a floor. Equal lines are one node. Two nodes are linked if their edit distance is at most
+what the shorter one allows: an edit for each ``every`` characters, ``threshold`` at most. So lines under ``every``
+characters go by equality alone ("Day 1" and "Day 2" are not copies). To find such pairs, each line is
+cut into one segment more than the edits it allows, of even length: of two linked lines, one contains a segment of the
+other, near the same place. The index holds (length, segment number, segment); a line probes it, for each length
 from its own down to ``threshold`` less, with the few substrings whose start a match can have. Both
 sides travel as 64-bit keys. Keys that more than HOT lines share are refined: their lines, without the
 matching segment, are joined in the same way once more on the rest, which is exact too, as what is left
-must match within the threshold; keys whose rest would be too short for that stay as they are. Candidates are verified by a banded bit-parallel edit distance.
+must match within the allowance, and meet only if their letter counts allow it; keys whose rest would be too short
+for that stay as they are. Candidates are verified by a banded bit-parallel edit distance.
 
 A line stays where it first occurs (smallest doc_id, then place) unless it is linked to a line that
 first occurs in an earlier document, or in the same and is smaller as a string. All else is removed.
 
-Everything is DataFrame functions. Edge cases: null and empty texts have no lines that take part and
-stay as they are. Rows that share an id count as one document. Rows with a null id are a document each and come last. A text of which
-every line goes becomes the empty string. Empty tables give no rows.
+Everything is DataFrame functions, and linear in the lines of a document. Edge cases: null and empty texts have no lines
+that take part and stay as they are. Rows that share an id count as one document; each of them keeps the lines that stay.
+Rows with a null id are a document each and come last. A text of which every line goes becomes the empty string.
+Lines of any length and any letters take part whole. Empty tables give no rows. Other columns stay, of any name that
+doesn't begin with two underscores.
 """
 
 from __future__ import annotations
@@ -26,11 +30,14 @@ from pyspark.sql import functions as F
 from lakewright.llm.common import stored, table
 
 THRESHOLD = 2
+#: Characters of a line for each edit that it allows.
+EVERY = 8
 MIN_CHARS = 0
 WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
 HOT = 48
-BROADCAST_IDS = 1_000_000
-#: Letters whose counts a key carries along, eight bits each.
+#: Rows of ids or hashes, of 50 bytes at most, up to which they are broadcast.
+BROADCAST_IDS = 500_000
+#: Letters whose counts, modulo 16, the lines of hot keys carry along, eight bits each.
 COUNTED = "entairso"
 
 
@@ -43,62 +50,75 @@ def takes_part(line: Column, min_chars: int) -> Column:
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with __doc (none, id): the document id, or for rows without one, which come last, a number of the row.
+    """``docs`` with __id, the document id, __row, which numbers the rows without one and is null for all others, and
+    __text, a hash of the text, by which rows that share an id are told apart.
 
     The rows without an id are written out, so that their numbers stay."""
-    key = lambda none, n: F.struct(F.lit(none).alias("none"), n.cast("long").alias("id"))
+    docs = docs.withColumn("__text", F.xxhash64(docs["text"]))
+    with_id = docs.where(docs["doc_id"].isNotNull()).withColumns({"__id": docs["doc_id"].cast("long"), "__row": F.lit(None).cast("long")})
     none = docs.where(docs["doc_id"].isNull())
-    with_id = docs.where(docs["doc_id"].isNotNull()).withColumn("__doc", key(False, docs["doc_id"]))
     if not none.limit(1).count():
         return with_id
-    return with_id.unionByName(stored(none.withColumn("__doc", key(True, F.monotonically_increasing_id())), "null-ids"))
+    return with_id.unionByName(stored(none.withColumns({"__id": F.lit(None).cast("long"), "__row": F.monotonically_increasing_id()}), "null-ids"))
 
 
 def letter_counts(line: Column) -> Column:
-    """How often each of COUNTED stands in a line, modulo 256, packed into a long."""
-    parts = [F.shiftleft((F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))).cast("long").bitwiseAND(F.lit(255)), 8 * k) for k, c in enumerate(COUNTED)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.bitwiseOR(part)
+    """How often each of COUNTED stands in a line, packed into a long.
+
+    A count n is a byte that a step changes by one bit: n low bits set for n up to 8, then one less from below each step,
+    up to 16, which is 0 again. So two longs differ in as many bits as the counts differ, modulo 16, in all."""
+    out = F.lit(0).cast("long")
+    for k, c in enumerate(COUNTED):
+        n = F.pmod(F.length(line) - F.length(F.replace(line, F.lit(c), F.lit(""))), F.lit(16))
+        low = lambda m: F.call_function("shiftleft", F.lit(1).cast("long"), m) - 1
+        code = F.when(n <= 8, low(n)).otherwise(F.lit(255) - low(n - 8))
+        out = out.bitwiseOR(F.shiftleft(code, 8 * k))
     return out
 
 
 def counts_allow(a: Column, b: Column, threshold: int) -> Column:
     """Whether two packed counts can belong to lines within ``threshold`` edits: each edit moves two counts by one at most."""
-    apart = []
-    for k in range(len(COUNTED)):
-        x = (F.shiftright(a, 8 * k) - F.shiftright(b, 8 * k)).bitwiseAND(F.lit(255))
-        apart.append(F.least(x, F.lit(256) - x))
-    return sum(apart[1:], apart[0]) <= 2 * threshold
+    return F.bit_count(a.bitwiseXOR(b)) <= 2 * threshold
 
 
-def _options(threshold: int, probing: bool) -> list[tuple[int, int, int]]:
-    """(delta, number, shift) of the keys of a line: how much shorter the indexed line is, which of its segments, and how
-    far from its place there. An index key has neither delta nor shift; a probe leaves out the shifts that would need
+def allowed_edits(length: Column, threshold: int, every: int) -> Column:
+    """The edits that a line of a length allows."""
+    return F.least(F.lit(threshold), F.call_function("div", length, F.lit(every))).cast("int")
+
+
+def _options(edits: int, probing: bool) -> list[tuple[int, int, int, int]]:
+    """(edits, delta, number, shift) of the keys of a line: how much shorter the indexed line is, which of its segments, and
+    how far from its place there. An index key has neither delta nor shift; a probe leaves out the shifts that would need
     too many edits on one side of the segment."""
-    k = threshold + 1
+    k = edits + 1
     if not probing:
-        return [(0, i, 0) for i in range(1, k + 1)]
-    shifts = range(-threshold, threshold + 1)
-    return [(d, i, s) for d in range(k) for i in range(1, k + 1) for s in shifts if abs(s) <= i - 1 and abs(s - d) <= k - i]
+        return [(edits, 0, i, 0) for i in range(1, k + 1)]
+    shifts = range(-edits, edits + 1)
+    return [(edits, d, i, s) for d in range(k) for i in range(1, k + 1) for s in shifts if abs(s) <= i - 1 and abs(s - d) <= k - i]
 
 
-def key_rows(lines: DataFrame, threshold: int, probing: bool, outer: str | None = None) -> DataFrame:
-    """One row for each key of each line (id, line, length, counts): id, key, counts, at, size.
+def key_rows(lines: DataFrame, threshold: int, probing: bool, every: int, outer: list[str] | None = None) -> DataFrame:
+    """One row for each key of each line (id, line, length): id, key, at, size, other (the indexed line's length), edits.
 
     The options are exploded first, so that one short expression makes all keys: unrolled, they are more
     than the JVM compiles. Segments are even, the later ones longer by one where the length doesn't part.
+    With ``outer``, columns that go into the key, the lines are what is left of others and have a column ``edits``.
     """
-    k = threshold + 1
-    options = F.array(*[F.struct(F.lit(d).alias("delta"), F.lit(i).alias("i"), F.lit(s).alias("shift")) for d, i, s in _options(threshold, probing)])
-    each = lines.select("*", F.explode(options).alias("o")).select("*", "o.*").withColumn("other", F.col("length") - F.col("delta")).where(F.col("other") >= k)
-    each = each.withColumn("short", F.call_function("div", F.col("other"), F.lit(k)).cast("int"))
-    each = each.withColumn("even", F.lit(k) - F.pmod(F.col("other"), F.lit(k)))  # so many segments are the short ones
+    option = lambda o: F.struct(*[F.lit(x).alias(n) for n, x in zip(("of_edits", "delta", "i", "shift"), o, strict=True)])
+    options = [F.array(*[option(o) for t in range(least, threshold + 1) for o in _options(t, probing)]) for least in (1, threshold)]
+    all_allowed = F.col("edits") == threshold if outer else F.col("length") >= threshold * (every + 1)  # that of shorter lines too
+    each = lines.select("*", F.explode(F.when(all_allowed, options[1]).otherwise(options[0])).alias("o")).select("*", "o.*")
+    each = each.withColumn("other", F.col("length") - F.col("delta"))
+    edits = F.col("edits") if outer else allowed_edits(F.col("other"), threshold, every)
+    k = F.col("of_edits") + 1
+    each = each.where((edits == F.col("of_edits")) & (F.col("other") >= k))
+    each = each.withColumn("short", F.call_function("div", F.col("other"), k).cast("int"))
+    each = each.withColumn("even", k - F.pmod(F.col("other"), k))  # so many segments are the short ones
     start = F.col("short") * (F.col("i") - 1) + F.greatest(F.col("i") - 1 - F.col("even"), F.lit(0)) + 1
     each = each.select("*", (start + F.col("shift")).alias("at"), (F.col("short") + F.when(F.col("i") > F.col("even"), 1).otherwise(0)).alias("size"))
     each = each.where((F.col("at") >= 1) & (F.col("at") + F.col("size") - 1 <= F.col("length")))
-    of = [F.col("other"), F.col("i"), F.substring(F.col("line"), F.col("at"), F.col("size")), *([F.col(outer)] if outer else [])]
-    return each.select("id", F.xxhash64(*of).alias("key"), "counts", "at", "size", "other")
+    of = [F.col("other"), F.col("i"), F.substring(F.col("line"), F.col("at"), F.col("size")), *map(F.col, outer or [])]
+    return each.select("id", F.xxhash64(*of).alias("key"), "at", "size", "other", F.col("of_edits").alias("key_edits"))
 
 
 def banded_distance(a: Column, b: Column, threshold: int) -> Column:
@@ -142,28 +162,25 @@ def may_be_near(a: Column, b: Column, threshold: int, blocks: int = 8) -> Column
     return sum(held[1:], held[0]) >= blocks - threshold
 
 
-def _candidates(lines: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b) of line ids, a < b, that share a key. ``lines``: id, line, and length and counts as columns, as each key asks for them.
-
-    Lines of one key whose letter counts are too far apart don't meet, which keeps groups of lines with a
-    replaced word from meeting in all pairs.
-    """
-    keys = key_rows(lines, threshold, False)
-    index = keys.select("key", F.col("id").alias("a"), F.col("counts").alias("a_counts"))
-    probe = key_rows(lines, threshold, True).select("key", F.col("id").alias("b"), F.col("counts").alias("b_counts"))
-    met = lambda x, y, on: x.join(y, on).where((F.col("a") != F.col("b")) & counts_allow(F.col("a_counts"), F.col("b_counts"), threshold))
-    hot = stored(keys.where(F.col("other") - F.col("size") > threshold).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("key"), "hot")
+def _candidates(lines: DataFrame, threshold: int, every: int = 1) -> DataFrame:
+    """Pairs (a, b) of line ids, a < b, that share a key. ``lines``: id, line and length."""
+    keys, probe = key_rows(lines, threshold, False, every), key_rows(lines, threshold, True, every)
     pair = lambda df: df.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    if not hot.limit(1).count():
-        return pair(met(index, probe, "key")).distinct()
-    pairs = pair(met(index.join(hot, "key", "left_anti"), probe, "key"))
+    refinable = F.col("other") - F.col("size") > F.col("key_edits")
+    hot = stored(keys.where(refinable).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("key"), "hot")
+    n_hot = hot.count()
+    index, asks = keys.select("key", F.col("id").alias("a")), probe.select("key", F.col("id").alias("b"))
+    if not n_hot:
+        return pair(index.join(asks, "key").where("a <> b")).distinct()
+    known = F.broadcast(hot) if n_hot <= BROADCAST_IDS else hot
+    pairs = pair(index.join(known, "key", "left_anti").join(asks, "key").where("a <> b"))
     # A line's own segments are among what it asks for, so its probes tell whether it has a hot key.
-    having = probe.join(hot, "key", "left_semi").select(F.col("b").alias("id")).distinct()
-    some = stored(lines.join(having, "id", "left_semi"), "hot-lines")
-    return pairs.unionByName(pair(_refined(some, hot, threshold))).distinct()
+    having = probe.join(known, "key", "left_semi").select("id").distinct()
+    some = stored(lines.join(having, "id", "left_semi").select("id", "line", "length", letter_counts(F.col("line")).alias("counts")), "hot-lines")
+    return pairs.unionByName(pair(_refined(some, known, threshold, every))).distinct()
 
 
-def _refined(lines: DataFrame, hot: DataFrame, threshold: int) -> DataFrame:
+def _refined(lines: DataFrame, hot: DataFrame, threshold: int, every: int) -> DataFrame:
     """The pairs of hot keys: the rests of the lines, without the segment of the key, must share a key too.
 
     Keys are told hot before any rest is made, so that few strings are copied.
@@ -171,68 +188,76 @@ def _refined(lines: DataFrame, hot: DataFrame, threshold: int) -> DataFrame:
     line = F.col("line")
 
     def again(probing: bool, name: str) -> DataFrame:
-        each = key_rows(lines, threshold, probing).drop("counts").join(hot, "key", "left_semi").join(lines, "id")
+        each = key_rows(lines, threshold, probing, every).join(hot, "key", "left_semi").join(lines, "id")
         rest = F.concat(F.substring(line, F.lit(1), F.col("at") - 1), F.substring(line, F.col("at") + F.col("size"), F.col("length")))
-        rests = each.select("id", F.col("key").alias("outer"), rest.alias("line"), (F.col("length") - F.col("size")).alias("length"), "counts")
-        return key_rows(rests, threshold, probing, "outer").select(F.col("key").alias("finer"), F.col("id").alias(name), F.col("counts").alias(f"{name}_counts"))
+        rests = each.select("id", "counts", F.col("key").alias("outer"), rest.alias("line"), (F.col("length") - F.col("size")).alias("length"), F.col("key_edits").alias("edits"))
+        rows = key_rows(rests, threshold, probing, every, ["outer"]).select(F.col("key").alias("finer"), F.col("id").alias(name))
+        return rows.distinct().join(lines.select(F.col("id").alias(name), F.col("counts").alias(f"{name}_counts")), name)
 
     allowed = counts_allow(F.col("a_counts"), F.col("b_counts"), threshold) & (F.col("a") != F.col("b"))
     return again(False, "a").join(again(True, "b"), "finer").where(allowed).select("a", "b")
 
 
 def line_nodes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Distinct lines that take part of ``numbered`` documents: id, line, length, counts, first_doc (smallest document id), n (documents)."""
-    each = docs.select(F.col("__doc").alias("doc"), F.explode(F.array_distinct(lines_of(F.col("text")))).alias("line")).where(takes_part(F.col("line"), min_chars))
-    nodes = each.groupBy("line").agg(F.min("doc").alias("first_doc"), F.count(F.lit(1)).alias("n"))
-    return stored(nodes.select(F.monotonically_increasing_id().alias("id"), "line", F.length("line").alias("length"), letter_counts(F.col("line")).alias("counts"), "first_doc", "n"), "lines")
+    """Distinct lines that take part of ``numbered`` documents: id, line, length, first_id and first_row (of the first document), n (places)."""
+    each = docs.select("__id", "__row", F.explode(lines_of(F.col("text"))).alias("line")).where(takes_part(F.col("line"), min_chars))
+    nodes = each.groupBy("line").agg(F.min("__id").alias("first_id"), F.min("__row").alias("first_row"), F.count(F.lit(1)).alias("n"))
+    first_row = F.when(F.col("first_id").isNull(), F.col("first_row")).alias("first_row")
+    return stored(nodes.select(F.monotonically_increasing_id().alias("id"), "line", F.length("line").alias("length"), "first_id", first_row, "n"), "lines")
 
 
-def links(nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def links(nodes: DataFrame, threshold: int = THRESHOLD, every: int = EVERY) -> DataFrame:
     """(a, b, later): linked lines, and which of them goes."""
-    pairs = stored(_candidates(nodes.select("id", "line", "length", "counts"), threshold), "pairs")
+    pairs = stored(_candidates(nodes.select("id", "line", "length"), threshold, every), "pairs")
     ids = stored(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
     few = ids.count() <= BROADCAST_IDS
     wanted = nodes.join(F.broadcast(ids) if few else ids, "id", "left_semi")
-    side = lambda c: wanted.select(F.col("id").alias(c), F.struct("first_doc", "line").alias(f"{c}_at"))
+    at = F.struct(F.col("first_id").isNull().alias("no_id"), "first_id", "first_row", "line")
+    side = lambda c: wanted.select(F.col("id").alias(c), at.alias(f"{c}_at"), F.col("length").alias(f"{c}_length"))
     a, b = F.col("a_at.line"), F.col("b_at.line")
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(may_be_near(a, b, threshold))
-    found = both.where(banded_distance(a, b, threshold).isNotNull())
+    found = both.where(banded_distance(a, b, threshold) <= allowed_edits(F.least("a_length", "b_length"), threshold, every))
     return found.select("a", "b", F.when(F.col("a_at") > F.col("b_at"), F.col("a")).otherwise(F.col("b")).alias("later"))
 
 
-def removals(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
-    """For each of ``numbered`` documents with lines to remove or to link: doc, gone (hashes of lines that go), n_links."""
+def removals(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, every: int = EVERY) -> DataFrame:
+    """For each text of ``numbered`` documents with repeated or linked lines: __id, __row, __text, gone (places of lines that go), n_links."""
     nodes = line_nodes(docs, min_chars)
-    found = stored(links(nodes, threshold), "links")
+    found = stored(links(nodes, threshold, every), "links")
     gone = found.select(F.col("later").alias("id")).distinct().withColumn("gone", F.lit(True))
     ends = found.select(F.col("a").alias("id")).unionByName(found.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     h1, h2 = F.xxhash64("line"), F.xxhash64(F.lit(1), F.col("line"))
     verdict = nodes.join(gone, "id", "left").join(ends, "id", "left").where("n > 1 or gone or n_links > 0")
-    verdict = verdict.select(h1.alias("h1"), h2.alias("h2"), "first_doc", F.coalesce("gone", F.lit(False)).alias("gone"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    each = docs.select(F.col("__doc").alias("doc"), F.explode(F.array_distinct(lines_of(F.col("text")))).alias("line")).where(takes_part(F.col("line"), min_chars))
-    placed = each.select("doc", h1.alias("h1"), h2.alias("h2")).join(verdict, ["h1", "h2"])
-    goes = F.col("gone") | (F.col("doc") != F.col("first_doc"))
-    return placed.groupBy("doc").agg(F.collect_set(F.when(goes, F.col("h1"))).alias("gone"), F.sum("n_links").alias("n_links"))
-
-
-def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+    verdict = stored(verdict.select(h1.alias("h1"), h2.alias("h2"), "first_id", "first_row", F.coalesce("gone", F.lit(False)).alias("gone"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "verdicts")
+    few = verdict.count() <= BROADCAST_IDS
+    each = docs.select("__id", "__row", "__text", F.posexplode(lines_of(F.col("text"))).alias("place", "line")).where(takes_part(F.col("line"), min_chars))
+    placed = each.select("__id", "__row", "__text", "place", h1.alias("h1"), h2.alias("h2")).join(F.broadcast(verdict) if few else verdict, ["h1", "h2"])
+    elsewhere = ~(F.col("__id").eqNullSafe(F.col("first_id")) & F.col("__row").eqNullSafe(F.col("first_row")))
+    # Partitioned by text once, for both groupings. In its first document a line stays at its first place.
+    line = placed.repartition("__id", "__row", "__text").groupBy("__id", "__row", "__text", "h1", "h2")
+    line = line.agg(F.array_sort(F.collect_set("place")).alias("places"), F.first(F.col("gone") | elsewhere).alias("goes"), F.first("n_links").alias("n_links"))
+    goes = F.when(F.col("goes"), F.col("places")).otherwise(F.slice("places", F.lit(2), F.size("places")))
+    return line.groupBy("__id", "__row", "__text").agg(F.flatten(F.collect_list(goes)).alias("gone"), F.sum("n_links").alias("n_links"))
+
+
+def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, every: int = EVERY) -> DataFrame:
     """All columns of ``docs`` with the kept lines as text, and __n_lines, __n_removed, __n_links."""
     keyed = numbered(docs)
-    found = removals(keyed, threshold, min_chars).withColumnsRenamed({"doc": "__doc", "gone": "__gone", "n_links": "__n_links"})
-    lines = lines_of(F.col("text"))
-    stays = lambda x: ~takes_part(x, min_chars)
-    unique = F.size(F.array_distinct(lines)) == F.size(lines)
-    none = F.array().cast("array<bigint>")
-    left = F.filter(lines, lambda x: stays(x) | ~F.array_contains(F.coalesce("__gone", none), F.xxhash64(x)))
-    once = F.when(unique, left).otherwise(F.filter(left, lambda x, i: stays(x) | (F.call_function("array_position", left, x) == i + 1)))
-    out = keyed.join(found, "__doc", "left").withColumns({"__kept": once, "__n_lines": F.coalesce(F.size(lines), F.lit(0))})
-    text = F.when(F.col("text").isNull(), F.lit(None).cast("string")).otherwise(F.array_join("__kept", "\n"))
+    found = removals(keyed, threshold, min_chars, every).withColumnsRenamed({"gone": "__gone", "n_links": "__n_links"})
+    # The struct is never null, so that this is an ordinary join on keys, with rows that have no id too.
+    key = F.struct("__id", "__row", "__text").alias("__key")
+    out = keyed.withColumn("__key", key).join(found.select(key, "__gone", "__n_links"), "__key", "left").withColumn("__lines", lines_of(F.col("text")))
+    places = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.coalesce("__gone", F.array().cast("array<int>")))
+    kept = F.array_join(F.transform(places, lambda i: F.get(F.col("__lines"), i)), "\n")
+    text = F.when(F.size("__gone") > 0, kept).otherwise(F.col("text"))
     columns = [text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    removed = F.when(F.col("text").isNull(), 0).otherwise(F.col("__n_lines") - F.size("__kept"))
-    return out.select(*columns, F.when(F.col("text").isNull(), 0).otherwise(F.col("__n_lines")).cast("long").alias("__n_lines"), removed.cast("long").alias("__n_removed"), F.coalesce("__n_links", F.lit(0)).alias("__n_links"))
+    number = lambda n: F.coalesce(n, F.lit(0)).cast("long")
+    n_removed = number(F.when(F.col("__gone").isNotNull(), F.size("__gone")))
+    return out.select(*columns, number(F.when(F.col("text").isNotNull(), F.size("__lines"))).alias("__n_lines"), n_removed.alias("__n_removed"), number(F.col("__n_links")).alias("__n_links"))
 
 
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:
+    """One row a document: doc_id, n_lines, n_removed, n_links (of its distinct lines, to other lines) and the digest of the lines that stay."""
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(
         "doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.col("__n_links").alias("n_links"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")
