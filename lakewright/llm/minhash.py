@@ -8,14 +8,18 @@ level, and counts if the level is below w. A register keeps the least time, so t
 register with the probability of their similarity. A process ends as soon as its time is past the
 latest register of its text, which bounds the work by about m log m points a text.
 
-Texts that agree in a whole band are candidates. Equal texts are first merged into one node. In a bucket
-of at most SMALL nodes every two are compared; in a larger one every node with the smallest. The nodes of
-large buckets that this leaves in several components are joined by their rarest shingles (``rare_shingles``): first
-each with one node of every other component (``by_first``), then, with the components that this leaves, every two of
-different components that can be similar enough (``by_all``). So no bucket is capped, no large one is expanded into the
-pairs within a component, and no pair between components goes unseen. Every candidate pair is verified on
-the multisets themselves (similarity of SIMILARITY or more), and classes are the connected components
-of the verified links.
+Texts that agree in a whole band are candidates. Equal texts are first merged into one node. Candidates are compared in
+rounds, and a round leaves out what lies in one component of the links found so far, as it can't change the classes:
+
+1. every node with one other, the smallest that it shares a bucket with (``nearest``);
+2. the nodes of each bucket with its smallest (``stars``);
+3. all of a bucket of at most SMALL nodes (``within_small``);
+4. the nodes of large buckets that hold several components still, by their rarest shingles (``rare_shingles``): first
+   each with one node of every other component (``by_first``), then every two that can be similar enough (``by_all``).
+
+So no bucket is capped, no large one is expanded into the pairs within a component, and no candidate pair between two
+components goes unseen. Every pair is verified on the multisets themselves (similarity of SIMILARITY or more), and
+classes are the connected components of the verified links.
 
 Edge cases: a null text, or one without words, is a class of its own. Repeated rows and equal texts share
 a class, ties in id included. Very long texts are hashed whole, in chunks. Empty tables give no rows.
@@ -37,6 +41,8 @@ SHINGLE = 5
 BANDS, ROWS = 24, 4
 SIMILARITY = 0.8
 SMALL = 12
+#: Texts that share a bucket with others, 50 bytes each, up to which their keys are broadcast.
+BROADCAST_NODES = 500_000
 #: Bands that a pair must share before its texts are compared: at 0.8, six pairs in 100,000 share fewer.
 SHARED = 2
 #: Bytes of text whose signatures are made at once.
@@ -195,13 +201,36 @@ def shared(buckets: DataFrame) -> DataFrame:
     return stored(buckets.join(size, "bucket"), "buckets")
 
 
-def candidates(met: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of nodes to compare: all of a small bucket, the smallest with each of a large one."""
-    star = met.where(F.col("n") > SMALL).select(F.col("least").alias("a"), F.col("node").alias("b"))
-    few = met.where(F.col("n") <= SMALL)
-    other = few.select("bucket", F.col("node").alias("b"))
-    every = few.select("bucket", F.col("node").alias("a")).join(other, "bucket").select("a", "b")
-    return star.unionByName(every).where("a < b").distinct()
+def nearest(met: DataFrame) -> DataFrame:
+    """One pair (a, b) for each node but the smallest: the smallest node that it shares a bucket with."""
+    return met.where("least < node").groupBy("node").agg(F.min("least").alias("a")).select("a", F.col("node").alias("b"))
+
+
+def labelled(rows: DataFrame, labels: DataFrame, node: str = "node", label: str = "label") -> DataFrame:
+    """The rows with the component of their node; a node without links is its own."""
+    known = labels.select(F.col("node").alias(node), F.col("label").alias(label))
+    return rows.join(known, node, "left").withColumn(label, F.coalesce(label, node))
+
+
+def still_open(met: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of buckets that hold several components, with the label of the node and of the bucket's smallest, stored.
+
+    A bucket is open if any node has another label than the smallest."""
+    both = stored(labelled(labelled(met, labels), labels, "least", "least_label"), "labelled")
+    many = both.where("label <> least_label").select("bucket").distinct()
+    return stored(both.join(many, "bucket", "left_semi"), "open")
+
+
+def stars(open_: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b: the smallest of a bucket and each of its nodes in another component."""
+    return open_.where("label <> least_label").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
+
+
+def within_small(open_: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of nodes in different components of a bucket of at most SMALL nodes."""
+    few = open_.where(F.col("n") <= SMALL)
+    a, b = (few.select("bucket", F.col("node").alias(c), F.col("label").alias(f"{c}_label")) for c in "ab")
+    return a.join(b, "bucket").where("a < b and a_label <> b_label").select("a", "b").distinct()
 
 
 def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -241,11 +270,6 @@ def rare_shingles(loose: DataFrame, sets: DataFrame, similarity: float) -> DataF
     return stored(rows.where("r.seen > 1").select("node", "n", "r.token", "at", (F.col("at") < F.col("listed")).alias("listed")), "rare")
 
 
-def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows with the component of their node; a node without links is its own."""
-    return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-
-
 def by_first(rows: DataFrame) -> DataFrame:
     """Pairs (a, b) of nodes in different components, each with the first listed node of the other component.
 
@@ -284,9 +308,32 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(similarity_udf("x", "y") >= similarity).select("a", "b")
 
 
+def merged_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, label) after more links: components of the components that they tie."""
+    ends = stored(labelled(labelled(links, labels, "a", "a_label"), labels, "b", "b_label").select("a", "b", "a_label", "b_label"), "ends")
+    up = components(ends.select(F.col("a_label").alias("a"), F.col("b_label").alias("b"))).withColumnRenamed("label", "up")
+    new = ends.select(F.col("a").alias("node"), F.col("a_label").alias("label")).unionByName(ends.select(F.col("b").alias("node"), F.col("b_label").alias("label")))
+    every = labels.unionByName(new).distinct().join(up.withColumnRenamed("node", "label"), "label", "left")
+    return stored(every.select("node", F.coalesce("up", "label").alias("label")), "labels")
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, shingles), stored, of the texts of ``wanted`` (node, h1, h2, first_id).
+
+    Texts are read again rather than kept from the first pass; those that aren't wanted go before any shuffle, as long as
+    the wanted ones are few enough to be broadcast."""
+    few = wanted.count() <= BROADCAST_NODES
+    keyed = docs.select(*text_key(F.col("text")), F.col("doc_id").alias("first_id"), "text").alias("k")
+    wanted = F.broadcast(wanted.alias("w")) if few else wanted.alias("w")
+    found = keyed.join(wanted, (F.col("k.h1") == F.col("w.h1")) & (F.col("k.h2") == F.col("w.h2")) & F.col("k.first_id").eqNullSafe(F.col("w.first_id")))
+    # An id can stand on several rows with one text: of each node one text is hashed.
+    once = found.select("w.node", "k.text", shingles_udf("k.text").alias("shingles")).drop("text")
+    return stored(once.dropDuplicates(["node"]) if not few else once, "shingles")
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Two stored tables: documents (doc_id, h1, h2, null hashes for texts without words) and their texts
-    (h1, h2, node, first_id, copies, class_id, n_links). The class id is the smallest document id in the class."""
+    (h1, h2, node, first_id, copies, class_id, label). The class id is the smallest document id in the class."""
     h1, h2 = text_key(F.col("text"))
     signed = stored(docs.select("doc_id", h1, h2, bands_udf("text").alias("bands")), "signatures")
     rows = signed.select("doc_id", F.when(F.col("bands").isNotNull(), F.col("h1")).alias("h1"), F.when(F.col("bands").isNotNull(), F.col("h2")).alias("h2"))
@@ -295,52 +342,45 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame,
     nodes = merged.agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
     nodes = stored(nodes.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "first_id", "copies", "bands"), "nodes")
 
-    def sets_of(pairs: DataFrame, known: DataFrame | None) -> DataFrame:
-        """Shingles of all nodes of the pairs that aren't known yet, and the known ones."""
-        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        wanted = nodes.select("node", "h1", "h2", "first_id").join(wanted, "node")
-        wanted = stored(wanted if known is None else wanted.join(known.select("node"), "node", "left_anti"), "wanted")
-        keyed = docs.select(*text_key(F.col("text")), F.col("doc_id").alias("first_id"), "text")
-        same_id = F.col("k.first_id").eqNullSafe(F.col("w.first_id"))
-        found = keyed.alias("k").join(wanted.alias("w"), (F.col("k.h1") == F.col("w.h1")) & (F.col("k.h2") == F.col("w.h2")) & same_id)
-        found = stored(found.select("w.node", shingles_udf("k.text").alias("shingles")), "shingles")
-        return found if known is None else known.unionByName(found)
-
     met = shared(nodes.select(F.explode("bands").alias("bucket"), "node"))
-    pairs = stored(likely(candidates(met), nodes), "pairs")
-    sets = sets_of(pairs, None)
-    links = stored(verified(pairs, sets, similarity).distinct(), "links")
-    labels = components(links)
-    # Large buckets with nodes that are not in the component of the smallest: their nodes are joined by rare shingles.
-    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
-    big = met.where(F.col("n") > SMALL).join(of("node"), "node", "left").join(of("least"), "least", "left")
-    open_ = stored(big.where(F.coalesce("node_label", "node") != F.coalesce("least_label", "least")).select("bucket").distinct(), "open")
-    if open_.limit(1).count():
-        loose = stored(met.where(F.col("n") > SMALL).join(open_, "bucket", "left_semi").select("node").distinct(), "loose")
-        sets = sets_of(loose.select(F.col("node").alias("a"), F.col("node").alias("b")), sets)
+    meeting = stored(nodes.drop("copies").join(met.select("node").distinct(), "node", "left_semi"), "meeting")
+    sets = shingle_sets(docs, meeting.drop("bands"))
+    labels = components(met.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
+    seen = None
+
+    def compare(pairs: DataFrame) -> bool:
+        """Verify the pairs that no round has seen and merge the components that they link; whether there were any."""
+        nonlocal labels, seen
+        fresh = pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti")
+        fresh = stored(likely(fresh, meeting), "pairs")
+        seen = fresh if seen is None else seen.unionByName(fresh)
+        links = stored(verified(fresh, sets, similarity).distinct(), "links")
+        if not links.limit(1).count():
+            return False
+        labels = merged_labels(labels, links)
+        return True
+
+    compare(nearest(met))
+    open_ = still_open(met, labels)
+    compare(stars(open_))
+    open_ = still_open(open_.select(*met.columns), labels)
+    if compare(within_small(open_)):
+        open_ = still_open(open_.select(*met.columns), labels)
+    loose = stored(open_.where(F.col("n") > SMALL).select("node").distinct(), "loose")
+    if loose.limit(1).count():
         rare = rare_shingles(loose, sets, similarity)
-        for find in (by_first, lambda rows: by_all(rows, similarity)):
-            more = stored(likely(find(labelled(rare, labels)).join(pairs, ["a", "b"], "left_anti"), nodes), "pairs")
-            pairs = pairs.unionByName(more)
-            more = stored(verified(more, sets, similarity).distinct(), "links")
-            if more.limit(1).count():
-                links = links.unionByName(more)
-                labels = components(links)
-    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
-    degree = ends.groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    known = nodes.drop("bands").join(labels, "node", "left").join(degree, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        compare(by_first(labelled(rare, labels)))
+        compare(by_all(labelled(rare, labels), similarity))
+    known = labelled(nodes.drop("bands"), labels)
     first = known.groupBy("label").agg(F.min("first_id").alias("class_id"))
-    texts = known.join(first, "label").select("h1", "h2", "node", "first_id", "copies", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "label")
-    return rows, stored(texts, "classes")
+    return rows, stored(known.join(first, "label").select("h1", "h2", "node", "first_id", "copies", "class_id", "label"), "classes")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One row a document: doc_id, class_id, n_links (similar other texts that its text was linked to), n_copies (rows with its text)."""
+    """One row a document: doc_id, class_id (the smallest id of its class), n_copies (rows with its very text)."""
     rows, texts = classes(docs.select("doc_id", "text"), similarity)
     found = rows.join(texts, ["h1", "h2"], "left")
-    return found.select(
-        "doc_id", F.when(F.col("h1").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("copies", F.lit(1)).alias("n_copies")
-    )
+    return found.select("doc_id", F.when(F.col("h1").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("copies", F.lit(1)).alias("n_copies"))
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
