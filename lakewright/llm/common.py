@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Spark's setting by which a query's shuffle files go as soon as it has ended.
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; where that is unset, as in tests, a folder of this process."""
+    """The shared folder of ``spark.checkpoint.dir``; where that is unset a folder of this process, for a local master alone.
+
+    Elsewhere executors would each write to a disk of their own, so that is an error."""
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='lakewright-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -23,15 +29,17 @@ def scratch_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and return a DataFrame that reads it.
 
-    This cuts the lineage and computes ``df`` once; a lost executor costs no more than its
-    running tasks. The files go when the driver's JVM ends. A garbage collection is asked for, after
-    which Spark removes the shuffle files of earlier steps that nothing refers to any more.
+    This cuts the lineage and computes ``df`` once; a lost executor costs no more than its running tasks.
+    Spark removes the shuffle files of the write when it ends; the table goes when the driver's JVM ends.
     """
     spark = df.sparkSession
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEAN_SHUFFLES, None)
+    spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEAN_SHUFFLES) if before is None else spark.conf.set(CLEAN_SHUFFLES, before)
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)

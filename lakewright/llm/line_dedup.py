@@ -9,7 +9,7 @@ other, near the same place. The index holds (length, segment number, segment); a
 from its own down to ``threshold`` less, with the few substrings whose start a match can have. Both
 sides travel as 64-bit keys. Keys that more than HOT lines share are refined: their lines, without the
 matching segment, are joined in the same way once more on the rest, which is exact too, as what is left
-must match within the allowance, and meet only if their letter counts allow it; keys whose rest would be too short
+must match within the allowance, and meet only if the parities of their letter counts allow it; keys whose rest would be too short
 for that stay as they are. Candidates are verified by a banded bit-parallel edit distance.
 
 A line stays where it first occurs (smallest doc_id, then place) unless it is linked to a line that
@@ -34,12 +34,9 @@ THRESHOLD = 2
 EVERY = 8
 MIN_CHARS = 0
 WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
-HOT = 48
+HOT = 16
 #: Rows of ids or hashes, of 50 bytes at most, up to which they are broadcast.
-BROADCAST_IDS = 500_000
-#: Letters whose counts, modulo 16, the lines of hot keys carry along, eight bits each.
-COUNTED = "entairso"
-
+BROADCAST_IDS = 200_000
 
 def lines_of(text: Column) -> Column:
     return F.split(text, "\n")
@@ -62,23 +59,16 @@ def numbered(docs: DataFrame) -> DataFrame:
     return with_id.unionByName(stored(none.withColumns({"__id": F.lit(None).cast("long"), "__row": F.monotonically_increasing_id()}), "null-ids"))
 
 
-def letter_counts(line: Column) -> Column:
-    """How often each of COUNTED stands in a line, packed into a long.
-
-    A count n is a byte that a step changes by one bit: n low bits set for n up to 8, then one less from below each step,
-    up to 16, which is 0 again. So two longs differ in as many bits as the counts differ, modulo 16, in all."""
-    out = F.lit(0).cast("long")
-    for k, c in enumerate(COUNTED):
-        n = F.pmod(F.length(line) - F.length(F.replace(line, F.lit(c), F.lit(""))), F.lit(16))
-        low = lambda m: F.call_function("shiftleft", F.lit(1).cast("long"), m) - 1
-        code = F.when(n <= 8, low(n)).otherwise(F.lit(255) - low(n - 8))
-        out = out.bitwiseOR(F.shiftleft(code, 8 * k))
-    return out
+def letter_parities(line: Column) -> Column:
+    """A bit for each of 64 classes of characters, by code: whether a line has an odd number of them."""
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.ascii(c), F.lit(64)))
+    return F.aggregate(F.split(line, ""), F.lit(0).cast("long"), lambda bits, c: bits.bitwiseXOR(bit(c)))
 
 
-def counts_allow(a: Column, b: Column, threshold: int) -> Column:
-    """Whether two packed counts can belong to lines within ``threshold`` edits: each edit moves two counts by one at most."""
-    return F.bit_count(a.bitwiseXOR(b)) <= 2 * threshold
+def parities_allow(a: Column, b: Column, edits: Column, apart: Column) -> Column:
+    """Whether two lines can be within so many edits, as their lengths are so far apart: a character more or less changes one
+    class, and each of the other edits two."""
+    return F.bit_count(a.bitwiseXOR(b)) <= 2 * edits - F.abs(apart)
 
 
 def allowed_edits(length: Column, threshold: int, every: int) -> Column:
@@ -98,7 +88,7 @@ def _options(edits: int, probing: bool) -> list[tuple[int, int, int, int]]:
 
 
 def key_rows(lines: DataFrame, threshold: int, probing: bool, every: int, outer: list[str] | None = None) -> DataFrame:
-    """One row for each key of each line (id, line, length): id, key, at, size, other (the indexed line's length), edits.
+    """One row for each key of each line (id, line, length): id, key, at, size, other (the indexed line's length), key_edits, delta.
 
     The options are exploded first, so that one short expression makes all keys: unrolled, they are more
     than the JVM compiles. Segments are even, the later ones longer by one where the length doesn't part.
@@ -118,12 +108,33 @@ def key_rows(lines: DataFrame, threshold: int, probing: bool, every: int, outer:
     each = each.select("*", (start + F.col("shift")).alias("at"), (F.col("short") + F.when(F.col("i") > F.col("even"), 1).otherwise(0)).alias("size"))
     each = each.where((F.col("at") >= 1) & (F.col("at") + F.col("size") - 1 <= F.col("length")))
     of = [F.col("other"), F.col("i"), F.substring(F.col("line"), F.col("at"), F.col("size")), *map(F.col, outer or [])]
-    return each.select("id", F.xxhash64(*of).alias("key"), "at", "size", "other", F.col("of_edits").alias("key_edits"))
+    return each.select("id", F.xxhash64(*of).alias("key"), "at", "size", "other", F.col("of_edits").alias("key_edits"), "delta")
+
+
+def common_start(a: Column, b: Column) -> Column:
+    """The number of characters that two strings begin with alike, found by halving; of the first 33 million, in full."""
+    least = F.least(F.length(a), F.length(b))
+    halves = F.array(*[F.lit(1 << k) for k in range(24, -1, -1)])
+    same = lambda n, w: F.substring(a, n + 1, w) == F.substring(b, n + 1, w)
+    return F.aggregate(halves, F.lit(0), lambda n, w: F.when((n + w <= least) & same(n, w), n + w).otherwise(n))
+
+
+def _differing(a: Column, b: Column) -> Column:
+    """An array of one struct (a, b): the reversed strings without what they begin and end with alike."""
+    rest = lambda s, n: F.substring(s, n + 1, F.length(s))
+    # A lambda's variable is evaluated once.
+    out = F.array(F.struct(a.alias("a"), b.alias("b")))
+    for _ in range(2):
+        cut = F.transform(out, lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"), common_start(s["a"], s["b"]).alias("n")))
+        out = F.transform(cut, lambda s: F.struct(F.reverse(rest(s["a"], s["n"])).alias("a"), F.reverse(rest(s["b"], s["n"])).alias("b")))
+    return out
 
 
 def banded_distance(a: Column, b: Column, threshold: int) -> Column:
     """Edit distance of two strings if it is at most ``threshold``, else null, by bit vectors along the diagonal.
 
+    What the strings begin and end with alike doesn't count and is left out first.
+
     The band holds the diagonals i - j from -threshold to threshold, a bit each. ``r[e]`` has a diagonal's
     bit set if the distance there, at place j of ``b``, is at most e. With ``eq`` for the places at which
     the characters agree, a step to the next j is: agree on the diagonal, or spend an edit on a substitution
@@ -131,7 +142,7 @@ def banded_distance(a: Column, b: Column, threshold: int) -> Column:
     """
     t, width = threshold, 2 * threshold + 1
     letters = lambda s: F.regexp_extract_all(s, F.lit("(?s)."), F.lit(0))  # noqa: E731  code points
-    once = F.array(F.struct(F.concat(F.array_repeat(F.lit(""), t), letters(a)).alias("x"), letters(b).alias("y")))
+    once = F.transform(_differing(a, b), lambda s: F.struct(F.concat(F.array_repeat(F.lit(""), t), letters(s["a"])).alias("x"), letters(s["b"]).alias("y")))
     name = [f"r{e}" for e in range(t + 1)]
 
     def agreeing(c: Column, j: Column, x: Column) -> Column:
@@ -176,7 +187,7 @@ def _candidates(lines: DataFrame, threshold: int, every: int = 1) -> DataFrame:
     pairs = pair(index.join(known, "key", "left_anti").join(asks, "key").where("a <> b"))
     # A line's own segments are among what it asks for, so its probes tell whether it has a hot key.
     having = probe.join(known, "key", "left_semi").select("id").distinct()
-    some = stored(lines.join(having, "id", "left_semi").select("id", "line", "length", letter_counts(F.col("line")).alias("counts")), "hot-lines")
+    some = stored(lines.join(having, "id", "left_semi").select("id", "line", "length", letter_parities(F.col("line")).alias("letters")), "hot-lines")
     return pairs.unionByName(pair(_refined(some, known, threshold, every))).distinct()
 
 
@@ -190,12 +201,13 @@ def _refined(lines: DataFrame, hot: DataFrame, threshold: int, every: int) -> Da
     def again(probing: bool, name: str) -> DataFrame:
         each = key_rows(lines, threshold, probing, every).join(hot, "key", "left_semi").join(lines, "id")
         rest = F.concat(F.substring(line, F.lit(1), F.col("at") - 1), F.substring(line, F.col("at") + F.col("size"), F.col("length")))
-        rests = each.select("id", "counts", F.col("key").alias("outer"), rest.alias("line"), (F.col("length") - F.col("size")).alias("length"), F.col("key_edits").alias("edits"))
-        rows = key_rows(rests, threshold, probing, every, ["outer"]).select(F.col("key").alias("finer"), F.col("id").alias(name))
-        return rows.distinct().join(lines.select(F.col("id").alias(name), F.col("counts").alias(f"{name}_counts")), name)
+        rests = each.select("id", F.col("key").alias("outer"), rest.alias("line"), (F.col("length") - F.col("size")).alias("length"), F.col("key_edits").alias("edits"))
+        rows = key_rows(rests, threshold, probing, every, ["outer"]).select(F.col("key").alias("finer"), F.col("id").alias(name), F.col("key_edits").alias("edits"), F.col("delta").alias("apart"))
+        return rows.distinct().join(lines.select(F.col("id").alias(name), F.col("letters").alias(f"{name}_letters")), name)
 
-    allowed = counts_allow(F.col("a_counts"), F.col("b_counts"), threshold) & (F.col("a") != F.col("b"))
-    return again(False, "a").join(again(True, "b"), "finer").where(allowed).select("a", "b")
+    # The edits and the difference of the lengths go into the key, so that both sides have the same.
+    allowed = parities_allow(F.col("a_letters"), F.col("b_letters"), F.col("edits"), F.col("apart")) & (F.col("a") != F.col("b"))
+    return again(False, "a").drop("edits", "apart").join(again(True, "b"), "finer").where(allowed).select("a", "b")
 
 
 def line_nodes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -215,8 +227,9 @@ def links(nodes: DataFrame, threshold: int = THRESHOLD, every: int = EVERY) -> D
     at = F.struct(F.col("first_id").isNull().alias("no_id"), "first_id", "first_row", "line")
     side = lambda c: wanted.select(F.col("id").alias(c), at.alias(f"{c}_at"), F.col("length").alias(f"{c}_length"))
     a, b = F.col("a_at.line"), F.col("b_at.line")
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(may_be_near(a, b, threshold))
-    found = both.where(banded_distance(a, b, threshold) <= allowed_edits(F.least("a_length", "b_length"), threshold, every))
+    edits = allowed_edits(F.least("a_length", "b_length"), threshold, every)
+    likely = pairs.join(side("a"), "a").join(side("b"), "b").where(may_be_near(a, b, threshold))
+    found = likely.where(banded_distance(a, b, threshold) <= edits)
     return found.select("a", "b", F.when(F.col("a_at") > F.col("b_at"), F.col("a")).otherwise(F.col("b")).alias("later"))
 
 

@@ -202,7 +202,7 @@ def shared(buckets: DataFrame) -> DataFrame:
 
 
 def nearest(met: DataFrame) -> DataFrame:
-    """One pair (a, b) for each node but the smallest: the smallest node that it shares a bucket with."""
+    """One pair (a, b), a < b, for each node but the smallest of all its buckets: the smallest that it shares one with."""
     return met.where("least < node").groupBy("node").agg(F.min("least").alias("a")).select("a", F.col("node").alias("b"))
 
 
@@ -345,7 +345,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame,
     met = shared(nodes.select(F.explode("bands").alias("bucket"), "node"))
     meeting = stored(nodes.drop("copies").join(met.select("node").distinct(), "node", "left_semi"), "meeting")
     sets = shingle_sets(docs, meeting.drop("bands"))
-    labels = components(met.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
+    labels = met.select("node", F.col("node").alias("label")).limit(0)
     seen = None
 
     def compare(pairs: DataFrame) -> bool:
@@ -353,6 +353,8 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame,
         nonlocal labels, seen
         fresh = pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti")
         fresh = stored(likely(fresh, meeting), "pairs")
+        if not fresh.limit(1).count():
+            return False
         seen = fresh if seen is None else seen.unionByName(fresh)
         links = stored(verified(fresh, sets, similarity).distinct(), "links")
         if not links.limit(1).count():
@@ -360,14 +362,13 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame,
         labels = merged_labels(labels, links)
         return True
 
-    compare(nearest(met))
-    open_ = still_open(met, labels)
-    compare(stars(open_))
-    open_ = still_open(open_.select(*met.columns), labels)
-    if compare(within_small(open_)):
-        open_ = still_open(open_.select(*met.columns), labels)
-    loose = stored(open_.where(F.col("n") > SMALL).select("node").distinct(), "loose")
-    if loose.limit(1).count():
+    open_ = met
+    for find in (nearest, stars, within_small):
+        if open_.limit(1).count() and compare(find(open_)) or open_ is met:
+            open_ = still_open(open_.select(*met.columns), labels)
+    large = open_.where(F.col("n") > SMALL)
+    if large.limit(1).count():
+        loose = stored(large.select("node").distinct(), "loose")
         rare = rare_shingles(loose, sets, similarity)
         compare(by_first(labelled(rare, labels)))
         compare(by_all(labelled(rare, labels), similarity))
