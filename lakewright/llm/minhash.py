@@ -11,11 +11,13 @@ latest register of its text, which bounds the work by about m log m points a tex
 Texts that agree in a whole band are candidates. Equal texts are first merged into one node. Candidates are compared in
 rounds, and a round leaves out what lies in one component of the links found so far, as it can't change the classes:
 
-1. every node with one other, the smallest that it shares a bucket with (``nearest``);
-2. the nodes of each bucket with its smallest (``stars``);
+1. every node with one other, the most central that it shares a bucket with (``nearest``): of a group of near copies, the
+   text that most others were made from has the fullest buckets;
+2. the nodes of each bucket with its most central (``stars``);
 3. all of a bucket of at most SMALL nodes (``within_small``);
 4. the nodes of large buckets that hold several components still, by their rarest shingles (``rare_shingles``): first
-   each with one node of every other component (``by_first``), then every two that can be similar enough (``by_all``).
+   each with one node of the list's most frequent component (``by_first``), then every two that can be similar enough
+   (``by_all``).
 
 So no bucket is capped, no large one is expanded into the pairs within a component, and no candidate pair between two
 components goes unseen. Every pair is verified on the multisets themselves (similarity of SIMILARITY or more), and
@@ -196,14 +198,23 @@ def text_key(text: Column) -> list[Column]:
 
 
 def shared(buckets: DataFrame) -> DataFrame:
-    """(bucket, node, n, least) of the buckets (bucket, node) with several nodes: their number and the smallest."""
-    size = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).where("n > 1")
-    return stored(buckets.join(size, "bucket"), "buckets")
+    """(bucket, node, n, weight, center, center_weight), stored, of the buckets (bucket, node) with several nodes: their
+    number, how many others a node meets in all its buckets, and the bucket's node of most weight, the smallest of equal ones."""
+    size = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = stored(buckets.join(size, "bucket"), "met")
+    weighed = stored(met.join(met.groupBy("node").agg(F.sum("n").alias("weight")), "node"), "weighed")
+    top = weighed.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("node")).alias("node"))).alias("top"))
+    return stored(weighed.join(top, "bucket").select("bucket", "node", "n", "weight", (-F.col("top.node")).alias("center"), F.col("top.weight").alias("center_weight")), "buckets")
+
+
+def ordered(a: Column, b: Column) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
 def nearest(met: DataFrame) -> DataFrame:
-    """One pair (a, b), a < b, for each node but the smallest of all its buckets: the smallest that it shares one with."""
-    return met.where("least < node").groupBy("node").agg(F.min("least").alias("a")).select("a", F.col("node").alias("b"))
+    """A pair (a, b), a < b, for each node but those that are the center of all their buckets: with the weightiest center."""
+    best = met.groupBy("node").agg(F.max(F.struct("center_weight", (-F.col("center")).alias("center"))).alias("best")).select("node", (-F.col("best.center")).alias("center"))
+    return best.where("center <> node").select(*ordered(F.col("center"), F.col("node"))).distinct()
 
 
 def labelled(rows: DataFrame, labels: DataFrame, node: str = "node", label: str = "label") -> DataFrame:
@@ -213,17 +224,17 @@ def labelled(rows: DataFrame, labels: DataFrame, node: str = "node", label: str
 
 
 def still_open(met: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of buckets that hold several components, with the label of the node and of the bucket's smallest, stored.
+    """The rows of buckets that hold several components, with the label of the node and of the bucket's center, stored.
 
-    A bucket is open if any node has another label than the smallest."""
-    both = stored(labelled(labelled(met, labels), labels, "least", "least_label"), "labelled")
-    many = both.where("label <> least_label").select("bucket").distinct()
+    A bucket is open if any node has another label than the center."""
+    both = stored(labelled(labelled(met, labels), labels, "center", "center_label"), "labelled")
+    many = both.where("label <> center_label").select("bucket").distinct()
     return stored(both.join(many, "bucket", "left_semi"), "open")
 
 
 def stars(open_: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b: the smallest of a bucket and each of its nodes in another component."""
-    return open_.where("label <> least_label").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
+    """Pairs (a, b), a < b: the center of a bucket and each of its nodes in another component."""
+    return open_.where("label <> center_label").select(*ordered(F.col("center"), F.col("node"))).distinct()
 
 
 def within_small(open_: DataFrame) -> DataFrame:
@@ -261,23 +272,24 @@ def rare_shingles(loose: DataFrame, sets: DataFrame, similarity: float) -> DataF
     each = loose.join(sets, "node").select("node", tokens_udf("shingles").alias("tokens"))
     each = stored(each.select("node", F.size("tokens").alias("n"), F.explode("tokens").alias("token")), "tokens")
     seen = each.groupBy("token").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1")
-    rare = F.array_sort(F.collect_list(F.struct(F.coalesce("seen", F.lit(1)).alias("seen"), "token")))
-    ranked = each.join(seen, "token", "left").groupBy("node", "n").agg(rare.alias("rare"))
-    n = F.col("n")
+    # Shingles of one node alone come first of all; only their number matters.
+    ranked = each.join(seen, "token").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("seen", "token"))).alias("rare"))
+    n, alone = F.col("n"), F.col("n") - F.size("rare")
     asks = (n - F.ceil(F.lit(similarity) * n - 1e-9) + 1).cast("int")
     listed = (n - F.ceil(F.lit(2 * similarity / (1 + similarity)) * n - 1e-9) + 1).cast("int")
-    rows = ranked.select("node", "n", listed.alias("listed"), F.posexplode(F.slice("rare", F.lit(1), asks)).alias("at", "r"))
-    return stored(rows.where("r.seen > 1").select("node", "n", "r.token", "at", (F.col("at") < F.col("listed")).alias("listed")), "rare")
+    rows = ranked.select("node", "n", listed.alias("listed"), alone.alias("alone"), F.posexplode(F.slice("rare", F.lit(1), F.greatest(asks - alone, F.lit(0)))).alias("i", "r"))
+    at = F.col("alone") + F.col("i")
+    return stored(rows.select("node", "n", "r.token", at.alias("at"), (at < F.col("listed")).alias("listed")), "rare")
 
 
 def by_first(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes in different components, each with the first listed node of the other component.
+    """Pairs (a, b) of nodes in different components: each with the first listed node of the list's most frequent component.
 
-    A large group of near copies counts once in a shingle's list, which merges most groups at little cost.
+    That merges most groups at the cost of a row a posting.
     """
-    first = rows.where("listed").groupBy("token", "label").agg(F.min("node").alias("other")).withColumnRenamed("label", "other_label")
-    met = rows.join(first, "token").where("label <> other_label")
-    return met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    per = rows.where("listed").groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first"))
+    top = per.groupBy("token").agg(F.max(F.struct("n", F.col("label").alias("label"), "first")).alias("top")).select("token", F.col("top.label").alias("top_label"), F.col("top.first").alias("first"))
+    return rows.join(top, "token").where("label <> top_label").select(*ordered(F.col("node"), F.col("first"))).distinct()
 
 
 def by_all(rows: DataFrame, similarity: float) -> DataFrame:
