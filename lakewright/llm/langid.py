@@ -7,8 +7,9 @@ document, and counts a missing n-gram as far as the profile is long. The nearest
 tie goes to the first by name.
 
 The profiles are counted by Spark over a sample of PER_LANGUAGE documents a language (in
-expectation; drawn by a hash of the id), for the MAX_LANGUAGES most frequent languages. Documents
-are scored whole in an Arrow UDF. Letters outside all profiles count as one common symbol.
+expectation; drawn by a hash of the id), for every language that the labels name. Documents
+are scored whole in an Arrow UDF. Letters outside all profiles count as one common symbol. N-grams of equal count rank by
+length, then by their letters' code points, the blank first.
 
 Edge cases: a null text, or one without a letter, gives ``und`` and score 0. A null id is learned
 from and is not held out. Without any labelled document every text gives ``und``. Repeated rows get
@@ -31,7 +32,6 @@ from lakewright.llm.common import id_remainder, table
 
 PROFILE = 300
 PER_LANGUAGE = 1500
-MAX_LANGUAGES = 200
 HELD_OUT = 2
 UNDETERMINED = "und"
 #: Bins up to which n-grams are counted by address; above, by sorting.
@@ -64,8 +64,8 @@ def grams(text: str) -> Counter:
 def fit_profiles(train: DataFrame, per_language: int = PER_LANGUAGE, profile: int = PROFILE) -> dict[str, list[str]]:
     """Profiles, best n-gram first, from the columns text and lang."""
     train = train.where("lang is not null and text is not null")
-    sizes = train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
-    share = sizes.select("lang", (F.lit(per_language) / F.col("count")).alias("share"))
+    # One row for each language.
+    share = train.groupBy("lang").agg((F.lit(per_language) / F.count(F.lit(1))).alias("share"))
     drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("share") * (1 << 20)
     sample = train.join(F.broadcast(share), "lang").where(drawn).select("lang", "text")
 
@@ -145,7 +145,7 @@ class Profiles:
 
 
 def predict(docs: DataFrame, profiles: dict[str, list[str]]) -> DataFrame:
-    """All columns of ``docs`` and a struct ``lang_found`` with lang_pred and score."""
+    """All columns of ``docs`` and a struct ``lang_found`` with lang_pred and score; a column of that name is replaced."""
     made: list[Profiles] = []
 
     @F.arrow_udf("lang_pred string, score double")

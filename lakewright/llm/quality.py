@@ -225,13 +225,15 @@ def score(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with all their columns."""
-    s = F.col("__stats")
-    votes = docs.select(stats_udf("text").alias("__stats")).select(pattern(s).alias("pattern"))
-    known = F.broadcast(posteriors(votes).withColumnsRenamed({"pattern": "__pattern", "posterior": "__posterior"}))
-    scored = docs.withColumn("__stats", stats_udf("text"))
-    scored = scored.where(~base_failed(s)).withColumn("__pattern", pattern(s))
-    return scored.join(known, "__pattern").where("__posterior >= 0.5").select(*[docs[c] for c in docs.columns])
+    """The documents that pass, with all their columns; names that begin with two underscores are the operator's own.
+
+    The rows are written once with their votes, so that the statistics of a text are computed once."""
+    s, own = F.col("__stats"), [F.col(f"`{c}`") for c in docs.columns]
+    scored = docs.withColumn("__stats", stats_udf("text")).select(*own, base_failed(s).alias("__failed"), pattern(s).alias("__pattern"))
+    scored = stored(scored, "scored")
+    known = posteriors(scored.select(F.col("__pattern").alias("pattern")))
+    known = F.broadcast(known.withColumnsRenamed({"pattern": "__pattern", "posterior": "__posterior"}))  # 3 ** N_RULES rows at most
+    return scored.where("not __failed").join(known, "__pattern").where("__posterior >= 0.5").select(*own)
 
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:
