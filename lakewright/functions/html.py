@@ -87,18 +87,23 @@ def _matches(x: Element, simple: str) -> bool:
 
 
 def select(root: Element, selector: str) -> list[Element]:
-    """Elements by tag, #id, .class, [attr], [attr=value], descendants by blanks and unions by commas, in page order."""
-    chains = [c.split() for c in selector.split(",") if c.strip()]
+    """Elements by tag, #id, .class, [attr], [attr=value], descendants by blanks, children by > and unions by commas, in page order."""
+    chains = [re.sub(r"\s*>\s*", " >", c).split() for c in selector.split(",") if c.strip()]
 
     def hit(x: Element, chain: list[str]) -> bool:
-        if not _matches(x, chain[-1]):
+        """Whether x is the chain's last element and its ancestors hold the rest; a step that begins with > is a child."""
+        if not _matches(x, chain[-1].lstrip(">")):
             return False
-        left, up = len(chain) - 2, x.parent
-        while left >= 0 and up is not None:
-            if up.tag and _matches(up, chain[left]):
-                left -= 1
+        if len(chain) == 1:
+            return True
+        up = x.parent
+        if chain[-1].startswith(">"):
+            return up is not None and hit(up, chain[:-1])
+        while up is not None:
+            if hit(up, chain[:-1]):
+                return True
             up = up.parent
-        return left < 0
+        return False
 
     return [x for x in root.walk() if any(hit(x, c) for c in chains)]
 

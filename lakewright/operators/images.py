@@ -6,6 +6,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from lakewright.session import checkpointed
 
 NEIGHBOURS = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if (dx, dy) != (0, 0)]
 
@@ -48,29 +51,30 @@ def pick_color(pixels: DataFrame, palette: DataFrame, tolerance: int) -> DataFra
 
 
 def components(mask: DataFrame) -> DataFrame:
-    """(image_id, component, n, min_x, min_y, max_x, max_y) of 8-connected pixels (x, y), largest first."""
-
-    def label(image: pd.DataFrame) -> pd.DataFrame:
-        left, found = set(zip(image["x"], image["y"], strict=True)), []
-        for start in sorted(left, key=lambda p: (p[1], p[0])):
-            if start in left:
-                left.discard(start)
-                todo, part = [start], []
-                while todo:
-                    x, y = todo.pop()
-                    part.append((x, y))
-                    for dx, dy in NEIGHBOURS:
-                        q = (x + dx, y + dy)
-                        if q in left:
-                            left.discard(q)
-                            todo.append(q)
-                found.append(part)
-        found.sort(key=len, reverse=True)
-        key = image["image_id"].iloc[0]
-        return pd.DataFrame([(key, k, len(p), min(x for x, _ in p), min(y for _, y in p), max(x for x, _ in p), max(y for _, y in p)) for k, p in enumerate(found, 1)], columns=["image_id", "component", "n", "min_x", "min_y", "max_x", "max_y"])
-
-    kind = dict(mask.dtypes)["image_id"]
-    return mask.groupBy("image_id").applyInPandas(label, f"image_id {kind}, component int, n long, min_x long, min_y long, max_x long, max_y long")
+    """(image_id, component, n, min_x, min_y, max_x, max_y) of 8-connected pixels (x, y), largest first, then by the first pixel.
+
+    A pixel's label is the first pixel, by (y, x), that it is known to hang together with. Each round it takes the smallest
+    label among its neighbours and then that label's own, so that the rounds grow with the logarithm of a component's length
+    in most shapes; only whether any label changed comes to the driver. An image may be of any size; repeated pixels are one,
+    pixels without a place or an image are left out.
+    """
+    pixels = mask.select("image_id", "x", "y").dropna().distinct()
+    here = F.struct("y", "x")
+    labels = checkpointed(pixels.select("image_id", here.alias("at"), here.alias("label")))
+    step = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in NEIGHBOURS]))
+    while True:
+        told = labels.select("image_id", "at", "label", step.alias("d"))
+        told = told.select("image_id", F.struct((F.col("at.y") + F.col("d.dy")).alias("y"), (F.col("at.x") + F.col("d.dx")).alias("x")).alias("at"), "label")
+        least = told.groupBy("image_id", "at").agg(F.min("label").alias("near"))
+        hooked = labels.join(least, ["image_id", "at"], "left").select("image_id", "at", "label", F.least("label", F.coalesce("near", "label")).alias("next"))
+        up = labels.select("image_id", F.col("at").alias("next"), F.col("label").alias("up"))
+        jumped = checkpointed(hooked.join(up, ["image_id", "next"]).select("image_id", "at", "label", F.least("next", "up").alias("next")))
+        labels = jumped.select("image_id", "at", F.col("next").alias("label"))
+        if not jumped.where("next <> label").limit(1).count():
+            break
+    parts = labels.groupBy("image_id", "label").agg(F.count(F.lit(1)).alias("n"), F.min("at.x").alias("min_x"), F.min("at.y").alias("min_y"), F.max("at.x").alias("max_x"), F.max("at.y").alias("max_y"))
+    rank = F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("n"), "label"))
+    return parts.select("image_id", rank.alias("component"), "n", "min_x", "min_y", "max_x", "max_y")
 
 
 def life_step(live: DataFrame, width: int, height: int) -> DataFrame:

@@ -33,8 +33,7 @@ def cascade_delete(parents: DataFrame, children: DataFrame, key: str, foreign: s
 
 def beyond_newest(df: DataFrame, key: str, keep: int) -> DataFrame:
     """The rows that a retention of the newest ``keep`` by key would drop; null-aware, as NOT IN is."""
-    df.createOrReplaceTempView("__retained")
-    return df.sparkSession.sql(f"SELECT * FROM __retained WHERE {key} NOT IN (SELECT {key} FROM __retained ORDER BY {key} DESC NULLS LAST LIMIT {int(keep)})")
+    return df.sparkSession.sql(f"SELECT * FROM {{df}} WHERE {key} NOT IN (SELECT {key} FROM {{df}} ORDER BY {key} DESC NULLS LAST LIMIT {int(keep)})", df=df)
 
 
 def two_way_orphans(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
@@ -79,9 +78,10 @@ def collisions(df: DataFrame, target: str, taken: DataFrame | None = None) -> Da
     return n.join(have, target, "left").withColumn("exists", F.coalesce("exists", F.lit(False))).where("n > 1 or exists")
 
 
-def first_of_each(df: DataFrame, key: list[str], order: list) -> DataFrame:
-    """The first row of each key by ``order``."""
-    return df.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("__n = 1").drop("__n")
+def first_of_each(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key by ``order``, nulls first; a key's rows are folded before the shuffle, not sorted in one task."""
+    first = df.groupBy(*key).agg(F.min(F.struct(*order, F.struct(*df.columns).alias("__row"))).alias("__first"))
+    return first.select("__first.__row.*")
 
 
 def unambiguous(df: DataFrame, name: str, target: str) -> DataFrame:

@@ -123,9 +123,9 @@ def replace_once(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", text.replace_once(F.col("text"), "license", "licence").alias("r")).select("doc_id", "r.*")
 
 
-@query("catalog_search", "SELECT p_partkey, p_name, p_type FROM part WHERE contains(lower(p_name), 'brass') OR contains(lower(p_type), 'brass')")
+@query("catalog_search", "SELECT p_partkey, p_name, p_type FROM part WHERE contains(lower(p_name), 'widget') OR contains(lower(p_type), 'widget')")
 def catalog_search(spark, sf_dir):
-    return text.catalog_search(_t(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type"), "Latten", ["p_name", "p_type"], {"latten": "brass"})
+    return text.catalog_search(_t(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type"), "Gadget", ["p_name", "p_type"], {"gadget": "widget"})
 
 
 @query("front_end_search", "SELECT c_custkey FROM customer WHERE contains(lower(c_name || ' ' || c_mktsegment), 'build')")
@@ -135,9 +135,9 @@ def front_end_search(spark, sf_dir):
 
 
 @query("argument_validation", """SELECT l_orderkey, l_linenumber, CASE WHEN NOT l_quantity BETWEEN 1 AND 45 THEN 'range' WHEN l_returnflag NOT IN ('N', 'R') THEN 'enum' WHEN l_tax >= 0.08 THEN 'tax' END AS violation
-    FROM lineitem WHERE l_orderkey <= 400""")
+    FROM lineitem""")
 def argument_validation(spark, sf_dir):
-    rows = _t(spark, sf_dir, "lineitem").where("l_orderkey <= 400")
+    rows = _t(spark, sf_dir, "lineitem")
     rules = {"range": F.col("l_quantity").between(1, 45), "enum": F.col("l_returnflag").isin("N", "R"), "tax": F.col("l_tax") < 0.08}
     return text.violations(rows, rules).select("l_orderkey", "l_linenumber", "violation")
 
@@ -221,9 +221,9 @@ def address_index(spark, sf_dir):
     return joins.first_of_each(_t(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber"), ["l_partkey"], ["l_orderkey", "l_linenumber"])
 
 
-@query("unambiguous_alias", "SELECT user_id, min(event_type) AS event_type FROM events WHERE event_id % 50 = 0 GROUP BY user_id HAVING count(DISTINCT event_type) = 1")
+@query("unambiguous_alias", "SELECT l_orderkey, min(l_returnflag) AS l_returnflag FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_returnflag) = 1")
 def unambiguous_alias(spark, sf_dir):
-    return joins.unambiguous(_t(spark, sf_dir, "events").where("event_id % 50 = 0"), "user_id", "event_type")
+    return joins.unambiguous(_t(spark, sf_dir, "lineitem"), "l_orderkey", "l_returnflag")
 
 
 @query("alias_conflicts", "SELECT count(*) AS conflicts FROM (SELECT c_nationkey FROM customer GROUP BY 1 HAVING count(DISTINCT c_mktsegment) > 1)")
@@ -231,13 +231,12 @@ def alias_conflicts(spark, sf_dir):
     return joins.ambiguous(_t(spark, sf_dir, "customer"), "c_nationkey", "c_mktsegment")
 
 
-RECTS = "SELECT l_suppkey AS g, l_orderkey * 10 + l_linenumber AS id, CAST(floor(l_quantity) AS BIGINT) AS x0, CAST(floor(l_quantity) + l_linenumber AS BIGINT) AS x1, CAST(floor(l_discount * 100) AS BIGINT) AS y0, CAST(floor(l_discount * 100) + 1 AS BIGINT) AS y1 FROM {}"
+RECTS = "SELECT l_partkey AS g, l_orderkey * 10 + l_linenumber AS id, CAST(floor(l_quantity) AS BIGINT) AS x0, CAST(floor(l_quantity) + l_linenumber AS BIGINT) AS x1, CAST(floor(l_discount * 100) AS BIGINT) AS y0, CAST(floor(l_discount * 100) + 1 AS BIGINT) AS y1 FROM {}"
 
 
-@query("rect_overlap", f"WITH r AS ({RECTS.format('lineitem WHERE l_orderkey % 20 = 0')}) SELECT a.g, a.id AS earlier, b.id AS later FROM r a JOIN r b ON a.g = b.g AND a.id < b.id AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1")
+@query("rect_overlap", f"WITH r AS ({RECTS.format('lineitem')}) SELECT a.g, a.id AS earlier, b.id AS later FROM r a JOIN r b ON a.g = b.g AND a.id < b.id AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1")
 def rect_overlap(spark, sf_dir):
-    _t(spark, sf_dir, "lineitem").createOrReplaceTempView("__lineitem")
-    return joins.rect_overlaps(spark.sql(RECTS.format("__lineitem WHERE l_orderkey % 20 = 0")), ["g"])
+    return joins.rect_overlaps(spark.sql(RECTS.format("{lineitem}"), lineitem=_t(spark, sf_dir, "lineitem")), ["g"])
 
 
 @query("domain_suffix_join", """SELECT p.page_id, c.name FROM (SELECT page_id, regexp_extract(url, '://([^/:?#]+)', 1) AS host FROM pages) p
@@ -448,7 +447,7 @@ def endpoint_template(spark, sf_dir):
 
 @query("sorted_distinct", "SELECT l_orderkey, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS flags FROM lineitem GROUP BY 1")
 def sorted_distinct(spark, sf_dir):
-    rows = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_returnflag").alias("f"))
+    rows = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_returnflag").alias("f"))
     return rows.select("l_orderkey", F.array_join(sets.sorted_distinct(F.col("f")), ",").alias("flags"))
 
 
@@ -543,10 +542,12 @@ def serial_dates(spark, sf_dir):
     return _t(spark, sf_dir, "part").select("p_partkey", S.serial_to_iso((F.col("p_partkey") + 100).cast("double")).alias("iso"))
 
 
-@query("cell_addresses", """SELECT p_partkey, CASE WHEN p_partkey < 26 THEN chr(CAST(65 + p_partkey AS INT)) WHEN p_partkey < 702 THEN chr(CAST(64 + p_partkey // 26 AS INT)) || chr(CAST(65 + p_partkey % 26 AS INT))
-    ELSE chr(CAST(64 + (p_partkey // 26 - 1) // 26 AS INT)) || chr(CAST(65 + (p_partkey // 26 - 1) % 26 AS INT)) || chr(CAST(65 + p_partkey % 26 AS INT)) END || '8' AS a1 FROM part WHERE p_partkey < 17000""")
+@query("cell_addresses", """SELECT p_partkey, CASE WHEN c < 26 THEN chr(CAST(65 + c AS INT)) WHEN c < 702 THEN chr(CAST(64 + c // 26 AS INT)) || chr(CAST(65 + c % 26 AS INT))
+    ELSE chr(CAST(64 + (c // 26 - 1) // 26 AS INT)) || chr(CAST(65 + (c // 26 - 1) % 26 AS INT)) || chr(CAST(65 + c % 26 AS INT)) END || (1 + p_partkey // 16384) AS a1 FROM (SELECT p_partkey, p_partkey % 16384 AS c FROM part)""")
 def cell_addresses(spark, sf_dir):
-    return _t(spark, sf_dir, "part").where("p_partkey < 17000").select("p_partkey", S.address(F.lit(7), F.col("p_partkey")).alias("a1"))
+    """Parts laid out in rows of a sheet's 16384 columns."""
+    row, col = F.call_function("div", F.col("p_partkey"), F.lit(16384)), F.col("p_partkey") % 16384
+    return _t(spark, sf_dir, "part").select("p_partkey", S.address(row, col).alias("a1"))
 
 
 # Graphs and iteration
@@ -620,24 +621,23 @@ def dominant_colors(spark, sf_dir):
     return images.dominant_colors(spark.sql(PIXELS.format("__lineitem")), 24)
 
 
-LIFE = "SELECT DISTINCT CAST(l_partkey % 60 AS BIGINT) AS x, CAST(l_orderkey % 50 AS BIGINT) AS y FROM {} WHERE l_orderkey % 7 < 2 AND l_linenumber = 1"
+LIFE = "SELECT DISTINCT CAST(l_partkey * 7 % 1009 AS BIGINT) AS x, CAST((l_orderkey * 5 + l_linenumber) % 997 AS BIGINT) AS y FROM {}"
 
 
 @query("life_step", f"""WITH c AS ({LIFE.format('lineitem')}), t AS (SELECT x + dx AS x, y + dy AS y, dx = 0 AND dy = 0 AS own FROM c, (SELECT unnest([-1, 0, 1]) AS dx), (SELECT unnest([-1, 0, 1]) AS dy))
-    SELECT x, y FROM t WHERE x BETWEEN 0 AND 59 AND y BETWEEN 0 AND 49 GROUP BY x, y HAVING count(*) FILTER (NOT own) = 3 OR count(*) FILTER (NOT own) = 2 AND bool_or(own)""")
+    SELECT x, y FROM t WHERE x BETWEEN 0 AND 1008 AND y BETWEEN 0 AND 996 GROUP BY x, y HAVING count(*) FILTER (NOT own) = 3 OR count(*) FILTER (NOT own) = 2 AND bool_or(own)""")
 def life_step(spark, sf_dir):
     from lakewright.operators import images
 
-    _t(spark, sf_dir, "lineitem").createOrReplaceTempView("__lineitem")
-    return images.life_step(spark.sql(LIFE.format("__lineitem")), 60, 50)
+    return images.life_step(spark.sql(LIFE.format("{lineitem}"), lineitem=_t(spark, sf_dir, "lineitem")), 1009, 997)
 
 
 @query("connected_components")
 def connected_components(spark, sf_dir):
     from lakewright.operators import images
 
-    _t(spark, sf_dir, "lineitem").createOrReplaceTempView("__lineitem")
-    return images.components(spark.sql(f"SELECT 1 AS image_id, * FROM ({LIFE.format('__lineitem')})"))
+    cells = LIFE.format("{lineitem}").replace("DISTINCT", "DISTINCT CAST(l_suppkey % 4 AS BIGINT) AS image_id,")
+    return images.components(spark.sql(cells, lineitem=_t(spark, sf_dir, "lineitem")))
 
 
 @query("progress_blocks", """SELECT user_id, CAST(block AS BIGINT) AS block, max_by(value, event_id) FILTER (event_type = 'view') AS view FROM (SELECT *, coalesce(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER
@@ -718,13 +718,13 @@ def markdown_tables(spark, sf_dir):
 @query("response_markdown")
 def response_markdown(spark, sf_dir):
     pages = _t(spark, sf_dir, "pages").select("page_id", "url", F.lit("text/html").alias("content_type"), F.col("html").alias("body"))
-    return records.extract_response(pages, "auto", budget=2000).select("page_id", "extracted")
+    return records.extract_response(pages, "auto").select("page_id", "extracted")
 
 
-@query("alias_search", "SELECT p_partkey FROM part WHERE lower(p_name) LIKE '%steel%' OR lower(p_type) LIKE '%steel%'")
+@query("alias_search", "SELECT p_partkey FROM part WHERE lower(p_name) LIKE '%eco%' OR lower(p_type) LIKE '%eco%'")
 def alias_search(spark, sf_dir):
     parts = _t(spark, sf_dir, "part").select("p_partkey", "p_name", F.array("p_type", "p_brand").alias("aliases"))
-    return records.find_by_title_or_alias(parts, "p_name", "aliases", "*STEEL*").select("p_partkey")
+    return records.find_by_title_or_alias(parts, "p_name", "aliases", "*ECO*").select("p_partkey")
 
 
 @query("json_result", "SELECT '{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}' AS json FROM region")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int = 8, memory: str = "8g", name: str = "lakewright") -> SparkSession:
@@ -23,3 +25,14 @@ def local_session(cores: int = 8, memory: str = "8g", name: str = "lakewright")
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df``, computed and written to the session's checkpoint folder; a local session without one gets a folder of its own."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        found = context.getConf().get("spark.checkpoint.dir")
+        if not found and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(found or f"file://{tempfile.mkdtemp(prefix='lakewright-')}")
+    return df.checkpoint()
