@@ -27,8 +27,8 @@ BROADCAST_ENTRIES = 200_000
 
 
 def host_of(url: Column) -> Column:
-    """The host in lower case without user, port and last dot; null if there is none."""
-    host = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([A-Za-z0-9._-]+)", 1)
+    """The host, of any letters or a bracketed address, in lower case without user, port and last dot; null if there is none."""
+    host = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:\[\]]+)", 1)
     return F.nullif(F.regexp_replace(F.lower(host), r"\.+$", ""), F.lit(""))
 
 
@@ -119,7 +119,7 @@ def op6_url_filter(spark, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = r"""
 WITH p AS (SELECT row_number() OVER () AS rid, page_id, url, CAST('0x' || substr(md5(coalesce(url, '')), 1, 6) AS INT) AS uv,
-    nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([A-Za-z0-9._-]+)', 1)), '\.+$', ''), '') AS host,
+    nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:\[\]]+)', 1)), '\.+$', ''), '') AS host,
     list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda s: s <> '') AS seg FROM pages),
 c AS (SELECT rid, page_id, url, host, CAST(DATE '2024-01-01' + uv % 366 AS DATE) AS day,
     CASE WHEN host IS NULL THEN [] ELSE list_distinct(list_concat(

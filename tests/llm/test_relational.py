@@ -279,6 +279,12 @@ def test_url_filter(spark):
     assert url_filter.judge(captures.limit(0), entries).count() == 0
 
 
+def test_hosts_are_whole(spark):
+    cases = {"http://exämple.de/x": "exämple.de", "https://u:p@Ünï.example.:8080/a?b": "ünï.example", "http://[2001:DB8::1]:80/x": "[2001:db8::1]", "http://a_b-c.d": "a_b-c.d", "http:///x": None, "ftp://:80/": None}
+    df = spark.createDataFrame([(u,) for u in cases], "url string")
+    assert {x["url"]: x["h"] for x in df.select("url", url_filter.host_of(F.col("url")).alias("h")).collect()} == cases
+
+
 def test_secrets(spark, odd):
     key, weak = "AKIA" + "Z9" * 8, "aB3" + "xY7z" * 9
     texts = {

@@ -82,11 +82,10 @@ def test_em_needs_no_majority():
 
 
 def test_packing_round_trip(spark, odd, texts):
-    docs = odd.select("doc_id", "text").unionByName(spark.createDataFrame(list(enumerate(texts[:60], 100)), "doc_id long, text string"))
+    docs = odd.select("doc_id", "text").unionByName(spark.createDataFrame([*enumerate(texts[:60], 100), (90, "a <|endoftext|> b"), (91, "<|endoftext|><|endoftext|>\n x")], "doc_id long, text string"))
     size = 256
     rows = packing.pack(docs, size).collect()
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     wanted = {}
     for d, t in {(r["doc_id"], r["text"]) for r in docs.collect()}:
         wanted[d] = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
@@ -105,7 +104,6 @@ def test_packing_round_trip(spark, odd, texts):
 
 def test_encoder_equals_tokenizer(texts):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     encode = packing.Encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     r = random.Random(1)
     hard = ["".join(r.choice(" \t\n\x1c 　ab'sé1😀.<|endoftext|>") for _ in range(r.randint(0, 40))) for _ in range(3000)]
@@ -151,6 +149,20 @@ def test_langid_distance(texts):
         assert model.distances(t)[1] == min(len(counts), 300) * 300
 
 
+def test_langid_distance_where_counts_tie():
+    profiles = {"aa": ["e", " t", "th", "a", "the", " a"], "bb": ["a", "la", " l", "e", " la", "a "]}
+    model, place = langid.Profiles(profiles), {c: k for k, c in enumerate(" aehlt")}
+    for t in ("the tale", "La la thea", "ha, ha: the theatre", "e", "at the lathe a heel"):
+        counts = langid.grams(t)
+        if not all(c in place for g in counts for c in g):
+            t = "".join(c for c in t.lower() if c in place or c == " ")
+            counts = langid.grams(t)
+        # Equal counts: the shorter first, then by code points, the blank first.
+        top = sorted(counts, key=lambda g: (-counts[g], len(g), [place[c] for c in g]))[:300]
+        want = [sum(abs(i - p.index(g)) if g in p else 300 for i, g in enumerate(top)) for p in profiles.values()]
+        assert model.distances(t)[0].tolist() == want
+
+
 def gradient_error():
     r = np.random.default_rng(0)
     net = toxicity.Network({"bad": 2.0, "good": -1.0})
