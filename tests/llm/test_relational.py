@@ -156,6 +156,20 @@ def test_line_dedup_of_short_lines_and_null_ids(spark):
     assert Counter(y for x in got if x["doc_id"] is None for y in x["text"].split("\n") if y) == {"menu one": 1, "quite alone": 1, "some more": 1}
 
 
+@pytest.mark.parametrize("hot", [16, 1])
+def test_line_dedup_of_long_lines_and_many(spark, monkeypatch, hot):
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    r = random.Random(8)
+    long = "".join(r.choice("abcdefgh ") for _ in range(10_000))
+    same = ["o" * n + "x" * (300 - n) for n in (30, 140, 200, 255, 260, 300)]  # more of a letter than a byte counts
+    docs = [(k, x) for k, x in enumerate(same)] + [(10, long), (11, long[:5000] + "z" + long[5001:] + "é"), (12, long[:100] + "zzz" + long[100:])]
+    docs += [(20, "\n".join(f"line number {k * k} of {k}" for k in range(16_000))), (21, "\n".join(["again"] * 16_000)), (22, "day 1"), (23, "day 2")]
+    got = {x["doc_id"]: x["text"] for x in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(got[d] == t for d, t in docs if d not in (11, 20, 21)) and got[11] == "" and got[21] == "again"
+    kept = got[20].split("\n")
+    assert kept[0] == "line number 0 of 0" and set(kept) <= set(docs[-4][1].split("\n"))
+
+
 def test_segment_join_of_short_lines(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "HOT", 3)
     lines = sorted({"".join(x) for n in (3, 4, 5) for x in itertools.product("ab", repeat=n)})
