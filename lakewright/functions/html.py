@@ -159,6 +159,22 @@ def distil_page(url: str, page: str) -> dict:
     return found
 
 
+def page_blocks(page: str) -> list[dict]:
+    """(tag, text) of the sections that ``distil_page`` lists."""
+    found = []
+    for x in Tree(page).root.walk():
+        if x.tag in ALWAYS or x.tag in IF_LONG:
+            text = x.text()
+            if text and (x.tag in ALWAYS or len(text.encode()) >= MIN_BYTES):
+                found.append({"tag": x.tag, "text": text})
+    return found
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("tag", T.StringType()), T.StructField("text", T.StringType())])))
+def blocks(page: pd.Series) -> pd.Series:
+    return page.map(lambda p: page_blocks(p or ""))
+
+
 def next_table(x: Element) -> Element | None:
     while x is not None and x.tag != "table":
         x = x.parent

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import operator
 import re
 from urllib.parse import urljoin
 
@@ -202,7 +201,8 @@ def format_kind(code: Column) -> Column:
     time = bare.rlike("h|s|am/pm|a/p")
     date = bare.rlike("y|d") | (bare.contains("m") & ~time)
     kind = F.when(bare.contains("%"), "percent").when(date & time, "datetime").when(date, "date").when(time, "time")
-    return kind.when(bare.rlike("[$¥￥€]"), "currency").when((bare == "") | (bare == "general"), "general").otherwise("number")
+    kind = kind.when(bare.rlike("[$¥￥€]"), "currency").when((bare == "") | (bare == "general"), "general").otherwise("number")
+    return F.when(code.isNotNull(), kind)
 
 
 def serial_to_iso(value: Column, year1904: bool = False) -> Column:
@@ -218,7 +218,8 @@ def serial_to_iso(value: Column, year1904: bool = False) -> Column:
 
 def filetime(ticks: Column) -> Column:
     """Timestamp of 100 ns ticks since 1601."""
-    return F.timestamp_micros(F.floor(ticks / 10).cast("long") - F.lit(11644473600000000))
+    whole = ticks - F.pmod(ticks, F.lit(10))  # a double would lose the last microseconds
+    return F.timestamp_micros(F.call_function("div", whole, F.lit(10)) - F.lit(11644473600000000))
 
 
 def normalize_path(path: Column) -> Column:
@@ -392,39 +393,3 @@ def summarize_json(value: pd.Series) -> pd.Series:
         return shown + (f" (+{len(found) - 5} more)" if len(found) > 5 else "")
 
     return value.map(lambda v: None if v is None else one(v))
-
-
-_STEP = re.compile(r"\s*(?:(\d+\.?\d*|\.\d+)|(.))")
-
-
-def arithmetic(expression: str, columns: dict[str, Column] | None = None) -> Column:
-    """+ - * / and brackets over numbers, read once on the driver into a column; raises ValueError if malformed."""
-    tokens = [m.group().strip() for m in _STEP.finditer(expression.strip())]
-    ops = {"+": operator.add, "-": operator.sub, "*": operator.mul, "/": lambda a, b: F.try_divide(a, b)}
-
-    def atom() -> Column:
-        if not tokens:
-            raise ValueError("expression ends early")
-        t = tokens.pop(0)
-        if t == "(":
-            value = chain(("+", "-"))
-            if not tokens or tokens.pop(0) != ")":
-                raise ValueError("bracket isn't closed")
-            return value
-        if columns and t in columns:
-            return columns[t].cast("double")
-        if not re.fullmatch(r"\d+\.?\d*|\.\d+", t):
-            raise ValueError(f"unexpected {t!r}")
-        return F.lit(float(t))
-
-    def chain(level: tuple[str, ...]) -> Column:
-        below = (lambda: chain(("*", "/"))) if "+" in level else atom
-        value = below()
-        while tokens and tokens[0] in level:
-            value = ops[tokens.pop(0)](value, below())
-        return value
-
-    out = chain(("+", "-"))
-    if tokens:
-        raise ValueError(f"unexpected {tokens[0]!r}")
-    return out

@@ -74,6 +74,16 @@ def grid_diff(pixels: DataFrame, cell_w: int, cell_h: int) -> DataFrame:
     return pixels.groupBy(at("x", cell_w).alias("gx"), at("y", cell_h).alias("gy")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("a") - F.col("b")) / 255.0).alias("score"))
 
 
+def grid_overall(grid: DataFrame) -> DataFrame:
+    """(overall) of a grid's cells: the mean of their scores, weighted by their pixels; null for an empty grid."""
+    return grid.agg((F.sum(F.col("score") * F.col("n")) / F.sum("n")).alias("overall"))
+
+
+def nested_total(df: DataFrame, arrays: list[str]) -> DataFrame:
+    """The number of elements in all arrays of each column; a null array has none."""
+    return df.agg(*[F.coalesce(F.sum(F.greatest(F.size(a), F.lit(0))), F.lit(0)).cast("long").alias(a) for a in arrays])
+
+
 def band_usage(ports: DataFrame, bands: DataFrame) -> DataFrame:
     """(band, low, high, used, free, ports) of each range: the used numbers in it, and how many are free."""
     inside = (F.col("port") >= F.col("low")) & (F.col("port") <= F.col("high"))

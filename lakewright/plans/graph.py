@@ -1,11 +1,8 @@
-"""Small dataflow graphs: checks, levels, and lazy composition of DataFrame operators."""
+"""Dataflow graphs: faults of a small one, levels of one that is kept as data."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def check(nodes: list[str], edges: list[tuple[str, str]], known: set[str] | None = None) -> list[str]:
@@ -46,46 +43,3 @@ def levels(spark: SparkSession, edges: DataFrame) -> DataFrame:
              UNION ALL SELECT e.dst, w.level + 1 FROM walk w JOIN __edges e ON e.src = w.node)
            SELECT node, CAST(max(level) AS BIGINT) AS level FROM walk GROUP BY node"""
     )
-
-
-Operator = Callable[..., DataFrame]
-
-
-class Registry:
-    """Operators by name, with aliases."""
-
-    def __init__(self) -> None:
-        self.operators: dict[str, Operator] = {}
-        self.aliases: dict[str, str] = {}
-
-    def register(self, name: str, operator: Operator, *aliases: str) -> None:
-        for n in (name, *aliases):
-            if n in self.operators or n in self.aliases:
-                raise ValueError(f"{n} is registered")
-        self.operators[name] = operator
-        self.aliases |= dict.fromkeys(aliases, name)
-
-    def get(self, name: str) -> Operator:
-        return self.operators[self.aliases.get(name, name)]
-
-
-def run(registry: Registry, nodes: dict[str, tuple[str, dict]], edges: list[tuple[str, str, str, str | None]]) -> dict[str, DataFrame]:
-    """The lazy result of every node. ``nodes``: id -> (operator, arguments).
-
-    An edge (from, to, argument, column) passes a result on as an argument; with a column, its first
-    value in the order of the rows is passed instead, the one case that starts a job. The last edge to an argument wins.
-    """
-    pairs = [(a, b) for a, b, *_ in edges]
-    faults = check(list(nodes), pairs)
-    if faults:
-        raise ValueError("; ".join(faults))
-    done: dict[str, DataFrame] = {}
-    for stage in stages(list(nodes), pairs)[0]:
-        for n in stage:
-            name, arguments = nodes[n]
-            given = dict(arguments)
-            for a, b, argument, column in edges:
-                if b == n:
-                    given[argument] = done[a] if column is None else (done[a].select(F.col(column)).first() or [None])[0]
-            done[n] = registry.get(name)(**given)
-    return done

@@ -2,40 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakewright import queries_parts, queries_scalars  # noqa: F401  they register queries of their own
 from lakewright.functions import scalars as S
 from lakewright.operators import aggregates, joins, records, sets, text, topk, windows
 from lakewright.plans import graph
-
-Query = Callable[..., DataFrame]
-_QUERIES: dict[str, Query] = {}
-_ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        _QUERIES[name] = f
-        if sql:
-            _ORACLES[name] = sql
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
-
-
-def _t(spark, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from lakewright.registry import oracle_sql, queries, query  # noqa: F401
+from lakewright.registry import table as _t
 
 
 @query(

@@ -66,3 +66,30 @@ def terminal_check(events: DataFrame, run: str, kind: str) -> DataFrame:
     """(run, n_terminal, ok): each run must have exactly one Done or Error."""
     n = F.count_if(F.col(kind).isin("Done", "Error"))
     return events.groupBy(run).agg(n.alias("n_terminal")).withColumn("ok", F.col("n_terminal") == 1)
+
+
+def tail_events(log: DataFrame, jobs: DataFrame, by: str, keep: int) -> DataFrame:
+    """What a reader of a bounded log hasn't had: (by, seq, event, data), lines in order of ``seq``, then a done event.
+
+    ``log`` is (by, seq, line), lines numbered from 0 over all that were ever written, of which the newest ``keep`` of a job
+    are held; ``jobs`` is (by, consumed, running, exit_code), consumed being the number of lines read, evicted ones
+    included. Lines evicted unread are skipped; a job that runs on has no done event.
+    """
+    total = log.groupBy(by).agg((F.max("seq") + 1).alias("total"))
+    at = jobs.join(total, by, "left").withColumn("total", F.coalesce("total", F.lit(0).cast("long")))
+    due = at.select(by, F.greatest(F.col("consumed"), F.col("total") - keep).alias("from"))
+    lines = log.join(due, by).where("seq >= from").select(by, "seq", F.lit("line").alias("event"), F.col("line").alias("data"))
+    done = at.where("not running").select(by, F.col("total").alias("seq"), F.lit("done").alias("event"), F.col("exit_code").cast("string").alias("data"))
+    return lines.unionByName(done)
+
+
+def until_terminal(events: DataFrame, run: str, seq: str, is_terminal) -> DataFrame:
+    """The events of each run up to its first terminal one, that one included; all of a run that has none."""
+    last = events.where(is_terminal).groupBy(F.col(run).alias("__run")).agg(F.min(seq).alias("__last"))
+    out = events.join(last, F.col(run).eqNullSafe(F.col("__run")), "left")
+    return out.where(F.col("__last").isNull() | (F.col(seq) <= F.col("__last"))).drop("__run", "__last")
+
+
+def json_lines_sink(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """A stream of events as JSON, one a line, each once, in the files of ``path``."""
+    return df.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -116,13 +116,3 @@ def test_distil(spark):
     assert none["d"]["title"] == "http://e/"
     for selector, want in (("p.a", ["long enough text"]), ("table td, h1", ["Head", "1", "2"]), ("[name=q]", [""]), ("body table th", ["A", "B"]), ("div", [])):
         assert df.limit(1).select(H.selected_texts(selector)("html").alias("t")).first()["t"] == want
-
-
-def test_registers(spark, tmp_path):
-    from lakewright.sources import registers
-
-    spark.dataSource.register(registers.RegisterSource)
-    rows = spark.read.format("registers").option("addr", 10).option("count", 3).load().collect()
-    assert [(r["addr"], r["value"]) for r in rows] == [(k, registers.mock_register(k, 0)) for k in (10, 11, 12)]
-    with pytest.raises(ValueError):
-        registers.checked({"count": "126"})

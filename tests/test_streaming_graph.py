@@ -1,8 +1,5 @@
 """Streams against their batch twins, and dataflow graphs."""
 
-import pytest
-from pyspark.sql import functions as F
-
 from lakewright.operators import images, windows
 from lakewright.plans import graph
 from lakewright.streaming import feeds
@@ -35,18 +32,9 @@ def test_latest(spark):
     assert {r["feed"]: r["text"] for r in feeds.latest_per_key(spark.createDataFrame(FEED, SCHEMA), "feed", "text", "seq").collect()} == {"a": "m", "b": "q"}
 
 
-def test_graph(spark):
-    registry = graph.Registry()
-    registry.register("range", lambda n: spark.range(n), "count")
-    registry.register("above", lambda df, least: df.where(F.col("id") > least))
-    with pytest.raises(ValueError):
-        registry.register("count", print)
-    done = graph.run(registry, {"a": ("count", {"n": 10}), "m": ("range", {"n": 1}), "b": ("above", {"least": 99})}, [("a", "b", "df", None), ("m", "b", "least", "id")])
-    assert done["b"].count() == 9
+def test_graph():
     assert graph.stages(["a", "b", "c"], [("a", "b"), ("b", "c"), ("a", "c")]) == ([["a"], ["b"], ["c"]], set())
     assert graph.check(["a", "b"], [("a", "b"), ("b", "a"), ("a", "z")], {"a"}) == ["node b has no command", "edge a->z: no node z", "cycle among a, b"]
-    with pytest.raises(ValueError):
-        graph.run(registry, {"a": ("count", {})}, [("a", "a", "n", None)])
 
 
 def test_life(spark):
