@@ -4,16 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def stats_by_group(df: DataFrame, group: Column, size: Column) -> DataFrame:
     """Count, total and percent of the grand total (one decimal, half up; 0 if the total is 0) by group.
 
-    Columns: grp, n, total, percent. The window runs over the groups, not over the rows.
+    Columns: grp, n, total, percent. The grand total is a scalar subquery over the groups.
     """
     totals = df.groupBy(group.alias("grp")).agg(F.count(F.lit(1)).alias("n"), F.sum(size).cast("long").alias("total"))
-    whole = F.sum("total").over(Window.partitionBy())
+    whole = totals.agg(F.sum("total")).scalar()
     share = F.floor(F.col("total") * 1000.0 / whole + 0.5).cast("double") / 10
     return totals.select("grp", "n", "total", F.when(whole == 0, F.lit(0.0)).otherwise(share).alias("percent"))
 

@@ -135,3 +135,33 @@ def numbered_sections(pages: DataFrame, key: str, blocks: str) -> DataFrame:
     head = F.repeat(F.lit("#"), F.substring("tag", 2, 1).try_cast("int"))
     mark = F.when(is_heading, F.concat(head, F.lit(" "))).when(F.col("tag") == "li", "- ").when(F.col("tag") == "blockquote", "> ").otherwise("")
     return each.select("*", F.last(F.when(is_heading, F.col("text")), ignorenulls=True).over(above).alias("heading"), F.concat(mark, "text").alias("markdown"))
+
+
+def pivot_sources(sheets: DataFrame, rels: DataFrame, sheet_rels: DataFrame, caches: DataFrame, pivots: DataFrame) -> DataFrame:
+    """Each pivot table (book, part, name, cache_id) with the sheet that shows it and the part of its cache.
+
+    ``sheets`` (book, at, name, rid) find their part by ``rels`` (book, at, rid, target), else it is sheet{n}.xml by their
+    place in the book; ``sheet_rels`` (book, sheet_part, at, target) says which pivot tables a sheet holds, the last sheet
+    wins; ``caches`` (book, at, cache_id, rid) that no relation resolves are left out. Of equal ids the first counts.
+    """
+    target = first_of_each(rels, ["book", "rid"], ["at"]).select("book", "rid", "target")
+    place = F.row_number().over(Window.partitionBy("book").orderBy("at"))
+    named = sheets.withColumn("__n", place).join(target, ["book", "rid"], "left")
+    part = F.coalesce("target", F.concat(F.lit("xl/worksheets/sheet"), F.col("__n").cast("string"), F.lit(".xml")))
+    named = named.select("book", F.col("__n"), F.col("name").alias("sheet"), part.alias("sheet_part"))
+    held = named.join(sheet_rels.select("book", "sheet_part", "at", F.col("target").alias("part")), ["book", "sheet_part"])
+    owner = held.groupBy("book", "part").agg(F.max_by(F.struct("sheet", "sheet_part"), F.struct("__n", "at")).alias("o")).select("book", "part", "o.*")
+    cache = first_of_each(caches.join(target, ["book", "rid"]), ["book", "cache_id"], ["at"]).select("book", "cache_id", F.col("target").alias("cache_part"))
+    return pivots.join(owner, ["book", "part"], "left").join(cache, ["book", "cache_id"], "left").select("book", "part", "name", "sheet", "sheet_part", "cache_part")
+
+
+# Where a script calls an interface, and what a path of one looks like.
+API_CALL = r"""(?:(?:fetch|axios\.(?:get|post|put|delete))\s*\(?|\.open\([^,]+,)\s*['"`]((?:/|https?://)[^'"`\s?]+)"""
+API_PATH = r"""['"`](/(?:api|v[0-9]+)/[a-zA-Z0-9_/{}-]+)['"`]"""
+
+
+def discovered_apis(page) -> object:
+    """The interface addresses in a page's scripts, each once, sorted: string arguments of calls, quoted paths of interfaces."""
+    scripts = F.regexp_extract_all(page, F.lit(r"(?is)<script\b[^>]*>(.*?)</script\s*>"), F.lit(1))
+    found = lambda s: F.concat(*[F.regexp_extract_all(s, F.lit(p), F.lit(1)) for p in (API_CALL, API_PATH)])
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(scripts, found))))

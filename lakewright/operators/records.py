@@ -117,6 +117,6 @@ def find_by_title_or_alias(df: DataFrame, title: str, aliases: str, pattern: str
 
 
 def ordered_by_custom(df: DataFrame, tag: str, order: list[str], inner: Column | str) -> DataFrame:
-    """Rows by the place of their tag in a list, unknown tags last, then by ``inner``."""
-    at = F.array_position(F.array(*[F.lit(t) for t in order]), F.col(tag))
-    return df.orderBy(F.when(at == 0, len(order) + 1).otherwise(at), inner)
+    """Rows by the place of their tag in a list, unknown tags and null last, then by ``inner``."""
+    at = F.nullif(F.array_position(F.array(*[F.lit(t) for t in order]), F.col(tag)), F.lit(0))
+    return df.orderBy(F.coalesce(at, F.lit(len(order) + 1)), inner)

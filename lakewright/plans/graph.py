@@ -36,10 +36,10 @@ def levels(spark: SparkSession, edges: DataFrame) -> DataFrame:
 
     A cycle runs into Spark's recursion limit and fails.
     """
-    edges.createOrReplaceTempView("__edges")
     return spark.sql(
         """WITH RECURSIVE walk(node, level) AS (
-             SELECT DISTINCT src, 0 FROM __edges WHERE src NOT IN (SELECT dst FROM __edges)
-             UNION ALL SELECT e.dst, w.level + 1 FROM walk w JOIN __edges e ON e.src = w.node)
-           SELECT node, CAST(max(level) AS BIGINT) AS level FROM walk GROUP BY node"""
+             SELECT DISTINCT src, 0 FROM {edges} WHERE src NOT IN (SELECT dst FROM {edges})
+             UNION ALL SELECT e.dst, w.level + 1 FROM walk w JOIN {edges} e ON e.src = w.node)
+           SELECT node, CAST(max(level) AS BIGINT) AS level FROM walk GROUP BY node""",
+        edges=edges,
     )

@@ -315,8 +315,7 @@ GAPS_SQL = f"""SELECT g, kind, start, length FROM (SELECT g, s, e, r, unnest([{{
 
 @query("interval_gaps", GAPS_SQL)
 def interval_gaps(spark, sf_dir):
-    _t(spark, sf_dir, "lineitem").createOrReplaceTempView("__lineitem")
-    return windows.interval_gaps(spark.sql(SPANS.format("__lineitem")), ["g"], "s", "n")
+    return windows.interval_gaps(spark.sql(SPANS.format("{lineitem}"), lineitem=_t(spark, sf_dir, "lineitem")), ["g"], "s", "n")
 
 
 @query("region_totals", f"SELECT g, CAST(coalesce(sum(length) FILTER (kind = 'claimed'), 0) AS BIGINT) AS claimed, CAST(coalesce(sum(length) FILTER (kind = 'gap'), 0) AS BIGINT) AS unreferenced FROM ({GAPS_SQL}) GROUP BY g")
@@ -582,17 +581,15 @@ PIXELS = "SELECT l_suppkey AS image_id, l_orderkey % 40 AS x, l_linenumber AS y,
 def palette_pick(spark, sf_dir):
     from lakewright.operators import images
 
-    _t(spark, sf_dir, "lineitem").createOrReplaceTempView("__lineitem")
     palette = spark.createDataFrame([("low", 20, 20, 20), ("mid", 100, 50, 40), ("high", 240, 90, 70)], "name string, r int, g int, b int")
-    return images.pick_color(spark.sql(PIXELS.format("__lineitem")), palette, 12)
+    return images.pick_color(spark.sql(PIXELS.format("{lineitem}"), lineitem=_t(spark, sf_dir, "lineitem")), palette, 12)
 
 
 @query("dominant_colors")
 def dominant_colors(spark, sf_dir):
     from lakewright.operators import images
 
-    _t(spark, sf_dir, "lineitem").createOrReplaceTempView("__lineitem")
-    return images.dominant_colors(spark.sql(PIXELS.format("__lineitem")), 24)
+    return images.dominant_colors(spark.sql(PIXELS.format("{lineitem}"), lineitem=_t(spark, sf_dir, "lineitem")), 24)
 
 
 LIFE = "SELECT DISTINCT CAST(l_partkey * 7 % 1009 AS BIGINT) AS x, CAST((l_orderkey * 5 + l_linenumber) % 997 AS BIGINT) AS y FROM {}"

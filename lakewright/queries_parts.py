@@ -124,3 +124,37 @@ def until_terminal(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
     kept = feeds.until_terminal(events, "user_id", "event_id", F.col("event_type").isin("purchase", "error"))
     return kept.select(F.to_json(F.struct("user_id", "event_id", "event_type")).alias("json"))
+
+
+APIS = "SELECT event_id, user_id % 9 AS u, event_type AS t FROM events"
+
+
+@query("discovered_apis", f"""SELECT event_id, array_to_string(list_sort(['/api/' || t || '/' || u, '/v1/all/{{id}}', 'https://h.example/' || u]), ' ') AS apis FROM ({APIS})""")
+def discovered_apis(spark, sf_dir):
+    """A made-up page for every event, calls written in several ways, one outside of scripts."""
+    u, t = (F.col("user_id") % 9).cast("string"), F.col("event_type")
+    page = F.concat(F.lit("<p>fetch('/api/none')</p><SCRIPT async>fetch('/api/"), t, F.lit("/"), u, F.lit("?q=1');x.open('GET', 'https://h.example/"), u, F.lit("');</SCRIPT><script>axios.get(`/v1/all/{id}`); y = '/v1/all/{id}'; z = '/img/a.png'</script>"))
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(parts.discovered_apis(page), " ").alias("apis"))
+
+
+@query("pivot_sources", """WITH rel AS (SELECT c_custkey AS book, k, 'xl/worksheets/s' || k AS target FROM customer, (SELECT unnest(range(5)) AS k)),
+    s AS (SELECT o_custkey AS book, o_orderkey, o_orderstatus || o_orderkey AS sheet, o_orderkey % 7 AS rid, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
+    named AS (SELECT s.book, s.n, s.sheet, coalesce(target, 'xl/worksheets/sheet' || n || '.xml') AS sheet_part FROM s LEFT JOIN rel ON s.book = rel.book AND s.rid = rel.k),
+    held AS (SELECT named.*, j FROM named JOIN (VALUES ('xl/worksheets/s0', 0), ('xl/worksheets/s1', 1), ('xl/worksheets/s2', 0), ('xl/worksheets/sheet1.xml', 2)) h(part, j) ON sheet_part = part),
+    own AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY book, j ORDER BY n DESC) AS last FROM held) WHERE last = 1)
+    SELECT c_custkey AS book, 'pivot' || p.j AS part, 'P' || p.j AS name, sheet, sheet_part, CASE p.j WHEN 0 THEN 'xl/worksheets/s1' WHEN 1 THEN 'xl/worksheets/s2' END AS cache_part
+    FROM customer CROSS JOIN (SELECT unnest(range(4)) AS j) p LEFT JOIN own ON own.book = c_custkey AND own.j = p.j""")
+def pivot_sources(spark, sf_dir):
+    """Customers as workbooks and their orders as sheets; relations, pivot tables and caches alike in each."""
+    books = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("book"))
+
+    def of_each(rows, names):
+        return books.select("book", F.inline(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r, strict=True)]) for r in rows])))
+
+    rels = of_each([(k, f"r{k}", f"xl/worksheets/s{k}") for k in range(5)] + [(9, "r1", "late")], ["at", "rid", "target"])
+    held = of_each([("xl/worksheets/s0", 0, "pivot0"), ("xl/worksheets/s1", 0, "pivot1"), ("xl/worksheets/s2", 0, "pivot0"), ("xl/worksheets/sheet1.xml", 0, "pivot2")], ["sheet_part", "at", "target"])
+    caches = of_each([(0, "c0", "r1"), (1, "c1", "r9"), (2, "c1", "r2"), (3, "c0", "r3")], ["at", "cache_id", "rid"])
+    pivots = of_each([(f"pivot{j}", f"P{j}", f"c{j}") for j in range(4)], ["part", "name", "cache_id"])
+    orders = table(spark, sf_dir, "orders")
+    sheets = orders.select(F.col("o_custkey").alias("book"), F.col("o_orderkey").alias("at"), F.concat("o_orderstatus", F.col("o_orderkey").cast("string")).alias("name"), F.concat(F.lit("r"), (F.col("o_orderkey") % 7).cast("string")).alias("rid"))
+    return parts.pivot_sources(sheets, rels, held, caches, pivots)

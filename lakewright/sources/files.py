@@ -67,13 +67,13 @@ def har_requests(spark: SparkSession, path: str, host: str | None = None) -> Dat
 def openapi_operations(spark: SparkSession, path: str) -> DataFrame:
     """(path, method, operation_id, summary, parameters) of API descriptions, one row for each path and method."""
     docs = spark.read.option("wholetext", "true").text(path).select(F.parse_json("value").alias("v"))
-    docs.createOrReplaceTempView("__openapi")
     return spark.sql(
         """SELECT p.key AS path, upper(m.key) AS method, variant_get(m.value, '$.operationId', 'string') AS operation_id,
              variant_get(m.value, '$.summary', 'string') AS summary,
              coalesce(transform(try_variant_get(m.value, '$.parameters', 'array<variant>'), x -> try_variant_get(x, '$.name', 'string')), array()) AS parameters
-           FROM __openapi, LATERAL variant_explode(variant_get(v, '$.paths', 'variant')) AS p, LATERAL variant_explode(p.value) AS m
-           WHERE m.key IN ('get', 'post', 'put', 'patch', 'delete', 'head', 'options')"""
+           FROM {docs}, LATERAL variant_explode(variant_get(v, '$.paths', 'variant')) AS p, LATERAL variant_explode(p.value) AS m
+           WHERE m.key IN ('get', 'post', 'put', 'patch', 'delete', 'head', 'options')""",
+        docs=docs,
     )
 
 

@@ -6,7 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from lakewright.functions import html
-from lakewright.operators import aggregates, parts
+from lakewright.operators import aggregates, parts, records
 from lakewright.streaming import feeds
 
 
@@ -117,3 +117,40 @@ def test_json_lines(spark, tmp_path):
         feeds.json_lines_sink(spark.readStream.schema("run string, seq int, kind string").json(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     got = duckdb.sql(f"SELECT run, seq, kind FROM read_json('{tmp_path}/out/*.json', format = 'newline_delimited')").fetchall()
     assert sorted(got) == [("a", 1, "Tick"), ("a", 2, "Done"), ("b", 1, "Tick")]
+
+
+def test_pivots(spark):
+    sheets = spark.createDataFrame([("b", 0, "One", "r1"), ("b", 1, "Two", "r8"), ("b", 2, "Three", None)], "book string, at int, name string, rid string")
+    rels = spark.createDataFrame([("b", 0, "r1", "w/a.xml"), ("b", 1, "r1", "w/late.xml"), ("b", 2, "r2", "c/1.xml")], "book string, at int, rid string, target string")
+    held = spark.createDataFrame([("b", "w/a.xml", 0, "p1"), ("b", "xl/worksheets/sheet2.xml", 0, "p1"), ("b", "xl/worksheets/sheet3.xml", 0, "p2")], "book string, sheet_part string, at int, target string")
+    caches = spark.createDataFrame([("b", 0, "7", "none"), ("b", 1, "7", "r2")], "book string, at int, cache_id string, rid string")
+    pivots = spark.createDataFrame([("b", "p1", "A", "7"), ("b", "p2", "B", None), ("b", "p3", "C", "8")], "book string, part string, name string, cache_id string")
+    got = sorted(map(tuple, parts.pivot_sources(sheets, rels, held, caches, pivots).collect()))
+    assert got == [("b", "p1", "A", "Two", "xl/worksheets/sheet2.xml", "c/1.xml"), ("b", "p2", "B", "Three", "xl/worksheets/sheet3.xml", None), ("b", "p3", "C", None, None, None)]
+
+
+def test_apis(spark):
+    page = """<p>fetch('/api/x')</p><script>fetch("/a/b?c=1"); axios.post ( `https://h/z`); r.open("GET", '/o'); k = "/v2/{id}/x"; k2 = "/v2/{id}/x"; n = '/plain'</script><script></script>"""
+    df = spark.createDataFrame([(page,), ("",), (None,)], "html string")
+    assert [r[0] for r in df.select(parts.discovered_apis(F.col("html"))).collect()] == [["/a/b", "/o", "/v2/{id}/x", "https://h/z"], [], None]
+
+
+def test_greedy_claim(spark):
+    """Each key in order takes its best item that is free: a plain loop over made-up offers."""
+    draw = random.Random(3)
+    offers = list({(g, k, draw.randrange(6), draw.randrange(4)) for g in "ab" for k in range(8) for _ in range(3)})
+    want = []
+    for g in "ab":
+        taken = set()
+        for k in range(8):
+            free = sorted((p, i) for og, ok, i, p in offers if (og, ok) == (g, k) and i not in taken)
+            if free:
+                taken.add(free[0][1])
+                want.append((g, k, free[0][1]))
+    got = records.greedy_claim(spark.createDataFrame(offers, "g string, key int, item int, priority int"), "g")
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def test_custom_order(spark):
+    df = spark.createDataFrame([("z", 1), ("b", 2), ("a", 9), ("b", 1), (None, 0)], "tag string, n int")
+    assert [tuple(r) for r in records.ordered_by_custom(df, "tag", ["b", "a"], "n").collect()][:3] == [("b", 1), ("b", 2), ("a", 9)]
