@@ -16,6 +16,7 @@ QUERIES = {
     "op8_langid": "langid",
     "op9_packing": "packing",
     "op10_secrets": "secrets",
+    "op11_tandem_runs": "tandem",
     "op12_clusters": "balltree",
 }
 
