@@ -18,6 +18,7 @@ QUERIES = {
     "op10_secrets": "secrets",
     "op11_tandem_runs": "tandem",
     "op12_clusters": "balltree",
+    "op13_ngram_join": "ngram_join",
 }
 
 
