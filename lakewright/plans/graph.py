@@ -1,12 +1,17 @@
-"""Dataflow graphs: faults of a small one, levels of one that is kept as data."""
+"""Dataflow graphs: faults and levels of a small specification, and of graphs that are kept as tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from lakewright.session import checkpointed
 
 
 def check(nodes: list[str], edges: list[tuple[str, str]], known: set[str] | None = None) -> list[str]:
-    """Every fault of a graph: repeated or unknown nodes, edges to nowhere or to themselves, cycles."""
+    """Every fault of a small graph, given as lists: repeated or unknown nodes, edges to nowhere or to themselves, cycles.
+
+    For specifications that a person writes; ``faults`` and ``levels`` take tables."""
     faults = [f"node {n} is repeated" for n in sorted({n for n in nodes if nodes.count(n) > 1})]
     if known is not None:
         faults += [f"node {n} has no command" for n in nodes if n not in known]
@@ -31,15 +36,61 @@ def stages(nodes: list[str], edges: list[tuple[str, str]]) -> tuple[list[list[st
     return out, left
 
 
-def levels(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """(node, level) of an acyclic edge table (src, dst), for graphs kept as data: a recursive query.
+def faults(nodes: DataFrame, edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(fault, src, dst) of a graph in tables: nodes (node, command) that are repeated or whose command ``known`` (command)
+    lacks, edges (src, dst) that are loops or name a node that isn't there. Cycles: see ``levels``."""
+    row = lambda fault, a: [F.lit(fault).alias("fault"), F.col(a).alias("src")]
+    none = F.lit(None).cast(edges.schema["dst"].dataType).alias("dst")
+    out = nodes.groupBy("node").count().where("count > 1").select(*row("repeated node", "node"), none)
+    if known is not None:
+        out = out.unionByName(nodes.join(known, "command", "left_anti").select(*row("unknown command", "node"), none))
+    out = out.unionByName(edges.where("src = dst").select(*row("loop", "src"), "dst"))
+    names = nodes.select("node").distinct()
+    for side in ("src", "dst"):
+        lost = edges.join(names.withColumnRenamed("node", side), side, "left_anti")
+        out = out.unionByName(lost.select(*row(f"no node at {side}", "src"), "dst"))
+    return out
+
+
+def _peel(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, level): Kahn's rounds. A round takes the nodes without open edges into them, drops the edges out of them and
+    lowers the counts of the nodes these led to. Null levels: what no round took."""
+    todo = nodes.join(edges.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("open")), "node", "left")
+    todo = checkpointed(todo.select("node", F.coalesce("open", F.lit(0)).alias("open")))
+    done, level = [], 0
+    while True:
+        ready = todo.where("open = 0")
+        if not ready.limit(1).count():
+            break
+        done.append(ready.select("node", F.lit(level).cast("long").alias("level")))
+        level += 1
+        src = ready.select(F.col("node").alias("src"))
+        freed = edges.join(src, "src").groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("freed"))
+        edges = edges.join(src, "src", "left_anti") if level % 8 else checkpointed(edges.join(src, "src", "left_anti"))
+        left = todo.where("open > 0").join(freed, "node", "left")
+        todo = checkpointed(left.select("node", (F.col("open") - F.coalesce("freed", F.lit(0))).alias("open")))
+    out = todo.select("node", F.lit(None).cast("long").alias("level"))
+    for part in done:
+        out = out.unionByName(part)
+    return out
+
+
+def levels(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(node, level, state) of an edge table (src, dst), one row a node, by peeling the frontier.
 
-    A cycle runs into Spark's recursion limit and fails.
-    """
-    return spark.sql(
-        """WITH RECURSIVE walk(node, level) AS (
-             SELECT DISTINCT src, 0 FROM {edges} WHERE src NOT IN (SELECT dst FROM {edges})
-             UNION ALL SELECT e.dst, w.level + 1 FROM walk w JOIN {edges} e ON e.src = w.node)
-           SELECT node, CAST(max(level) AS BIGINT) AS level FROM walk GROUP BY node""",
-        edges=edges,
-    )
+    The level is the length of the longest path from a root; nodes of a level can run side by side. A cycle's nodes have no
+    level, nor have those behind it: ``state`` is "ready", "cycle" (on a cycle, or on a path from one to another) or
+    "behind". Loops are cycles of one; repeated edges count as often as they stand there. ``nodes`` (node) adds nodes without edges;
+    edges with a null end are left out. A job for each level; each reads what is left of the nodes and edges."""
+    edges = checkpointed(edges.select("src", "dst").where("src is not null and dst is not null"))
+    ends = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node")))
+    every = ends if nodes is None else ends.unionByName(nodes.select("node"))
+    found = checkpointed(_peel(edges, every.where("node is not null").distinct()))
+    left = found.where("level is null").select("node")
+    if not left.limit(1).count():
+        return found.withColumn("state", F.lit("ready"))
+    # What can be peeled from the other end lies behind the cycles.
+    inner = edges.join(left.withColumnRenamed("node", "src"), "src", "left_semi").join(left.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    back = _peel(checkpointed(inner.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), left).withColumnRenamed("level", "back")
+    state: Column = F.when(F.col("level").isNotNull(), "ready").when(F.col("back").isNull(), "cycle").otherwise("behind")
+    return found.join(back, "node", "left").select("node", "level", state.alias("state"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lakewright import queries_parts, queries_scalars  # noqa: F401  they register queries of their own
 from lakewright.functions import scalars as S
-from lakewright.operators import aggregates, joins, records, sets, text, topk, windows
+from lakewright.operators import aggregates, dom, joins, records, sets, text, topk, windows
 from lakewright.plans import graph
 from lakewright.registry import oracle_sql, queries, query  # noqa: F401
 from lakewright.registry import table as _t
@@ -526,12 +526,31 @@ def cell_addresses(spark, sf_dir):
 # Graphs and iteration
 
 
-@query("graph_levels", """WITH RECURSIVE e AS (SELECT DISTINCT n_regionkey AS src, 100 + n_nationkey AS dst FROM nation UNION SELECT 100 + n_nationkey, 1000 + c_mktsegment_id FROM (SELECT DISTINCT c_nationkey AS n_nationkey, length(c_mktsegment) AS c_mktsegment_id FROM customer)),
-    w AS (SELECT DISTINCT src AS node, 0 AS level FROM e WHERE src NOT IN (SELECT dst FROM e) UNION SELECT e.dst, w.level + 1 FROM w JOIN e ON e.src = w.node) SELECT CAST(node AS BIGINT) AS node, CAST(max(level) AS BIGINT) AS level FROM w GROUP BY node""")
+LINKS = """SELECT DISTINCT 'c' || o_custkey AS src, 'o' || o_orderkey AS dst FROM {orders} UNION SELECT 'o' || l_orderkey, 'p' || l_partkey FROM {lineitem} UNION SELECT 'p' || l_partkey, 's' || l_suppkey FROM {lineitem}
+    UNION SELECT 'c' || o_custkey, 'p' || (o_custkey % 97) FROM {orders} UNION SELECT 'n' || c_nationkey, 'c' || c_custkey FROM {customer} UNION SELECT 'n' || s_nationkey, 's' || s_suppkey FROM {supplier}"""
+
+
+@query("graph_levels", f"""WITH RECURSIVE e AS ({LINKS.format(orders='orders', lineitem='lineitem', customer='customer', supplier='supplier')}),
+    w AS (SELECT DISTINCT src AS node, 0 AS level FROM e WHERE src NOT IN (SELECT dst FROM e) UNION SELECT e.dst, w.level + 1 FROM w JOIN e ON e.src = w.node) SELECT node, CAST(max(level) AS BIGINT) AS level, 'ready' AS state FROM w GROUP BY node""")
 def graph_levels(spark, sf_dir):
-    a = _t(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("long").alias("src"), (F.col("n_nationkey") + 100).cast("long").alias("dst")).distinct()
-    b = _t(spark, sf_dir, "customer").select((F.col("c_nationkey") + 100).cast("long").alias("src"), (F.length("c_mktsegment") + 1000).cast("long").alias("dst")).distinct()
-    return graph.levels(spark, a.unionByName(b))
+    """Nations, customers, orders, parts and suppliers, with links that skip a level."""
+    tables = {t: _t(spark, sf_dir, t) for t in ("orders", "lineitem", "customer", "supplier")}
+    return graph.levels(spark.sql(LINKS, **tables))
+
+
+TRADE = """SELECT c_nationkey AS src, s_nationkey AS dst FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey JOIN {supplier} ON l_suppkey = s_suppkey
+    GROUP BY c_nationkey, s_nationkey HAVING count(*) % 13 = 0 AND (c_nationkey > s_nationkey OR count(*) % 2 = 0)"""
+
+
+@query("graph_cycles", f"""WITH RECURSIVE e AS ({TRADE.format(lineitem='lineitem', orders='orders', customer='customer', supplier='supplier')}), n AS (SELECT n_nationkey AS node FROM nation),
+    r AS (SELECT src AS a, dst AS b FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON r.b = e.src), c AS (SELECT a FROM r WHERE a = b),
+    k AS (SELECT node, node IN (SELECT a FROM c) OR node IN (SELECT b FROM r WHERE a IN (SELECT a FROM c)) AS stuck, node IN (SELECT a FROM c) OR node IN (SELECT b FROM r WHERE a IN (SELECT a FROM c)) AND node IN (SELECT a FROM r WHERE b IN (SELECT a FROM c)) AS core FROM n),
+    w AS (SELECT node, 0 AS level FROM k WHERE NOT stuck UNION SELECT e.dst, w.level + 1 FROM w JOIN e ON e.src = w.node JOIN k ON k.node = e.dst AND NOT stuck)
+    SELECT k.node, CAST(max(level) AS BIGINT) AS level, CASE WHEN core THEN 'cycle' WHEN stuck THEN 'behind' ELSE 'ready' END AS state FROM k LEFT JOIN w ON k.node = w.node GROUP BY k.node, core, stuck""")
+def graph_cycles(spark, sf_dir):
+    """Which nations can be put in an order, where a nation comes before those that it bought so many lines of."""
+    tables = {t: _t(spark, sf_dir, t) for t in ("orders", "lineitem", "customer", "supplier")}
+    return graph.levels(spark.sql(TRADE, **tables), _t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("node")))
 
 
 @query("terminal_rows", "SELECT user_id, count(*) FILTER (event_type IN ('purchase', 'error')) AS n_terminal, count(*) FILTER (event_type IN ('purchase', 'error')) = 1 AS ok FROM events GROUP BY 1")
@@ -563,12 +582,16 @@ def distilled_titles(spark, sf_dir):
     return pages.select("page_id", "d.title", F.size("d.sections").cast("long").alias("n_sections"), F.size("d.tables").cast("long").alias("n_tables"))
 
 
-@query("selector_texts", r"""SELECT page_id, CAST(len(regexp_extract_all(html, '<nav>.*?</nav>')) AS BIGINT) AS n_nav, CAST(len(regexp_extract_all(html, '<li><a')) AS BIGINT) AS n_items FROM pages""")
-def selector_texts(spark, sf_dir):
-    from lakewright.functions import html
+NAV_ITEMS = r"""regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1), '<li><a [^>]*>([^<]*)</a>', 1)"""
+DECODED = "replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
 
-    pages = _t(spark, sf_dir, "pages").select("page_id", html.selected_texts("nav")("html").alias("a"), html.selected_texts("nav li > a, nav li a")("html").alias("b"))
-    return pages.select("page_id", F.size("a").cast("long").alias("n_nav"), F.size("b").cast("long").alias("n_items"))
+
+@query("selector_texts", rf"""SELECT page_id, {DECODED.format(f"array_to_string({NAV_ITEMS}, ' ')")} AS nav, {DECODED.format(f"array_to_string({NAV_ITEMS}, chr(10))")} AS items,
+    {DECODED.format("array_to_string(list_transform(regexp_extract_all(html, '<div class=.ad.>([^<]*)</div>', 1), lambda x: replace(x, chr(10), ' ')), chr(10))")} AS ads FROM pages""")
+def selector_texts(spark, sf_dir):
+    pages = dom.read(_t(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
+    found = [dom.selected_texts(pages, s).select("page_id", F.array_join("texts", "\n").alias(c)) for c, s in (("nav", "nav"), ("items", "nav > ul > li a[href], nav li > a"), ("ads", "div.ad"))]
+    return found[0].join(found[1], "page_id").join(found[2], "page_id")
 
 
 PIXELS = "SELECT l_suppkey AS image_id, l_orderkey % 40 AS x, l_linenumber AS y, CAST(floor(l_quantity * 5) AS BIGINT) AS r, CAST(floor(l_discount * 1000) AS BIGINT) AS g, CAST(floor(l_tax * 1000) AS BIGINT) AS b FROM {}"
