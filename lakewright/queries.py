@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lakewright import queries_parts, queries_scalars  # noqa: F401  they register queries of their own
 from lakewright.functions import scalars as S
 from lakewright.operators import aggregates, dom, joins, records, sets, text, topk, windows
-from lakewright.plans import graph
+from lakewright.plans import graph, tree
 from lakewright.registry import oracle_sql, queries, query  # noqa: F401
 from lakewright.registry import table as _t
 
@@ -553,6 +553,39 @@ def graph_cycles(spark, sf_dir):
     return graph.levels(spark.sql(TRADE, **tables), _t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("node")))
 
 
+BOUGHT = """SELECT event_id AS node, CASE WHEN event_id % 40 > 0 THEN event_id - 1 - user_id % least(4, event_id % 40) END AS parent, CAST(floor(value) AS BIGINT) % 5 AS place, CAST(floor(value) AS BIGINT) AS value FROM {}"""
+CLOSURE = f"""t AS (SELECT * FROM ({BOUGHT.format('events')})), w AS (SELECT node, node AS up, parent, 0 AS depth, [(place, node)] AS path FROM t UNION ALL SELECT w.node, t.node, t.parent, w.depth + 1, list_prepend((t.place, t.node), w.path) FROM w JOIN t ON w.parent = t.node),
+    r AS (SELECT node, up AS root, depth, path FROM w WHERE parent IS NULL), s AS (SELECT up AS node, count(*) AS size, CAST(sum(t.value) AS BIGINT) AS total FROM w JOIN t USING (node) GROUP BY up),
+    shape AS (SELECT r.node, root, CAST(depth AS BIGINT) AS depth, row_number() OVER (PARTITION BY root ORDER BY path) - 1 AS pre, size, total FROM r JOIN s USING (node))"""
+
+
+@query("shape_tree", f"WITH RECURSIVE {CLOSURE} SELECT node, root, depth, pre, size, total FROM shape")
+def shape_tree(spark, sf_dir):
+    """Every forty events a tree, in which an event hangs on one of the four before it."""
+    return tree.shape(spark.sql(BOUGHT.format("{events}"), events=_t(spark, sf_dir, "events")))
+
+
+@query("shape_totals", f"""WITH RECURSIVE {CLOSURE}, x AS (SELECT * FROM shape JOIN (SELECT event_id AS node, event_type AS kind FROM events) USING (node) WHERE depth > 0), k AS (SELECT root, kind, min(pre) AS first FROM x GROUP BY 1, 2)
+    SELECT root, count(*) AS shapes_total, count(*) FILTER (depth = 1) AS top_level, count(*) FILTER (depth > 1) AS nested, count(*) FILTER (kind = 'view') AS groups, max(depth) - 1 AS max_depth, (SELECT string_agg(kind, ' ' ORDER BY first) FROM k WHERE k.root = x.root) AS kinds_seen FROM x GROUP BY root""")
+def shape_totals(spark, sf_dir):
+    events = _t(spark, sf_dir, "events")
+    shaped = tree.shape(spark.sql(BOUGHT.format("{events}"), events=events))
+    return tree.totals(shaped, events.select(F.col("event_id").alias("node"), F.col("event_type").alias("kind")), "view").withColumn("kinds_seen", F.array_join("kinds_seen", " "))
+
+
+@query("group_tally", f"""WITH RECURSIVE {CLOSURE}, p AS (SELECT DISTINCT parent FROM t WHERE parent IS NOT NULL), x AS (SELECT shape.*, shape.node IN (SELECT parent FROM p) AS is_group, value AS span, event_type = 'error' AS hidden FROM shape JOIN events ON event_id = shape.node WHERE depth > 0)
+    SELECT root, count(*) FILTER (is_group) AS group_elements, count(*) FILTER (NOT is_group AND depth > 1) AS members, CAST(coalesce(sum(floor(span)) FILTER (NOT is_group AND depth > 1), 0) AS BIGINT) AS covered,
+    CAST(coalesce(sum(floor(span)) FILTER (NOT is_group AND depth > 1 AND hidden), 0) AS BIGINT) AS hidden, coalesce(max(depth - 1) FILTER (NOT is_group AND depth > 1), 0) AS max_level FROM x GROUP BY root""")
+def group_tally(spark, sf_dir):
+    """Events on which others hang are groups, the rest members."""
+    events = _t(spark, sf_dir, "events")
+    nodes = spark.sql(BOUGHT.format("{events}"), events=events)
+    shaped = tree.shape(nodes)
+    held = nodes.where("parent is not null").select(F.col("parent").alias("node"), F.lit(True).alias("g")).distinct()
+    facts = events.select(F.col("event_id").alias("node"), F.floor("value").alias("span"), (F.col("event_type") == "error").alias("hidden")).join(held, "node", "left")
+    return tree.group_tally(shaped, facts.select("node", F.coalesce("g", F.lit(False)).alias("is_group"), "span", "hidden"))
+
+
 @query("terminal_rows", "SELECT user_id, count(*) FILTER (event_type IN ('purchase', 'error')) AS n_terminal, count(*) FILTER (event_type IN ('purchase', 'error')) = 1 AS ok FROM events GROUP BY 1")
 def terminal_rows(spark, sf_dir):
     from lakewright.streaming import feeds
