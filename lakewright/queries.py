@@ -364,6 +364,30 @@ def failure_streaks(spark, sf_dir):
     return windows.failure_streaks(_t(spark, sf_dir, "events"), ["user_id"], "event_id", F.col("event_type") == "error").select("event_id", "streak")
 
 
+TURNS = """SELECT user_id, event_id, sub, ev FROM (SELECT user_id, event_id, posexplode(array('orient', 'decide', CASE WHEN event_type = 'purchase' THEN 'act_mutating' ELSE 'act' END, CASE WHEN event_type = 'purchase' AND event_id % 4 > 0 THEN 'checkpointed' END,
+    CASE WHEN event_type IN ('error', 'view') THEN 'fail' ELSE 'ok' END, CASE WHEN event_type = 'signup' THEN 'recovered' ELSE 'verify' END, CASE WHEN event_type = 'view' AND event_id % 2 = 0 THEN 'recovered' END)) AS (sub, ev) FROM {events}) WHERE ev IS NOT NULL"""
+
+
+@query("turn_machine", """WITH RECURSIVE x AS (SELECT user_id, event_id, unnest(range(7)) AS sub, unnest(['orient', 'decide', CASE WHEN event_type = 'purchase' THEN 'act_mutating' ELSE 'act' END, CASE WHEN event_type = 'purchase' AND event_id % 4 > 0 THEN 'checkpointed' END,
+    CASE WHEN event_type IN ('error', 'view') THEN 'fail' ELSE 'ok' END, CASE WHEN event_type = 'signup' THEN 'recovered' ELSE 'verify' END, CASE WHEN event_type = 'view' AND event_id % 2 = 0 THEN 'recovered' END]) AS ev FROM events),
+    e AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id, sub) AS i FROM x WHERE ev IS NOT NULL),
+    m AS (SELECT user_id, CAST(0 AS BIGINT) AS i, 'observe' AS phase, false AS awaiting, 0 AS failures, 0 AS step, 0 AS checkpoints, false AS legal FROM (SELECT DISTINCT user_id FROM events)
+    UNION ALL SELECT e.user_id, e.i, CASE WHEN ev = 'verify' AND step >= 8 THEN 'done' WHEN ev = 'orient' AND phase = 'observe' THEN 'orient' WHEN ev = 'decide' AND phase = 'orient' THEN 'decide' WHEN ev IN ('act', 'act_mutating') AND phase = 'decide' THEN 'act'
+      WHEN ev = 'ok' AND phase = 'act' AND NOT awaiting THEN 'verify' WHEN ev = 'fail' AND phase = 'act' AND NOT awaiting THEN CASE WHEN failures >= 2 THEN 'rollback' ELSE 'verify' END WHEN ev = 'verify' AND phase = 'verify' OR ev = 'recovered' AND phase = 'rollback' THEN 'observe' ELSE phase END,
+      CASE WHEN ev = 'act_mutating' AND phase = 'decide' THEN true WHEN ev = 'checkpointed' THEN false ELSE awaiting END,
+      CASE WHEN ev = 'ok' AND phase = 'act' AND NOT awaiting OR ev = 'recovered' AND phase = 'rollback' THEN 0 WHEN ev = 'fail' AND phase = 'act' AND NOT awaiting THEN failures + 1 ELSE failures END,
+      step + CASE WHEN ev IN ('ok', 'fail') AND phase = 'act' AND NOT awaiting THEN 1 ELSE 0 END, checkpoints + CASE WHEN ev = 'checkpointed' AND awaiting THEN 1 ELSE 0 END,
+      CASE ev WHEN 'verify' THEN step >= 8 OR phase = 'verify' WHEN 'orient' THEN phase = 'observe' WHEN 'decide' THEN phase = 'orient' WHEN 'recovered' THEN phase = 'rollback' WHEN 'checkpointed' THEN awaiting WHEN 'ok' THEN phase = 'act' AND NOT awaiting WHEN 'fail' THEN phase = 'act' AND NOT awaiting ELSE phase = 'decide' END
+      FROM m JOIN e ON e.user_id = m.user_id AND e.i = m.i + 1)
+    SELECT user_id, event_id, sub, phase, awaiting, CAST(failures AS BIGINT) AS failures, CAST(step AS BIGINT) AS step, CAST(checkpoints AS BIGINT) AS checkpoints, legal FROM m JOIN e USING (user_id, i)""")
+def turn_machine(spark, sf_dir):
+    """Every user a run and every event a turn of it, with a budget of eight ended acts."""
+    from lakewright.operators import machines
+
+    events = spark.sql(TURNS, events=_t(spark, sf_dir, "events"))
+    return machines.run_turns(events, "user_id", ["event_id", "sub"], "ev", 8, 3).drop("ev").withColumn("sub", F.col("sub").cast("long"))
+
+
 @query("feed_high_water", """SELECT event_id FROM (SELECT *, max(v) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mark FROM (SELECT *, CAST(floor(value * 10) AS BIGINT) AS v FROM events WHERE event_type <> '')) WHERE mark IS NULL OR v > mark""")
 def feed_high_water(spark, sf_dir):
     events = _t(spark, sf_dir, "events").withColumn("v", F.floor(F.col("value") * 10))
