@@ -8,8 +8,10 @@ tie goes to the first by name.
 
 The profiles are counted by Spark over a sample of PER_LANGUAGE documents a language (in
 expectation; drawn by a hash of the id), for every language that the labels name. Documents
-are scored whole in an Arrow UDF. Letters outside all profiles count as one common symbol. N-grams of equal count rank by
-length, then by their letters' code points, the blank first.
+are scored whole in an Arrow UDF. N-grams of equal count rank by length, then by their letters' code points, the blank first,
+in profiles and documents alike, so that a text lies at distance 0 from a profile of its own. What is kept of the profiles is
+their n-grams, PROFILE for each language, whatever the scripts; more than MAX_LANGUAGES labels are an error, as
+their n-grams come to the driver and go to every worker.
 
 Edge cases: a null text, or one without a letter, gives ``und`` and score 0. A null id is learned
 from and is not held out. Without any labelled document every text gives ``und``. Repeated rows get
@@ -34,8 +36,9 @@ PROFILE = 300
 PER_LANGUAGE = 1500
 HELD_OUT = 2
 UNDETERMINED = "und"
-#: Bins up to which n-grams are counted by address; above, by sorting.
+#: Bins up to which n-grams are counted by address; above, and where a text has letters that no profile has, by sorting.
 DENSE_BINS = 300_000
+MAX_LANGUAGES = 10_000
 
 
 @cache
@@ -64,6 +67,9 @@ def grams(text: str) -> Counter:
 def fit_profiles(train: DataFrame, per_language: int = PER_LANGUAGE, profile: int = PROFILE) -> dict[str, list[str]]:
     """Profiles, best n-gram first, from the columns text and lang."""
     train = train.where("lang is not null and text is not null")
+    found = train.select("lang").distinct().limit(MAX_LANGUAGES + 1).count()
+    if found > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages: is lang the right column?")
     # One row for each language.
     share = train.groupBy("lang").agg((F.lit(per_language) / F.count(F.lit(1))).alias("share"))
     drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("share") * (1 << 20)
@@ -80,7 +86,7 @@ def fit_profiles(train: DataFrame, per_language: int = PER_LANGUAGE, profile: in
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(c, pa.int64())], names=["lang", "gram", "n"])
 
     counts = sample.mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), F.length("gram"), "gram"))
     best = counts.withColumn("rank", rank).where(F.col("rank") <= profile).select("lang", "gram", "rank").collect()
     out: dict[str, list[str]] = {}
     for row in sorted(best, key=lambda r: (r["lang"], r["rank"])):
@@ -88,52 +94,80 @@ def fit_profiles(train: DataFrame, per_language: int = PER_LANGUAGE, profile: in
     return out
 
 
+#: Bits of a letter in the number of an n-gram: code point + 2, the blank 1, so that numbers sort by length, then code points.
+_BITS = 21
+
+
+def _number(gram: str) -> int:
+    out = 0
+    for c in gram:
+        out = out << _BITS | (1 if c == " " else ord(c) + 2)
+    return out
+
+
 class Profiles:
-    """Profiles over numbered n-grams, for fast distances."""
+    """Profiles over numbered n-grams, for fast distances: a sorted list of the n-grams that any profile has, and for each the
+    languages and ranks that it has there."""
 
     def __init__(self, profiles: dict[str, list[str]], size: int = PROFILE) -> None:
         self.langs, self.size = sorted(profiles), size
+        rows = sorted((_number(g), row, rank) for row, lang in enumerate(self.langs) for rank, g in enumerate(profiles[lang]))
+        code, self.lang, self.rank = (np.array(c, np.int64) for c in zip(*rows, strict=True)) if rows else (np.zeros(0, np.int64),) * 3
+        self.known, self.first = np.unique(code, return_index=True)
+        self.first = np.append(self.first, len(code))
         alphabet = sorted({c for grams in profiles.values() for g in grams for c in g} - {" "})
         self.k = k = len(alphabet) + 2  # 0: the blank; k - 1: any other letter
         self.table = np.zeros(sys.maxunicode + 1, np.int32)
         self.table[_letters()] = k - 1
-        code = {c: i for i, c in enumerate(alphabet, 1)} | {" ": 0}
-        for c, i in code.items():
+        for i, c in enumerate(alphabet, 1):
             self.table[ord(c)] = i
+        self.letters = np.array([1, *(ord(c) + 2 for c in alphabet), 0], np.int64)
         self.bins = k + k * k + k * k * k
-        place = {1: lambda a: a[0], 2: lambda a: k + a[0] * k + a[1], 3: lambda a: k + k * k + (a[0] * k + a[1]) * k + a[2]}
-        self.ranks = np.full((len(self.langs), self.bins), -1, np.int16)
-        for row, lang in enumerate(self.langs):
-            for rank, g in enumerate(profiles[lang]):
-                self.ranks[row, place[len(g)]([code[c] for c in g])] = rank
+
+    def _numbers(self, bins: np.ndarray) -> np.ndarray:
+        """The numbers of n-grams that are given by their bins."""
+        k = self.k
+        length = 1 + (bins >= k) + (bins >= k + k * k)
+        rest = bins - np.array([0, 0, k, k + k * k])[length]
+        a, b, c = (self.letters[rest // k**j % k] for j in (2, 1, 0))
+        return np.where(length > 2, a << 2 * _BITS, 0) | np.where(length > 1, b << _BITS, 0) | c
 
     def top(self, text: str) -> np.ndarray | None:
         """The numbers of a text's most frequent n-grams, best first, or None if it has no letter."""
-        k, x = self.k, self.table[_points(text)]
-        x = np.concatenate([[0], x, [0]]).astype(np.int64)
-        x = x[np.concatenate([[True], (x[1:] != 0) | (x[:-1] != 0)])]
+        k, points = self.k, _points(text)
+        x = self.table[points].astype(np.int64)
+        dense = self.bins <= DENSE_BINS and not (x == k - 1).any()
+        if not dense:
+            x = np.where(x > 0, points.astype(np.int64) + 2, 1)
+        blank = 0 if dense else 1
+        x = np.concatenate([[blank], x, [blank]])
+        x = x[np.concatenate([[True], (x[1:] != blank) | (x[:-1] != blank)])]
         if len(x) < 3:
             return None
-        two = x[:-1] * k + x[1:]
-        three = (two[:-1] * k + x[2:])[x[1:-1] != 0]
-        codes = np.concatenate([x[x != 0], two + k, three + k + k * k])
-        if self.bins <= DENSE_BINS:
-            counts = np.bincount(codes, minlength=self.bins)
+        if dense:
+            two = x[:-1] * k + x[1:]
+            three = (two[:-1] * k + x[2:])[x[1:-1] != blank]
+            counts = np.bincount(np.concatenate([x[x != blank], two + k, three + k + k * k]), minlength=self.bins)
             ids = np.flatnonzero(counts)
-            counts = counts[ids]
-        else:
-            ids, counts = np.unique(codes, return_counts=True)
-        # Most frequent first; ties by number.
-        keys = np.sort((-counts) * self.bins + ids)[: self.size]
-        return keys % self.bins
+            keys = np.sort(ids - counts[ids] * self.bins)[: self.size]  # most frequent first; ties by number
+            return self._numbers(keys % self.bins)
+        two = x[:-1] << _BITS | x[1:]
+        three = (two[:-1] << _BITS | x[2:])[x[1:-1] != blank]
+        ids, counts = np.unique(np.concatenate([x[x != blank], two, three]), return_counts=True)
+        return ids[np.argsort(-counts, kind="stable")[: self.size]]
 
     def distances(self, text: str) -> tuple[np.ndarray, int] | None:
         top = self.top(text)
         if top is None:
             return None
-        at = self.ranks[:, top].astype(np.int64)
-        apart = np.where(at < 0, self.size, np.abs(at - np.arange(len(top))))
-        return apart.sum(1), len(top) * self.size
+        apart = np.full(len(self.langs), len(top) * self.size, np.int64)
+        at = np.searchsorted(self.known, top)
+        here = np.flatnonzero(self.known[np.minimum(at, len(self.known) - 1)] == top) if len(self.known) else np.zeros(0, np.int64)
+        first, n = self.first[at[here]], self.first[at[here] + 1] - self.first[at[here]]
+        place = np.repeat(here, n)
+        entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+        np.add.at(apart, self.lang[entry], np.abs(self.rank[entry] - place) - self.size)
+        return apart, len(top) * self.size
 
     def predict(self, text: str | None) -> tuple[str, float]:
         found = self.distances(text) if text and self.langs else None
