@@ -618,6 +618,35 @@ def terminal_rows(spark, sf_dir):
     return feeds.terminal_check(events, "user_id", "kind")
 
 
+RUNS = """SELECT user_id AS run, event_id AS seq, CASE WHEN event_type = 'purchase' THEN 'Done' WHEN event_type = 'error' THEN 'Error' ELSE 'Tick' END AS kind FROM {}"""
+
+
+@query("missing_terminals", f"""WITH e AS ({RUNS.format('events')}), l AS (SELECT run, max(seq) AS s, max_by(kind, seq) AS k FROM e GROUP BY run), o AS (SELECT c_custkey AS run, c_custkey % 3 = 0 AS ok, c_name AS result, c_mktsegment AS message FROM customer WHERE c_custkey % 5 < 4)
+    SELECT run, seq, kind, CAST(NULL AS VARCHAR) AS result, CAST(NULL AS INT) AS code, CAST(NULL AS VARCHAR) AS message FROM e UNION ALL
+    SELECT coalesce(l.run, o.run), coalesce(s, -1) + 1, CASE WHEN ok THEN 'Done' ELSE 'Error' END, CASE WHEN ok THEN result END, CASE WHEN ok THEN NULL ELSE 1 END, CASE WHEN NOT coalesce(ok, false) THEN coalesce(message, 'ended without an outcome') END
+    FROM l FULL JOIN o ON l.run = o.run WHERE coalesce(k, '') NOT IN ('Done', 'Error')""")
+def missing_terminals(spark, sf_dir):
+    """Every user a run; customers of the same number hold what it returned, but for one in five."""
+    from lakewright.streaming import feeds
+
+    none = lambda kind: F.lit(None).cast(kind)
+    events = spark.sql(RUNS.format("{events}"), events=_t(spark, sf_dir, "events")).withColumns({"result": none("string"), "code": none("int"), "message": none("string")})
+    outcomes = _t(spark, sf_dir, "customer").where("c_custkey % 5 < 4").select(F.col("c_custkey").alias("run"), (F.col("c_custkey") % 3 == 0).alias("ok"), F.col("c_name").alias("result"), F.col("c_mktsegment").alias("message"))
+    return feeds.with_terminals(events, outcomes, "run", "seq", "kind")
+
+
+@query("content_store", """WITH p AS (SELECT source || ':' || doc_id % 40 AS name, doc_id % 9 AS version, sha256(text) AS blob, doc_id // 7 AS "at", text FROM documents)
+    SELECT name, max((("at"), version, blob))[2] AS version, max((("at"), version, blob))[3] AS blob, (SELECT count(DISTINCT blob) FROM p) AS blobs FROM p GROUP BY name""")
+def content_store(spark, sf_dir):
+    """Documents as packages; the second half is put into a store that holds the first."""
+    from lakewright.sources import files
+
+    name = F.concat_ws(":", "source", (F.col("doc_id") % 40).cast("string"))
+    packs = _t(spark, sf_dir, "documents").select("doc_id", name.alias("name"), (F.col("doc_id") % 9).alias("version"), F.col("text").cast("binary").alias("bytes"), F.call_function("div", F.col("doc_id"), F.lit(7)).alias("at"))
+    blobs, names = files.content_store(packs.where("doc_id % 2 = 0").drop("doc_id"), packs.where("doc_id % 2 = 1").drop("doc_id"))
+    return names.join(F.broadcast(blobs.agg(F.count("*").alias("blobs"))))
+
+
 # Pages and pixels
 
 HTML_LINKS = r"""SELECT page_id, CAST(len(list_distinct(regexp_extract_all(html, '<a href="([^"]*)">[^<]*</a>', 0))) AS BIGINT) AS n_links FROM pages"""

@@ -78,8 +78,10 @@ def openapi_operations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def content_store(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Put packages (name, version, bytes, at): blobs by SHA-256, each once, and for each name the last written blob."""
+    """Put packages (name, version, bytes, at): blobs by SHA-256, each once, and for each name the last written blob.
+
+    Ties in ``at`` go by the greater version, then blob. ``feeds.put_stream`` is its streaming form."""
     both = old.unionByName(new).withColumn("blob", F.sha2("bytes", 256))
     blobs = both.groupBy("blob").agg(F.first("bytes").alias("bytes"))
-    names = both.groupBy("name").agg(F.max_by(F.struct("version", "blob"), "at").alias("x")).select("name", "x.*")
+    names = both.groupBy("name").agg(F.max(F.struct("at", "version", "blob")).alias("x")).select("name", "x.version", "x.blob")
     return blobs, names

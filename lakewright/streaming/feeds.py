@@ -17,7 +17,7 @@ class HighWater(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.mark = handle.getValueState("mark", T.StructType([T.StructField("ts", T.LongType())]))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         found = pd.concat(list(rows)).sort_values("seq", kind="stable")
         mark = self.mark.get()[0] if self.mark.exists() else None
         keep = []
@@ -68,6 +68,90 @@ def terminal_check(events: DataFrame, run: str, kind: str) -> DataFrame:
     return events.groupBy(run).agg(n.alias("n_terminal")).withColumn("ok", F.col("n_terminal") == 1)
 
 
+def with_terminals(events: DataFrame, outcomes: DataFrame, run: str, seq: str, kind: str) -> DataFrame:
+    """The events, and for each run whose last one is neither Done nor Error the terminal one that is missing.
+
+    ``events``: (run, seq, kind, result, code, message); ``outcomes``: (run, ok, result, message), one row a run. What a run returned makes a
+    Done with its result, what it failed with an Error of code 1; a run without an outcome has ended without a word, an Error too. Runs
+    that have an outcome and no events get their terminal event at seq 0."""
+    last = events.groupBy(run).agg(F.max(seq).alias("__at"), F.max_by(kind, seq).alias("__kind"))
+    ended = last.join(outcomes, run, "full").where(~F.coalesce(F.col("__kind").isin("Done", "Error"), F.lit(False)))
+    ok = F.coalesce(F.col("ok"), F.lit(False))
+    made = ended.select(
+        F.col(run), (F.coalesce("__at", F.lit(-1)) + 1).cast(events.schema[seq].dataType).alias(seq), F.when(ok, "Done").otherwise("Error").alias(kind),
+        F.when(ok, F.col("result")).alias("result"), F.when(~ok, 1).alias("code"), F.when(~ok, F.coalesce("message", F.lit("ended without an outcome"))).alias("message"),
+    )
+    return events.select(*made.columns).unionByName(made)
+
+
+class Terminals(StatefulProcessor):
+    """Passes events on and waits for each run's terminal one; ``timeout`` milliseconds of event time after the last event it
+    emits an Error in its place. A run is forgotten that long after its last event, so the state holds live runs alone."""
+
+    def __init__(self, timeout: int) -> None:
+        self.timeout = timeout
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        fields = [T.StructField("seq", T.LongType()), T.StructField("ended", T.BooleanType()), T.StructField("due", T.LongType())]
+        self.state = handle.getValueState("run", T.StructType(fields))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        found = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        seq, ended, due = self.state.get() if self.state.exists() else (-1, False, 0)
+        if due:
+            self.handle.deleteTimer(due)
+        last = int(found["at"].max().value // 1_000_000) + self.timeout
+        ended = bool(ended or found["kind"].isin(["Done", "Error"]).any())
+        due = max(due, last)
+        self.handle.registerTimer(due)
+        self.state.update((max(seq, int(found["seq"].max())), ended, due))
+        yield found.assign(made=False)[["run", "seq", "kind", "message", "made"]]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        seq, ended, due = self.state.get() if self.state.exists() else (-1, True, 0)
+        self.state.clear()
+        if not ended:
+            yield pd.DataFrame({"run": [key[0]], "seq": [seq + 1], "kind": ["Error"], "message": ["no terminal event"], "made": [True]})
+
+    def close(self) -> None:
+        pass
+
+
+def terminal_stream(df: DataFrame, timeout: int, lateness: str = "0 seconds") -> DataFrame:
+    """A stream (run, at, seq, kind, message) as (run, seq, kind, message, made), with an Error for each run that falls silent.
+
+    ``timeout``: milliseconds of event time without an event. Needs the RocksDB state store."""
+    rows = df.withWatermark("at", lateness).groupBy("run")
+    return rows.transformWithStateInPandas(Terminals(timeout), "run string, seq long, kind string, message string, made boolean", "Append", "EventTime")
+
+
+def put_stream(df: DataFrame, path: str, checkpoint: str, lateness: str = "1 hour") -> list[StreamingQuery]:
+    """A stream of packages (name, version, bytes, at) into a content-addressed store: ``blobs``, each once by SHA-256, and
+    ``index/<n>``, the last written blob of each name after batch n.
+
+    Copies of a blob that arrive within ``lateness`` of event time are dropped in the state, which forgets it then; copies that come later are
+    found in the store itself. The index of a batch is made from that before it, so that a batch run again writes the same. Ties in
+    ``at`` go by the greater version, then blob."""
+    packages = df.select("name", "version", "bytes", "at", F.sha2("bytes", 256).alias("blob"))
+    fresh = packages.withWatermark("at", lateness).dropDuplicatesWithinWatermark(["blob"]).select("blob", "bytes")
+
+    def blobs(batch: DataFrame, number: int) -> None:
+        there = batch.sparkSession.read.schema("blob string, bytes binary, batch long").parquet(f"{path}/blobs") if number else None
+        new = batch if there is None else batch.join(there.where(F.col("batch") != number).select("blob"), "blob", "left_anti")
+        new.write.mode("overwrite").parquet(f"{path}/blobs/batch={number}")
+
+    def index(batch: DataFrame, number: int) -> None:
+        newest = batch.select("name", F.struct("at", "version", "blob").alias("x"))
+        if number:
+            before = batch.sparkSession.read.parquet(f"{path}/index/{number - 1}")
+            newest = newest.unionByName(before.select("name", F.struct("at", "version", "blob").alias("x")))
+        newest.groupBy("name").agg(F.max("x").alias("x")).select("name", "x.*").write.mode("overwrite").parquet(f"{path}/index/{number}")
+
+    start = lambda rows, write, name: rows.writeStream.foreachBatch(write).option("checkpointLocation", f"{checkpoint}/{name}").trigger(availableNow=True).start()
+    return [start(fresh, blobs, "blobs"), start(packages, index, "index")]
+
+
 def tail_events(log: DataFrame, jobs: DataFrame, by: str, keep: int) -> DataFrame:
     """What a reader of a bounded log hasn't had: (by, seq, event, data), lines in order of ``seq``, then a done event.
 
