@@ -103,3 +103,21 @@ def ext_totals(df: DataFrame, ext: Column, size: Column) -> DataFrame:
     """(n, total, by_ext): the whole and a map from extension to count with sorted keys."""
     per = df.groupBy(ext.alias("ext")).agg(F.count(F.lit(1)).alias("n"), F.sum(size).cast("long").alias("total"))
     return per.agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("ext", "n")))).alias("by_ext"))
+
+
+def sampled_duplicates(df: DataFrame, key: str, content: str, min_size: int, sample: int) -> DataFrame:
+    """(hash, size, n, wasted, first) of the groups of equal contents of ``min_size`` bytes or more.
+
+    Three steps, each on what the one before leaves: equal sizes; equal hashes of the first and last ``sample`` bytes; equal SHA-256 of all.
+    What is shuffled is keys, sizes and hashes; contents are read again for the few that are left. Nulls are no contents."""
+    raw = F.col(content).cast("binary")
+    sized = df.select(key, content, F.length(raw).cast("long").alias("size")).where(F.col("size") >= min_size)
+
+    def shared(rows: DataFrame, keys: list[str]) -> DataFrame:
+        several = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
+        return rows.join(several, keys, "left_semi")
+
+    ends = F.xxhash64(F.substring(raw, 1, sample), F.substring(raw, -sample, sample))
+    sampled = shared(shared(sized, ["size"]).withColumn("__ends", ends), ["size", "__ends"])
+    groups = sampled.groupBy(F.sha2(raw, 256).alias("hash"), "size").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first")).where("n > 1")
+    return groups.select("hash", "size", "n", (F.col("size") * (F.col("n") - 1)).alias("wasted"), "first")

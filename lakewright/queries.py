@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lakewright import queries_parts, queries_scalars  # noqa: F401  they register queries of their own
+from lakewright import queries_parts, queries_plans, queries_scalars  # noqa: F401  they register queries of their own
 from lakewright.functions import scalars as S
 from lakewright.operators import aggregates, dom, joins, records, sets, text, topk, windows
 from lakewright.plans import graph, tree

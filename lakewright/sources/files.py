@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakewright.functions import scalars as S
+from lakewright.sources import ranges
 
 # Folders that an inventory passes over, in any case.
 SKIP_DIRS = (".git", ".svn", ".hg", "node_modules", "__pycache__", ".venv", "venv", "target", "dist", "build", ".cache", "$recycle.bin", "system volume information")
@@ -38,10 +39,8 @@ def text_lines(spark: SparkSession, root: str) -> DataFrame:
 
 
 def capped(spark: SparkSession, root: str, cap: int) -> DataFrame:
-    """(path, size, bytes, truncated): at most ``cap`` bytes of each file; 0 is no limit."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    part = F.substring("content", 1, cap) if cap else F.col("content")
-    return raw.select("path", F.col("length").alias("size"), part.alias("bytes"), (F.col("length") > (cap or (1 << 62))).alias("truncated"))
+    """(path, size, bytes, truncated): at most ``cap`` bytes of each file, and no others are read; 0 is no limit, the least is 1024."""
+    return ranges.capped(spark, root, cap)
 
 
 def json_folder(spark: SparkSession, root: str, schema: str, newest: str) -> DataFrame:
