@@ -165,3 +165,23 @@ def discovered_apis(page) -> object:
     scripts = F.regexp_extract_all(page, F.lit(r"(?is)<script\b[^>]*>(.*?)</script\s*>"), F.lit(1))
     found = lambda s: F.concat(*[F.regexp_extract_all(s, F.lit(p), F.lit(1)) for p in (API_CALL, API_PATH)])
     return F.array_sort(F.array_distinct(F.flatten(F.transform(scripts, found))))
+
+
+def formula_edges(cells: DataFrame, by: str, cell: str, formula: str) -> DataFrame:
+    """(by, cell, needs), each once: the cells of the same sheet that a formula refers to, ranges cell by cell, without dollar signs.
+
+    References to other sheets are left out; a cell that needs itself is an edge, too. ``graph.levels`` orders such edges and finds
+    cycles. A range of a whole sheet has 17 billion cells: those of more than RANGE_CELLS are an error."""
+    bare = F.regexp_replace(formula, r"[A-Za-z_][A-Za-z0-9_]*!\$?[A-Z]{1,3}\$?[0-9]+(:\$?[A-Z]{1,3}\$?[0-9]+)?", " ")
+    refs = cells.select(by, cell, F.explode(S.formula_refs(bare)).alias("ref"))
+    ends = F.split(F.replace("ref", F.lit("$"), F.lit("")), ":")
+    both = refs.select(by, cell, S.split_ref(ends[0]).alias("a"), S.split_ref(F.coalesce(F.get(ends, F.lit(1)), ends[0])).alias("b"))
+    span = lambda f: F.sequence(F.least(f"a.{f}", f"b.{f}"), F.greatest(f"a.{f}", f"b.{f}"))
+    size = (F.abs(F.col("a.row") - F.col("b.row")) + 1).cast("long") * (F.abs(F.col("a.col") - F.col("b.col")) + 1)
+    rows = F.when(size > RANGE_CELLS, F.raise_error(F.lit(f"a range of more than {RANGE_CELLS} cells")).cast("array<int>")).otherwise(span("row"))
+    each = both.select(by, cell, F.explode(rows).alias("row"), span("col").alias("cols")).select(by, cell, "row", F.explode("cols").alias("col"))
+    return each.select(by, cell, S.address(F.col("row"), F.col("col")).alias("needs")).distinct()
+
+
+#: Cells of the largest range that is taken apart.
+RANGE_CELLS = 1 << 20

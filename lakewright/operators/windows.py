@@ -108,3 +108,9 @@ def high_water(df: DataFrame, by: list[str], order: list[str], ts: str, text: st
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     real = df.where(F.length(text) > 0).withColumn("__mark", F.max(ts).over(w))
     return real.where(F.col("__mark").isNull() | (F.col(ts) > F.col("__mark"))).drop("__mark")
+
+
+def filled(df: DataFrame, by: list[str], order: str, value: str, marks: Column, name: str) -> DataFrame:
+    """``name``: the value of the last row up to each that is marked; null in front of the first."""
+    upto = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn(name, F.last(F.when(marks, F.col(value)), ignorenulls=True).over(upto))

@@ -1,4 +1,4 @@
-"""Registered queries of scalar functions: over the tables, or over cases whose expected values stand in their SQL."""
+"""Registered queries of scalar functions over columns of the tables, each with its SQL."""
 
 from __future__ import annotations
 
@@ -6,41 +6,124 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lakewright.functions import scalars as S
+from lakewright.operators import windows
 from lakewright.registry import query, table
 
 
-def _sql(v) -> str:
-    if v is None:
-        return "NULL"
-    return str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
+def _spliced(name: str, key: str, parts: list[str], wanted: list[str], f, result: str = "VARCHAR", source: str = "part", columns: str = "p_partkey") -> None:
+    """A query (columns, x, y): x one of several SQL expressions over a table's columns, by turns, y the function of it; the
+    SQL has an expression of its own for each."""
+    pick = lambda options, kind: f"CASE {' '.join(f'WHEN {key} = {i} THEN {o}' for i, o in enumerate(options))} END" if kind is None else f"CAST(CASE {' '.join(f'WHEN {key} = {i} THEN {o}' for i, o in enumerate(options))} END AS {kind})"
 
+    @query(name, f"SELECT {columns}, {pick(parts, None)} AS x, {pick(wanted, result)} AS y FROM {source}")
+    def run(spark, sf_dir):
+        return table(spark, sf_dir, source).select(*columns.split(", "), F.expr(pick(parts, None)).alias("x")).withColumn("y", f(F.col("x")))
 
-def _cases(name: str, f, cases: list[tuple], kind: str = "string", result: str = "VARCHAR") -> None:
-    """A query (x, y) of a function over given values, beside the values that it must give."""
-    rows = ", ".join(f"({_sql(x)}, {_sql(y)})" for x, y in cases)
-    number = {"string": "VARCHAR", "long": "BIGINT", "double": "DOUBLE"}[kind]
 
-    @query(name, f"SELECT CAST(x AS {number}) AS x, CAST(y AS {result}) AS y FROM (VALUES {rows}) t(x, y)")
-    def run(spark, sf_dir):
-        return spark.createDataFrame([(x,) for x, _ in cases], f"x {kind}").select("x", f(F.col("x")).alias("y"))
-
-
-_cases("static_assets", S.is_static_asset, [("/a/b.JS", True), ("/a.css", True), ("/a.html", False), ("/js", False), ("/x.js/", False), ("/f.woff2", True), (None, None)], result="BOOLEAN")
-_cases("media_types", S.guess_mime, [("a/b.PDF", "application/pdf"), ("x.jpeg", "image/jpeg"), ("x", "application/octet-stream"), (".json", "application/octet-stream"), ("x.tar.txt", "text/plain")])
-_cases("format_kinds", S.format_kind, [("0.00%", "percent"), ("yyyy-mm-dd", "date"), ("h:mm", "time"), ("m/d/yy h:mm", "datetime"), ('"d"0', "number"), ("[Red]$0", "currency"), ("", "general"), ("General", "general"), ("mm:ss", "time"), ("#,##0", "number"), (None, None)])
-_cases("builtin_formats", S.builtin_format, [(0, "General"), (9, "0%"), (14, "mm-dd-yy"), (22, "m/d/yy h:mm"), (46, "[h]:mm:ss"), (23, None), (None, None)], "long")
-_cases("normalized_paths", S.normalize_path, [("a/./b/../c", "a/c"), ("../x", "x"), ("/a//b/", "a/b"), ("", ""), ("a/b/../../..", ""), (None, None)])
-_cases("flags", S.coerce_flag, [("TRUE", True), (" yes ", True), ("1", True), ("on", True), ("是", True), ("no", False), ("", False), (None, None)], result="BOOLEAN")
-_cases("numbers", S.coerce_number, [("1d", None), (" 2.5 ", 2.5), ("1e3", 1000.0), ("-.5", -0.5), ("x", None), ("", None), (None, None)], result="DOUBLE")
-_cases("inferred_kinds", S.infer_kind, [("true", "flag"), ("12", "number"), ("1.5e2", "number"), ("1f", "text"), ("", "text")])
-_cases("fnv_hashes", S.fnv1a64, [("", "cbf29ce484222325"), ("a", "af63dc4c8601ec8c"), ("foobar", "85944171f73967e8"), (None, None)])
-_cases("crc_checksums", lambda c: F.crc32(c.cast("binary")), [("", 0), ("123456789", 3421780262), ("The quick brown fox jumps over the lazy dog", 1095738169), (None, None)], result="BIGINT")
-_cases("resolved_urls", lambda c: S.resolve_url(F.lit("http://a.example/b/c/d?q"), c), [("../e", "http://a.example/b/e"), ("g?y", "http://a.example/b/c/g?y"), ("//h/x", "http://h/x"), ("#s", "http://a.example/b/c/d?q#s"), ("", "http://a.example/b/c/d?q"), ("https://z/", "https://z/"), (None, None)])
-_cases("json_summaries", S.summarize_json, [('{"a":1,"b":2,"c":3,"d":4,"e":5,"f":6}', "a: 1, b: 2, c: 3, d: 4, e: 5 (+1 more)"), ('{"a":"x"}', "a: x"), ("[1, 2]", "[1, 2]"), ("no", None), (None, None)])
-_cases("regions", lambda c: S.parse_region(c, 100, 50).cast("string"), [("30,5,10,25", "[10, 5, 30, 25]"), ("-5,0,999,9", "[0, 0, 100, 9]"), ("1,1,1,5", None), ("1,2,3", None), ("a,1,2,3", None), (None, None)])
-_cases("formula_references", lambda c: F.array_join(S.formula_refs(c), " "), [('=A1+$B$2*SUM(C1:D4)&"E5"', "A1 $B$2 C1:D4"), ("=LOG10(2)", ""), ("=Sheet1!B7", "B7"), ("", ""), (None, None)])
-_cases("outline_levels", lambda c: F.to_json(S.outline_level(F.when(c == 1, 2), F.when(c.isin(1, 2), 4), F.when(c < 4, 9))), [(1, '{"level":2,"source":"own"}'), (2, '{"level":4,"source":"style_name"}'), (3, '{"source":"style"}'), (4, "{}")], "long")
-_cases("story_lines", lambda c: F.to_json(S.story_line(c)), [("# One", '{"kind":"chapter","text":"One"}'), ("## part", '{"kind":"fragment","text":"part"}'), ("; note", '{"kind":"comment","text":"note"}'), ("Ann（sad）：Hi", '{"kind":"dialogue","who":"Ann","mood":"sad","text":"Hi"}'), ("旁白：calm", '{"kind":"narration","text":"calm"}'), ("plain", '{"kind":"narration","text":"plain"}'), ("", '{"kind":"blank"}')])
+K = "CAST(p_partkey AS STRING)"
+_spliced("static_assets", "p_partkey % 7", [f"concat('/', p_name, {x})" for x in ("'.JS'", "'.css'", "'.html'", "''", "'.js/'", "'.woff2'")] + ["CAST(NULL AS STRING)"], ["true", "true", "false", "false", "false", "true", "NULL"], S.is_static_asset, "BOOLEAN")
+_spliced("media_types", "p_partkey % 6", [f"concat('a/', p_name, {x})" for x in ("'.PDF'", "'.jpeg'", "''", "'.tar.txt'", "'.json'")] + ["concat('.', p_type)"], ["'application/pdf'", "'image/jpeg'", "'application/octet-stream'", "'text/plain'", "'application/json'", "'application/octet-stream'"], S.guess_mime)
+ZEROS = "repeat('0', CAST(p_size % 4 + 1 AS INT))"
+_spliced("format_kinds", "p_partkey % 11", [f"concat({ZEROS}, '.00%')", f"concat('yyyy-mm-', {ZEROS})", "concat('h:mm', repeat(':ss', CAST(p_size % 2 AS INT)))", "concat('m/d/yy', ' ', 'h:mm')", f"concat('\"', p_name, ' day\"', {ZEROS})", f"concat('[Red]$', {ZEROS})", "''", "'General'", "'mm:ss'", f"concat('#,##', {ZEROS})", "CAST(NULL AS STRING)"],
+         ["'percent'", "'date'", "'time'", "'datetime'", "'number'", "'currency'", "'general'", "'general'", "'time'", "'number'", "NULL"], S.format_kind)
+
+
+@query("builtin_formats", f"SELECT p_partkey, list_extract(map_extract(map({list(S.BUILTIN_FORMATS)}, {list(S.BUILTIN_FORMATS.values())}), p_size % 50), 1) AS y FROM part")
+def builtin_formats(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", S.builtin_format(F.col("p_size") % 50).alias("y"))
+
+
+_spliced("normalized_paths", "p_partkey % 6", ["concat(p_type, '/./', p_name, '/../x')", "concat('../', p_name)", "concat('/', p_type, '//', p_name, '/')", "''", "concat(p_type, '/', p_name, '/../../..')", "concat('./', p_name, '/', p_size, '/..')"],
+         ["p_type || '/x'", "p_name", "p_type || '/' || p_name", "''", "''", "p_name"], S.normalize_path)
+_spliced("flags", "p_partkey % 8", ["'TRUE'", "' yes '", "CAST(p_size % 2 AS STRING)", "'on'", "'是'", "'no'", "p_name", "CAST(NULL AS STRING)"], ["true", "true", "p_size % 2 = 1", "true", "true", "false", "false", "NULL"], S.coerce_flag, "BOOLEAN")
+_spliced("numbers", "p_partkey % 7", [f"concat({K}, 'd')", f"concat(' ', {K}, '.5 ')", f"concat({K}, 'e3')", "concat('-.', CAST(p_size % 10 AS STRING))", "p_name", "''", f"concat('+', {K})"], ["NULL", "p_partkey + 0.5", "p_partkey * 1000.0", "(p_size % 10) / -10.0", "NULL", "NULL", "p_partkey"], S.coerce_number, "DOUBLE")
+_spliced("inferred_kinds", "p_partkey % 6", ["CASE WHEN p_size % 2 = 0 THEN 'true' ELSE 'false' END", K, f"concat({K}, '.5e2')", f"concat({K}, 'f')", "p_name", "''"], ["'flag'", "'number'", "'number'", "'text'", "'text'", "'text'"], S.infer_kind)
+
+BYTES = "list_transform(string_split(c_name, ''), lambda c: CAST(ascii(c) AS HUGEINT))"
+
+
+def _fnv(offset: int, prime: int, bits: int) -> str:
+    return f"lower(lpad(to_hex(CAST(list_reduce(list_prepend(CAST({offset} AS HUGEINT), {BYTES}), lambda h, b: (xor(h, b) * {prime}) % {1 << bits}) AS UBIGINT)), {bits // 4}, '0'))"
+
+
+@query("fnv_hashes", f"SELECT c_custkey, {_fnv(0xCBF29CE484222325, 0x100000001B3, 64)} AS wide, {_fnv(0x811C9DC5, 0x1000193, 32)} AS narrow FROM customer")
+def fnv_hashes(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", S.fnv1a64(F.col("c_name")).alias("wide"), S.fnv1a32(F.col("c_name")).alias("narrow"))
+
+
+CRC_STEP = "list_reduce(list_prepend(xor(h, b), list_transform(range(8), lambda i: CAST(0 AS HUGEINT))), lambda r, z: xor(r // 2, CAST(3988292384 AS HUGEINT) * (r % 2)))"
+
+
+@query("crc_checksums", f"SELECT c_custkey, CAST(xor(list_reduce(list_prepend(CAST(4294967295 AS HUGEINT), {BYTES}), lambda h, b: {CRC_STEP}), CAST(4294967295 AS HUGEINT)) AS BIGINT) AS crc FROM customer")
+def crc_checksums(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", F.crc32(F.col("c_name").cast("binary")).alias("crc"))
+
+
+BARE, HOST = "regexp_replace(url, '[?#].*$', '')", "regexp_extract(url, '^[a-z]+://[^/?#]*', 0)"
+REFS = ["concat('g', page_id)", "concat('../up/', page_id)", "concat('/top?q=', page_id)", "concat('//other.example/', page_id)", "concat('#s', page_id)", "concat('https://z.example/', page_id)", "concat('?n=', page_id)", "''"]
+JOINED = [f"regexp_replace({BARE}, '/[^/]*$', '/') || 'g' || page_id", f"regexp_replace(regexp_replace({BARE}, '/[^/]*$', ''), '/[^/]*$', '/') || 'up/' || page_id", f"{HOST} || '/top?q=' || page_id", "regexp_extract(url, '^[a-z]+:', 0) || '//other.example/' || page_id", "url || '#s' || page_id", "'https://z.example/' || page_id", f"{BARE} || '?n=' || page_id", "url"]
+CASE = lambda options: f"CASE {' '.join(f'WHEN page_id % 8 = {i} THEN {o}' for i, o in enumerate(options))} END"
+
+
+@query("resolved_urls", f"SELECT page_id, {CASE(JOINED)} AS y FROM pages")
+def resolved_urls(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", S.resolve_url(F.col("url"), F.expr(CASE(REFS))).alias("y"))
+
+
+@query("json_summaries", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'a: ' || event_id || ', b: ' || event_type || ', c: ' || user_id || ', d: [1, ' || user_id || '], e: null (+1 more)' WHEN 1 THEN 'k: ' || json_extract_string(props, '$.k') WHEN 2 THEN '[' || event_id || ', 2]' END AS y FROM events")
+def json_summaries(spark, sf_dir):
+    six = """concat('{"a":', event_id, ',"b":"', event_type, '","c":', user_id, ',"d":[1,', user_id, '],"e":null,"f":6}')"""
+    text = F.expr(f"CASE event_id % 4 WHEN 0 THEN {six} WHEN 1 THEN props WHEN 2 THEN concat('[', event_id, ',2]') ELSE event_type END")
+    return table(spark, sf_dir, "events").select("event_id", S.summarize_json(text).alias("y"))
+
+
+BOX = ["least(greatest(CAST(p_partkey % 130 - 20 AS BIGINT), 0), 100)", "least(greatest(CAST(p_size AS BIGINT), 0), 50)", "least(greatest(CAST(p_partkey % 90 AS BIGINT), 0), 100)", "least(greatest(CAST(p_size - p_partkey % 60 AS BIGINT), 0), 50)"]
+
+
+@query("regions", f"SELECT p_partkey, CASE WHEN p_partkey % 9 < 7 AND {BOX[0]} <> {BOX[2]} AND {BOX[1]} <> {BOX[3]} THEN '[' || least({BOX[0]}, {BOX[2]}) || ', ' || least({BOX[1]}, {BOX[3]}) || ', ' || greatest({BOX[0]}, {BOX[2]}) || ', ' || greatest({BOX[1]}, {BOX[3]}) || ']' END AS y FROM part")
+def regions(spark, sf_dir):
+    text = F.expr("CASE WHEN p_partkey % 9 < 7 THEN concat(p_partkey % 130 - 20, ',', p_size, ', ', p_partkey % 90, ',', p_size - p_partkey % 60) WHEN p_partkey % 9 = 7 THEN concat(p_name, ',1,2,3') ELSE concat(p_size, ',1,2') END")
+    return table(spark, sf_dir, "part").select("p_partkey", S.parse_region(text, 100, 50).cast("string").alias("y"))
+
+
+_spliced("formula_references", "p_partkey % 5", [f"concat('=A', {K}, '+$B$', {K}, '*SUM(C1:D', {K}, ')&\"E', {K}, '\"')", "concat('=LOG10(', CAST(p_size AS STRING), ')')", f"concat('=Sheet1!B', {K}, '-x')", "p_name", f"concat('=$A1:B$', {K}, ', AB', {K})"],
+         ["'A' || p_partkey || ' $B$' || p_partkey || ' C1:D' || p_partkey", "''", "'B' || p_partkey", "''", "'$A1:B$' || p_partkey || ' AB' || p_partkey"], lambda c: F.array_join(S.formula_refs(c), " "))
+
+
+CELLS = "SELECT l_suppkey AS book, 'A' || (l_orderkey % 60 + 1) AS cell, CASE l_linenumber % 4 WHEN 0 THEN '=A' || (l_partkey % 60 + 1) || '+$A$' || (l_partkey % 7 + 1) WHEN 1 THEN '=SUM(A' || (l_partkey % 50 + 1) || ':A' || (l_partkey % 50 + 3) || ')' WHEN 2 THEN '=Other!A' || (l_partkey % 60 + 1) || '*2' ELSE '=\"A1\"' END AS formula FROM {}"
+
+
+@query("formula_edges", rf"""WITH f AS (SELECT DISTINCT * FROM ({CELLS.format('lineitem')})), r AS (SELECT book, cell, unnest(regexp_extract_all(regexp_replace(formula, '"[^"]*"', ' ', 'g'), '\$?[A-Z]+\$?[0-9]+(:\$?[A-Z]+\$?[0-9]+)?')) AS ref FROM f WHERE formula NOT LIKE '%Other!%'),
+    p AS (SELECT book, cell, CAST(regexp_extract(replace(ref, '$', ''), '^A([0-9]+)', 1) AS INT) AS a, CAST(regexp_extract(replace(ref, '$', ''), 'A([0-9]+)$', 1) AS INT) AS b FROM r)
+    SELECT DISTINCT book, cell, 'A' || unnest(range(a, b + 1)) AS needs FROM p""")
+def formula_edges(spark, sf_dir):
+    """Lines as formulas of a supplier's sheet: which cells each needs; what stands on another sheet isn't of this one."""
+    from lakewright.operators import parts
+
+    cells = spark.sql(CELLS.format("{lineitem}"), lineitem=table(spark, sf_dir, "lineitem")).distinct()
+    return parts.formula_edges(cells, "book", "cell", "formula")
+
+
+@query("outline_levels", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN nullif(p_size % 10, 9) WHEN p_partkey % 3 = 0 THEN nullif(p_partkey % 7 + 3, 9) WHEN p_partkey % 5 = 0 THEN NULL END AS level, CASE WHEN p_partkey % 2 = 0 THEN 'own' WHEN p_partkey % 3 = 0 THEN 'style_name' WHEN p_partkey % 5 = 0 THEN 'style' END AS source FROM part")
+def outline_levels(spark, sf_dir):
+    when = lambda n, v: F.when(F.col("p_partkey") % n == 0, v)
+    found = S.outline_level(when(2, F.col("p_size") % 10), when(3, F.col("p_partkey") % 7 + 3), when(5, F.lit(9)))
+    return table(spark, sf_dir, "part").select("p_partkey", found.alias("o")).select("p_partkey", "o.*")
+
+
+STORY = ["concat('# ', p_name)", "concat('## ', p_name)", "concat('; ', p_name)", "concat(p_type, '（', p_brand, '）：', p_name)", "concat('旁白：', p_name)", "p_name", "'  '", "concat('!', p_name)", "concat(p_type, ': ', p_name)"]
+TOLD = ["'chapter'", "'fragment'", "'comment'", "'dialogue'", "'narration'", "'narration'", "'blank'", "'directive'", "'dialogue'"]
+
+
+@query("story_lines", f"""SELECT p_partkey, CASE {' '.join(f'WHEN p_partkey % 9 = {i} THEN {k}' for i, k in enumerate(TOLD))} END AS kind, CASE WHEN p_partkey % 9 IN (3, 8) THEN p_type END AS who,
+    CASE WHEN p_partkey % 9 = 3 THEN p_brand WHEN p_partkey % 9 = 8 THEN '' END AS mood, CASE WHEN p_partkey % 9 <> 6 THEN p_name END AS text,
+    (SELECT max(q.p_name) FROM part q WHERE q.p_partkey = p.p_partkey - p.p_partkey % 9) AS chapter FROM part p""")
+def story_lines(spark, sf_dir):
+    """Parts as the lines of a script, nine to a chapter; each line with the chapter that it stands in."""
+    lines = table(spark, sf_dir, "part").select("p_partkey", F.floor(F.col("p_partkey") / 9).alias("script"), F.expr(f"CASE {' '.join(f'WHEN p_partkey % 9 = {i} THEN {x}' for i, x in enumerate(STORY))} END").alias("line"))
+    told = lines.select("p_partkey", "script", S.story_line(F.col("line")).alias("s")).select("p_partkey", "script", "s.*")
+    return windows.filled(told, ["script"], "p_partkey", "text", F.col("kind") == "chapter", "chapter").drop("script")
+
 
 SIZES = [("TB", 1024**4), ("GB", 1024**3), ("MB", 1024**2), ("KB", 1024)]
 
