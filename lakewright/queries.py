@@ -269,9 +269,36 @@ def written_states(spark, sf_dir):
     return aggregates.written_states(_t(spark, sf_dir, "documents").select(v.alias("v")), "v")
 
 
-@query("workbook_totals", """SELECT l_returnflag, count(*) AS cells, count(*) FILTER (l_tax = 0) AS n_zero_tax, count(*) FILTER (l_discount > 0.05) AS n_discounted, count(DISTINCT l_suppkey) AS n_suppliers FROM lineitem GROUP BY 1""")
+SHEET = """SELECT l_suppkey AS book, CASE l_linenumber % 6 WHEN 0 THEN 's' WHEN 1 THEN 'n' WHEN 2 THEN 'str' WHEN 3 THEN 'inlineStr' WHEN 4 THEN 'e' END AS kind, CASE WHEN l_tax > 0.02 THEN l_partkey % 9 END AS style, CASE l_linenumber % 6 WHEN 0 THEN '' || (l_partkey % 40) WHEN 4 THEN '#DIV/0!' WHEN 2 THEN l_returnflag ELSE '' || l_orderkey END AS value,
+    CASE WHEN l_linenumber % 6 = 2 THEN CASE WHEN l_discount > 0.05 THEN 'HYPERLINK("x")' ELSE 'A1' END END AS formula, l_linenumber % 6 = 3 AS is_inline, l_discount > 0.03 AS own_rich, l_discount > 0.07 AS own_kept FROM {}"""
+STRINGS = "SELECT s_suppkey AS book, k AS at, (s_suppkey + k) % 3 = 0 AS rich, k % 4 = 1 AS preserved FROM {supplier} LATERAL VIEW explode(sequence(0, 29)) AS k"
+STYLES = "SELECT s_suppkey AS book, k AS style, CASE WHEN k % 3 > 0 THEN k % 3 = 1 END AS bold, k % 4 = 2 AS filled, (s_suppkey + k) % 5 = 0 AS wrapped, element_at(array('General', 'yyyy-mm-dd', '0.00', 'h:mm', 'm/d/yy h:mm', '@'), cast((s_suppkey + k) % 6 + 1 AS int)) AS format FROM {supplier} LATERAL VIEW explode(sequence(0, 6)) AS k"
+KINDS = "CASE p_size % 9 WHEN 0 THEN 'merged' WHEN 1 THEN 'hidden_rows' WHEN 2 THEN 'hidden_cols' WHEN 3 THEN 'comments' WHEN 4 THEN 'charts' WHEN 5 THEN 'conditional_rules' WHEN 6 THEN 'validations' WHEN 7 THEN 'links' ELSE 'pictures' END"
+CORNERS = "l_suppkey AS book, l_orderkey AS {ord}, CASE WHEN l_tax >= 0.01 THEN l_partkey % 50 END AS r0, l_partkey % 50 + l_linenumber - 2 AS r1, l_orderkey % 30 AS c0, l_orderkey % 30 + l_suppkey % 3 AS c1, true AS has_text FROM {lineitem} WHERE l_orderkey % 40 = 0 OR l_partkey % 40 = 1"
+
+
+@query("workbook_totals", f"""WITH c AS ({SHEET.format('lineitem')}), s AS (SELECT s_suppkey AS book, k AS "at", (s_suppkey + k) % 3 = 0 AS rich, k % 4 = 1 AS kept FROM supplier, (SELECT unnest(range(30)) AS k)),
+    y AS (SELECT s_suppkey AS book, k AS style, k % 3 = 1 AS bold, k % 4 = 2 AS filled, (s_suppkey + k) % 5 = 0 AS wrapped, (s_suppkey + k) % 6 IN (1, 3, 4) AS dated FROM supplier, (SELECT unnest(range(7)) AS k)),
+    t AS (SELECT c.book, count(*) AS cells, count(formula) AS formulas, count(*) FILTER (coalesce(kind, 'n') IN ('n', 'inlineStr')) AS "numeric", count(*) FILTER (kind = 's') AS shared_strings, count(*) FILTER (is_inline) AS inline_strings, count(*) FILTER (dated) AS dates, count(*) FILTER (formula LIKE 'HYPERLINK(%') AS hyperlink_formulas,
+      count(*) FILTER (kind = 'e') AS error_cells, count(*) FILTER (kind = 'str') AS string_result_cells, count(kind) AS cells_with_written_type, count(*) FILTER (CASE WHEN is_inline THEN own_rich ELSE rich END) AS cells_with_runs, count(*) FILTER (CASE WHEN is_inline THEN own_kept ELSE kept END) AS cells_with_preserved_space,
+      count(*) FILTER (bold) AS cells_bold, count(*) FILTER (filled) AS cells_filled, count(*) FILTER (wrapped) AS cells_wrapped, count(*) FILTER (c.style IS NULL) AS cells_without_style_written
+      FROM c LEFT JOIN s ON c.book = s.book AND kind = 's' AND value = CAST(s."at" AS VARCHAR) LEFT JOIN y ON c.book = y.book AND coalesce(c.style, 0) = y.style GROUP BY c.book),
+    f AS (SELECT p_partkey % 100 AS book, {', '.join(f"count(*) FILTER (p_size % 9 = {i}) AS {k}" for i, k in enumerate(["merged", "hidden_rows", "hidden_cols", "comments", "charts", "conditional_rules", "validations", "links", "pictures"]))} FROM part GROUP BY 1),
+    m AS (SELECT book, ord, r0 > r1 AS flips, least(r0, r1) AS a, greatest(r0, r1) AS b, c0 AS c, c1 AS d FROM (SELECT {CORNERS.format(ord='ord', lineitem='lineitem')}) WHERE r0 IS NOT NULL),
+    h AS (SELECT *, EXISTS (SELECT 1 FROM m e WHERE e.book = m.book AND e.ord < m.ord AND NOT e.flips AND e.a <= m.b AND m.a <= e.b AND e.c <= m.d AND m.c <= e.d) AS hits FROM m),
+    g AS (SELECT book, count(DISTINCT (a, b, c, d)) FILTER (NOT flips) AS merges_ranges, CAST(coalesce(sum((b - a + 1) * (d - c + 1) - 1) FILTER (NOT flips), 0) AS BIGINT) AS merges_covered, count(*) FILTER (hits) AS merges_overlapping FROM h GROUP BY book)
+    SELECT book, {', '.join(f'coalesce({c}, 0) AS {c}' for c in 'cells formulas "numeric" shared_strings inline_strings dates hyperlink_formulas error_cells string_result_cells cells_with_written_type cells_with_runs cells_with_preserved_space cells_bold cells_filled cells_wrapped cells_without_style_written merged hidden_rows hidden_cols comments charts conditional_rules validations links pictures merges_ranges merges_covered merges_overlapping'.split())}
+    FROM t FULL JOIN f USING (book) FULL JOIN g USING (book)""")
 def workbook_totals(spark, sf_dir):
-    return _t(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("cells"), F.count_if(F.col("l_tax") == 0).alias("n_zero_tax"), F.count_if(F.col("l_discount") > 0.05).alias("n_discounted"), F.count_distinct("l_suppkey").alias("n_suppliers"))
+    """Suppliers as workbooks: lines are cells and merged ranges, parts are what stands beside them."""
+    from lakewright.operators import workbooks
+
+    lines, suppliers = _t(spark, sf_dir, "lineitem"), _t(spark, sf_dir, "supplier")
+    own = F.when(F.col("is_inline"), F.struct(F.col("own_rich").alias("rich"), F.col("own_kept").alias("preserved")))
+    cells = spark.sql(SHEET.format("{lineitem}"), lineitem=lines).withColumn("inline", own)
+    features = _t(spark, sf_dir, "part").select((F.col("p_partkey") % 100).alias("book"), F.expr(KINDS).alias("feature"))
+    merges = spark.sql("SELECT " + CORNERS.format(ord="at", lineitem="{lineitem}"), lineitem=lines)
+    return workbooks.totals(cells, spark.sql(STRINGS, supplier=suppliers), spark.sql(STYLES, supplier=suppliers), features, merges)
 
 
 @query("ext_totals", "SELECT count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS total, (SELECT string_agg(lang || '=' || n, ',' ORDER BY lang) FROM (SELECT lang, count(*) AS n FROM documents GROUP BY 1)) AS by_ext FROM documents")
@@ -280,9 +307,26 @@ def ext_totals(spark, sf_dir):
     return out.withColumn("by_ext", F.array_join(F.transform(F.map_entries("by_ext"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ","))
 
 
-@query("proofread_report", """SELECT l_orderkey, bool_and(l_quantity < 50) AS passed, count(*) FILTER (l_discount > 0.09) AS warnings FROM lineitem GROUP BY 1""")
+CHECK_SUM = " + ".join(f"CAST(substr(value, {i + 1}, 1) AS INT) * {w}" for i, w in enumerate(S.ID_WEIGHTS))
+VALUES = """SELECT c_custkey AS profile, 'own' AS category, k AS key, CASE k WHEN 'Credit_Code' THEN CASE WHEN c_custkey % 3 = 0 THEN '91350100M000100Y43' ELSE '91350100M000100Y4' || (c_custkey % 10) END WHEN 'id_card_no' THEN CASE WHEN c_custkey % 2 = 0 THEN ' 11010519491231002x ' ELSE '11010519491231' || lpad('' || c_custkey % 9999, 4, '0') END
+    WHEN 'mobile' THEN '138' || lpad('' || c_custkey % 99, CASE WHEN c_custkey % 4 = 0 THEN 7 ELSE 8 END, '0') WHEN 'note' THEN CASE WHEN c_custkey % 5 > 0 THEN c_name ELSE '  ' END END AS value FROM {customer}, {keys}"""
+
+
+@query("proofread_report", f"""WITH v AS ({VALUES.format(customer='customer', keys="(SELECT unnest(['Credit_Code', 'id_card_no', 'mobile', 'note']) AS k)")}),
+    i AS (SELECT profile, CASE key WHEN 'Credit_Code' THEN CASE WHEN value <> '91350100M000100Y43' THEN 'error' END WHEN 'id_card_no' THEN CASE WHEN trim(value) <> '11010519491231002x' AND substr('10X98765432', CAST(({CHECK_SUM}) % 11 + 1 AS INT), 1) <> substr(value, 18, 1) THEN 'error' END
+      WHEN 'mobile' THEN CASE WHEN length(value) <> 11 THEN 'warning' END ELSE CASE WHEN trim(value) = '' THEN 'warning' END END AS severity FROM v
+      UNION ALL SELECT o_custkey, CASE WHEN p_partkey IS NULL THEN 'error' WHEN p_size * 100 > 3 * 1024 + 1023 THEN 'warning' END FROM orders LEFT JOIN part ON p_partkey = o_orderkey % 300)
+    SELECT profile, count(*) FILTER (severity = 'error') = 0 AS passed, count(*) AS checked_count, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings FROM i GROUP BY profile""")
 def proofread_report(spark, sf_dir):
-    return _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.bool_and(F.col("l_quantity") < 50).alias("passed"), F.count_if(F.col("l_discount") > 0.09).alias("warnings"))
+    """Customers as profiles with four fields each; their orders are attachments, the parts the files that are there."""
+    from lakewright.operators import proofread
+
+    keys = spark.createDataFrame([("Credit_Code",), ("id_card_no",), ("mobile",), ("note",)], "k string")
+    fields = spark.sql(VALUES, customer=_t(spark, sf_dir, "customer"), keys=F.broadcast(keys))
+    attachments = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("profile"), F.lit("doc").alias("key"), (F.col("o_orderkey") % 300).cast("string").alias("path"))
+    files = _t(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path"), (F.col("p_size") * 100).cast("long").alias("size"))
+    issues = proofread.profile_issues(fields, attachments, files, 3)
+    return proofread.report(issues, fields.select("profile").unionByName(attachments.select("profile")), "profile")
 
 
 @query("grid_diff", """SELECT CAST(floor(l_linenumber / 2.0) AS BIGINT) AS gx, CAST(floor(l_quantity / 10) AS BIGINT) AS gy, count(*) AS n,
