@@ -14,7 +14,7 @@ n - ceil(2 t n / (1 + t)), and its entries within that shorter prefix are "liste
 
 Candidates are compared in rounds that leave out what already lies in one component: each node with the most central one
 that it shares an entry with, then with the centers of all its lists, at last with every listed node of another component
-that sizes, the tokens in front of the shared entry and the tokens that no other set has allow. A sketch (counts of tokens
+that sizes, the tokens in front of the shared entry and those that no other set has allow. A sketch (counts of tokens
 by hash bits) bounds each pair's intersection from above before the sets themselves decide. Nothing is capped: lists that
 one component fills are never expanded, and no candidate between two components goes unseen.
 
@@ -30,12 +30,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakewright.llm.common import stored, table
-from lakewright.llm.minhash import _BASE, _INVERSE, _LOWER, _times_base, by_all, labelled, merged_labels, mix, nearest, overlap, shared, stars, still_open, text_key
+from lakewright.llm.minhash import _BASE, _INVERSE, _LOWER, _times_base, labelled, merged_labels, mix, nearest, overlap, shared, stars, still_open, text_key
 from lakewright.llm.quality import chunks
 
 SHINGLE, PERCENT = 4, 85
@@ -47,6 +47,8 @@ MAX_FREQUENT = 1 << 17
 BLOCK_TOKENS, LEAST_SEEN = 4 << 20, 3
 #: Sets of fewer tokens have no similar ones but equal ones, from 80 percent on.
 LEAST = 4
+#: Entries of a set that go along with each of its rows, so that a pair is met where it first shares one.
+HEAD = 8
 #: Bytes of text that are handled at once, and nodes up to which their keys are broadcast (50 bytes each).
 CHUNK_BYTES, BROADCAST_NODES = 1 << 20, 500_000
 
@@ -309,6 +311,35 @@ def linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int) ->
     return pairs.join(left, "a").join(right, "b").where(similar_udf("x", "y", F.lit(percent))).select("a", "b")
 
 
+def met_first(rows: DataFrame) -> DataFrame:
+    """The entries (token, node, n, code, at, listed) with ``earlier``: the node's first entries before this one, and ``head``: its
+    first listed entries; HEAD of them at most. Single entries come in order of their place, then combinations in order of their hash."""
+    entry = F.struct((F.col("code") < 0).alias("many"), F.when(F.col("code") >= 0, F.col("code")).alias("place"), "token", "at", "listed")
+    each = rows.groupBy("node", "n").agg(F.array_sort(F.collect_list(entry)).alias("e"))
+    tokens = lambda e: F.transform(F.slice(e, 1, HEAD), lambda x: x["token"])
+    each = each.select("node", "n", tokens(F.col("e")).alias("first"), tokens(F.filter("e", lambda x: x["listed"])).alias("head"), F.posexplode("e").alias("i", "x"))
+    return each.select("x.token", "node", "n", "x.at", "x.listed", F.slice("first", F.lit(1), F.least(F.col("i"), F.lit(HEAD))).alias("earlier"), "head")
+
+
+def between(rows: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of nodes in different components that can be similar: the larger asks, the smaller is listed.
+
+    Sizes, and what neither set shares with the other if the entry is their first shared one (``at``), rule out most; a pair that shares
+    an earlier entry, as far as the heads tell, is left to that one. The rows of a list's most frequent component never meet each
+    other, so that no more pairs are tried than lie between components."""
+    per = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("rows"))
+    per = per.groupBy("token").agg(F.max_by("label", F.struct("rows", "label")).alias("top"), F.count(F.lit(1)).alias("labels"))
+    mixed = stored(rows.join(per.where("labels > 1"), "token").select("token", "node", "n", "at", "listed", "label", (F.col("label") == F.col("top")).alias("top"), "earlier", "head"), "mixed")
+    other = mixed.where("listed").select("token", *[F.col(c).alias(f"other_{c}") for c in ("node", "n", "at", "label", "top", "head")])
+    smaller = F.struct("other_n", "other_node") < F.struct("n", "node")
+    least = F.ceil(percent * (F.col("n") + F.col("other_n")) / (100 + percent) - 1e-9)
+    behind = F.least(F.col("n") - F.col("at"), F.col("other_n") - F.col("other_at"))
+    on = (F.col("label") != F.col("other_label")) & smaller & (behind >= least) & ~F.arrays_overlap("earlier", "other_head")
+    met = mixed.where("not top").join(other, "token").where(on).select("node", "other_node")
+    met = met.unionByName(mixed.where("top").join(other.where("not other_top"), "token").where(on).select("node", "other_node"))
+    return met.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct()
+
+
 def components_of(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row a document (doc_id, text): doc_id, n_shingles and component_id. ``percent`` is 80 to 100: below, small sets could
     end before their prefix does."""
@@ -345,14 +376,14 @@ def components_of(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     compare(stars(open_))
     open_ = still_open(open_.select(*met.columns), labels)
     if open_.limit(1).count():
-        left = rows.join(open_.select(F.col("bucket").alias("token")).distinct(), "token", "left_semi")
-        # Single entries that no other set has stand in front of all combinations; none of their tokens can be shared.
-        known = rows.where("code >= 0").groupBy("node").agg(F.count(F.lit(1)).alias("known"))
-        alone = nodes.select("node", "singles").join(known, "node", "left").select("node", (F.col("singles") - F.coalesce("known", F.lit(0))).alias("alone"))
-        listed = F.when(F.col("code") >= 0, F.col("code") % 2 == 1).otherwise(F.col("code") == -2)
-        at = F.when(F.col("code") >= 0, F.floor(F.col("code") / 2)).otherwise(F.col("alone"))
-        left = left.join(alone, "node").select("token", "node", "n", at.alias("at"), listed.alias("listed"))
-        compare(by_all(stored(labelled(left, labels), "last"), percent / 100))
+        # What two similar sets can't share. If their first common token is rare, neither has another before it in common, nor any
+        # that no other set has; if it isn't, they have no rare token in common.
+        single, own = F.col("code") >= 0, Window.partitionBy("node")
+        before = F.coalesce(F.count_if(single).over(own.orderBy("code").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        alone = F.col("singles") - F.count_if(single).over(own)
+        placed = rows.join(nodes.select("node", "singles"), "node").select("token", "node", "n", "code", F.when(single, alone + before).otherwise(F.col("singles")).alias("at"), F.when(single, F.col("code") % 2 == 1).otherwise(F.col("code") == -2).alias("listed"))
+        left = placed.join(open_.select(F.col("bucket").alias("token")).distinct(), "token", "left_semi")
+        compare(between(stored(labelled(met_first(left), labels), "last"), percent))
 
     known = stored(labelled(nodes.select("node", "h1", "h2", "n", "first_id"), labels), "components")
     first = known.groupBy("label").agg(F.min("first_id").alias("component_id"))
