@@ -366,6 +366,11 @@ def canonical_json(value: pd.Series) -> pd.Series:
     return value.map(lambda v: None if v is None else one(v))
 
 
+def content_id(value: Column) -> Column:
+    """SHA-256, in hex, of a JSON text's canonical form: the same for any order of keys and any white space; null if it isn't JSON."""
+    return F.sha2(canonical_json(value).cast("binary"), 256)
+
+
 def _fnv1a(values: pd.Series, offset: int, prime: int, bits: int) -> pd.Series:
     """FNV-1a of a batch, one byte of all values at a time, the longest values first so that the others drop out."""
     raw = [v if isinstance(v, bytes) else b"" if v is None else v.encode() for v in values]

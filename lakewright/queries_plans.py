@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lakewright.operators import aggregates, atlas, contains, shred
+from lakewright.functions import scalars as S
+from lakewright.operators import aggregates, atlas, contains, dom, listings, shred
 from lakewright.registry import query, table
 
 KEYS = "SELECT DISTINCT word, length(word) AS n FROM (SELECT unnest(string_split(lower(text), ' ')) AS word FROM benchmark) WHERE length(word) >= 5"
@@ -74,3 +75,79 @@ def composited_layers(spark, sf_dir):
     SELECT hash, CAST(size AS BIGINT) AS size, count(*) AS n, CAST(size * (count(*) - 1) AS BIGINT) AS wasted, min(doc_id) AS first FROM d GROUP BY hash, size HAVING count(*) > 1""")
 def sampled_duplicates(spark, sf_dir):
     return aggregates.sampled_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text", 64, 4096)
+
+
+@query("rule_styles", """WITH s AS (SELECT s_suppkey AS book, k AS "at", CASE WHEN (s_suppkey + k) % 3 = 0 THEN ['font/b', 'fill'] WHEN (s_suppkey + k) % 3 = 1 THEN ['font/color', 'font/b', 'border/left'] ELSE [] END AS e FROM supplier, (SELECT unnest(range(5)) AS k))
+    SELECT l_suppkey AS book, l_orderkey AS sheet, l_linenumber AS "at", style_id, array_to_string(e, ' ') AS elements FROM (SELECT *, CASE WHEN l_tax > 0.01 THEN l_partkey % 8 END AS style_id FROM lineitem) LEFT JOIN s ON s.book = l_suppkey AND s."at" = style_id""")
+def rule_styles(spark, sf_dir):
+    """Lines as formatting rules, suppliers as workbooks of five styles each."""
+    kinds = "CASE (s_suppkey + at) % 3 WHEN 0 THEN array('font/b', 'fill') WHEN 1 THEN array('font/color', 'font/b', 'border/left') ELSE array(CAST(NULL AS STRING)) END"
+    styles = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS book", "explode(sequence(0L, 4L)) AS at", "s_suppkey").selectExpr("book", "at", f"posexplode({kinds}) AS (seq, element)")
+    rules = table(spark, sf_dir, "lineitem").selectExpr("l_suppkey AS book", "l_orderkey AS sheet", "l_linenumber AS at", "CASE WHEN l_tax > 0.01 THEN l_partkey % 8 END AS style_id")
+    return listings.rule_styles(rules, styles).withColumn("elements", F.array_join("elements", " "))
+
+
+ATLAS = "CASE event_id % 11 WHEN 0 THEN '' WHEN 1 THEN concat(' ', event_type, '.png ') WHEN 2 THEN concat(event_type, '.png') WHEN 3 THEN 'size: 64, 64' WHEN 4 THEN '  xy: 2' WHEN 5 THEN '# note' WHEN 6 THEN '   ' WHEN 7 THEN '#: x' WHEN 8 THEN concat('r', event_id) ELSE event_type END"
+
+
+@query("atlas_names", f"""WITH x AS (SELECT user_id, event_id, {ATLAS} AS line, trim({ATLAS}) AS name FROM events), y AS (SELECT *, CASE WHEN name = '' THEN 'blank' WHEN contains(name, ':') OR line LIKE ' %' THEN 'other' ELSE 'name' END AS k FROM x WHERE name NOT LIKE '#%'),
+    z AS (SELECT *, lag(k) OVER w AS last, count(*) FILTER (k = 'name') OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM y WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+    SELECT user_id, event_id, CASE WHEN coalesce(last, 'blank') = 'blank' OR n = 1 THEN 'page' ELSE 'region' END AS kind, name FROM z WHERE k = 'name'""")
+def atlas_names(spark, sf_dir):
+    lines = table(spark, sf_dir, "events").selectExpr("user_id", "event_id", f"{ATLAS} AS line")
+    return listings.atlas_names(lines, "user_id", "event_id", "line")
+
+
+@query("pose_frames", """WITH f AS (SELECT o_custkey AS pose, o_orderstatus AS dir, o_orderkey AS frame, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey) - 1 AS i FROM orders),
+    d AS (SELECT DISTINCT pose, dir FROM f), n AS (SELECT *, row_number() OVER (PARTITION BY pose ORDER BY dir) - 1 AS direction FROM d)
+    SELECT c_name AS title, CAST(direction AS INT) AS direction, 2 AS "index", frame FROM f JOIN n USING (pose, dir) JOIN customer ON c_custkey = pose WHERE i = 2 AND c_name LIKE '%7%'""")
+def pose_frames(spark, sf_dir):
+    """Customers as poses, their orders of one status as a direction's frames: the third of each, of those with a 7 in the name."""
+    each = table(spark, sf_dir, "orders").groupBy("o_custkey", "o_orderstatus").agg(F.array_sort(F.collect_list("o_orderkey")).alias("f"))
+    poses = each.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.array_sort(F.collect_list(F.struct("o_orderstatus", "f"))).alias("s"))
+    named = poses.join(table(spark, sf_dir, "customer"), "c_custkey").select(F.col("c_name").alias("title"), F.transform("s", lambda s: s["f"]).alias("sequences"))
+    return listings.frames(named, "title", "sequences", "*7*", 2)
+
+
+@query("page_links", rf"""WITH x AS (SELECT DISTINCT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)">', 1)) AS href FROM pages)
+    SELECT page_id, CASE WHEN href LIKE '/%' THEN regexp_extract(url, '^[a-z]+://[^/?#]*', 0) || href ELSE href END AS href FROM x""")
+def page_links(spark, sf_dir):
+    """Where the links of each page lead, each once, as rows of the page's elements."""
+    given = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = dom.select(dom.read(given, "page_id"), "a[href]").select("page_id", F.col("attrs")["href"].alias("href"))
+    return found.join(given.select("page_id", "url"), "page_id").select("page_id", S.resolve_url(F.col("url"), F.col("href")).alias("href")).distinct()
+
+
+@query("matched_elements", r"""SELECT page_id, 'h1' AS tag, regexp_replace(trim(regexp_replace(replace(replace(replace(replace(regexp_extract(html, '<article><h1>(.*?)</h1>', 1, 's'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')), '<[^>]*>', '', 'g') AS text, CAST(NULL AS VARCHAR) AS href FROM pages WHERE contains(html, '<article><h1>')
+    UNION ALL SELECT page_id, 'a', x.t, x.h FROM (SELECT page_id, unnest(list_zip(regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1), '<a href="[^"]*">([^<]*)</a>', 1), regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1), '<a href="([^"]*)">', 1))) AS z FROM pages) q, LATERAL (SELECT z[1] AS t, z[2] AS h) x""")
+def matched_elements(spark, sf_dir):
+    """Tag, text and target of what a selector finds, as a response's matches."""
+    pages = dom.read(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
+    found = dom.texts(pages, dom.select(pages, "article > h1, nav a"))
+    return found.select("page_id", "tag", "text", F.try_element_at("attrs", F.lit("href")).alias("href"))
+
+
+@query("resolved_states", """SELECT c_custkey, o_orderkey, CASE WHEN c_custkey % 4 > 0 THEN coalesce(p_partkey IS NOT NULL, false) END AS resolved FROM orders JOIN customer ON c_custkey = o_custkey
+    LEFT JOIN part ON p_partkey % 30 = c_custkey % 30 AND p_partkey = o_orderkey % 400 AND c_custkey % 4 > 0""")
+def resolved_states(spark, sf_dir):
+    """Customers as books of targets, one in four without one: whether each order's reference is there, isn't, or can't be told."""
+    customers, parts = table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "part").select("p_partkey")
+    refs = table(spark, sf_dir, "orders").join(customers, F.col("c_custkey") == F.col("o_custkey")).select("c_custkey", "o_orderkey", (F.col("o_orderkey") % 400).alias("ref"))
+    books = customers.where("c_custkey % 4 > 0")
+    held = books.withColumn("k", F.col("c_custkey") % 30).join(parts.withColumn("k", F.col("p_partkey") % 30), "k").select("c_custkey", F.col("p_partkey").alias("key"))
+    return listings.three_states(refs, books, held, "c_custkey", "ref").drop("ref")
+
+
+@query("content_ids", """SELECT p_partkey, sha256('{"manifest":{"mpkg":"1","name":"' || p_name || '","version":"' || p_size || '"},"verify":["' || p_type || '"]}') AS id FROM part""")
+def content_ids(spark, sf_dir):
+    """Packages are the same if their canonical JSON is, whatever the order of keys and the white space."""
+    loose = F.concat(F.lit('{ "verify" : ["'), "p_type", F.lit('"], "manifest": {"version":"'), F.col("p_size").cast("string"), F.lit('",\n "name":"'), "p_name", F.lit('","mpkg":"1"}}'))
+    return table(spark, sf_dir, "part").select("p_partkey", S.content_id(loose).alias("id"))
+
+
+@query("run_inserts", "SELECT id, tool FROM (SELECT event_id AS id, event_type AS tool FROM events UNION ALL SELECT (SELECT max(event_id) FROM events) + row_number() OVER (ORDER BY o_orderkey), 'order' FROM orders WHERE o_orderkey % 10 = 0) ORDER BY id DESC LIMIT 500")
+def run_inserts(spark, sf_dir):
+    """Orders put behind the events as runs; the newest 500 stay."""
+    runs = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("tool"))
+    new = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").select("o_orderkey", F.lit("order").alias("tool"))
+    return listings.insert_and_keep(runs, new, "id", ["o_orderkey"], 500)
