@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakewright.operators import joins
+
 
 def stats_by_group(df: DataFrame, group: Column, size: Column) -> DataFrame:
     """Count, total and percent of the grand total (one decimal, half up; 0 if the total is 0) by group.
@@ -84,10 +86,14 @@ def nested_total(df: DataFrame, arrays: list[str]) -> DataFrame:
 
 
 def band_usage(ports: DataFrame, bands: DataFrame) -> DataFrame:
-    """(band, low, high, used, free, ports) of each range: the used numbers in it, and how many are free."""
+    """(band, low, high, used, free, ports) of each range: the used numbers in it, and how many are free.
+
+    ``bands`` is a reference table of joins.SMALL_TABLE rows at most; a band's list holds its used numbers alone."""
+    few = joins.small(bands, "bands")
     inside = (F.col("port") >= F.col("low")) & (F.col("port") <= F.col("high"))
-    found = bands.join(ports.select("port").distinct(), inside, "left").groupBy("band", "low", "high")
-    out = found.agg(F.array_sort(F.collect_list("port")).alias("ports"))
+    held = ports.select("port").distinct().join(few, inside).groupBy("band", "low", "high").agg(F.array_sort(F.collect_list("port")).alias("ports"))
+    none = F.array().cast(held.schema["ports"].dataType)
+    out = bands.select("band", "low", "high").distinct().join(held, ["band", "low", "high"], "left").withColumn("ports", F.coalesce("ports", none))
     used = F.size("ports").cast("long")
     return out.select("band", "low", "high", used.alias("used"), (F.col("high") - F.col("low") + 1 - used).alias("free"), "ports")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -37,12 +39,17 @@ def dominant_colors(pixels: DataFrame, tolerance: int, top: int = 5) -> DataFram
 def pick_color(pixels: DataFrame, palette: DataFrame, tolerance: int) -> DataFrame:
     """(image_id, name, how): the palette colour that is there exactly, else that with most pixels within the tolerance, else none.
 
-    Pixels are counted by colour first, so that the palette, a small reference table, meets distinct colours alone.
+    Pixels are counted by colour first; colours and palette meet by cells of the colour cube, each palette colour in the 27 cells
+    that hold all that is within the tolerance, so that neither side is compared as a whole.
     """
     colors = pixels.groupBy("image_id", "r", "g", "b").agg(F.count(F.lit(1)).alias("n"))
     p = palette.select("name", F.col("r").alias("pr"), F.col("g").alias("pg"), F.col("b").alias("pb"))
+    cell = lambda c: F.floor(F.col(c) / (tolerance + 1))
+    colors = colors.withColumns({f"c{c}": cell(c) for c in "rgb"})
+    around = F.explode(F.array(*[F.struct(*[F.lit(d).alias(k) for k, d in zip("xyz", step, strict=True)]) for step in product((-1, 0, 1), repeat=3)]))
+    p = p.select("*", around.alias("d")).select("name", "pr", "pg", "pb", *[(cell(f"p{c}") + F.col(f"d.{k}")).alias(f"c{c}") for c, k in zip("rgb", "xyz", strict=True)])
     apart = F.greatest(F.abs(F.col("r") - F.col("pr")), F.abs(F.col("g") - F.col("pg")), F.abs(F.col("b") - F.col("pb")))
-    met = colors.join(p, apart <= tolerance).groupBy("image_id", "name").agg(F.sum(F.when(apart == 0, F.col("n")).otherwise(0)).alias("exact"), F.sum("n").alias("near"))
+    met = colors.join(p, ["cr", "cg", "cb"]).where(apart <= tolerance).groupBy("image_id", "name").agg(F.sum(F.when(apart == 0, F.col("n")).otherwise(0)).alias("exact"), F.sum("n").alias("near"))
     rank = F.struct((F.col("exact") > 0).alias("is_exact"), F.when(F.col("exact") > 0, F.col("exact")).otherwise(F.col("near")).alias("n"), F.col("name"))
     best = met.groupBy("image_id").agg(F.max(rank).alias("best"))
     images = pixels.select("image_id").distinct()

@@ -121,11 +121,24 @@ def domain_suffix(hosts: DataFrame, host: str, cookies: DataFrame, domain: str)
     return each.join(cookies, F.col("__parent") == F.lower(F.col(domain))).drop("__parent")
 
 
+#: Rows of a reference table that may be sent to every task and compared with every row.
+SMALL_TABLE = 2000
+
+
+def small(df: DataFrame, what: str) -> DataFrame:
+    """A reference table to be broadcast; more than SMALL_TABLE rows are an error."""
+    if df.limit(SMALL_TABLE + 1).count() > SMALL_TABLE:
+        raise ValueError(f"{what}: more than {SMALL_TABLE} rows, which would be compared with every row")
+    return F.broadcast(df)
+
+
 def best_match(left: DataFrame, key: str, rules: DataFrame, conditions: list[Column]) -> DataFrame:
     """Each left row with its best rule: the first condition that holds decides, ties go to the smallest rule id.
 
-    ``rules`` is a small reference table with ``rule_id``; conditions may look at both sides.
+    ``rules`` is a reference table with ``rule_id``, of SMALL_TABLE rows at most; conditions may look at both sides. For many keys
+    that texts contain see ``contains.first_rule``.
     """
+    rules = small(rules, "rules")
     rank = F.coalesce(*[F.when(c, F.lit(i)) for i, c in enumerate(conditions)])
     met = left.join(rules, rank.isNotNull(), "left").withColumn("priority", rank)
     return first_of_each(met, [key], ["priority", "rule_id"])
