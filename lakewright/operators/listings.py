@@ -88,3 +88,35 @@ def insert_and_keep(rows: DataFrame, new: DataFrame, key: str, order: list[str],
     numbered = last.withColumn(key, (F.lit(top + n + 1) - back).cast(rows.schema[key].dataType))
     both = rows.orderBy(F.desc(key)).limit(keep).unionByName(numbered.select(*rows.columns))
     return both.orderBy(F.desc(key)).limit(keep)
+
+
+def bookmark_pairs(starts: DataFrame, ends: DataFrame, by: str) -> DataFrame:
+    """One row a document: starts_total, ends_total, closed, open_starts, orphan_ends, hidden, names and duplicate_names.
+
+    ``starts``: (by, id, name), ``ends``: (by, id), both with repeats. A start is closed if any end of its document has its id; an id
+    that isn't written pairs with nothing. ``hidden``: names that begin with an underscore; ``duplicate_names``: names that stand
+    on several starts."""
+    known = lambda df: df.where("id is not null").select(by, "id").distinct().withColumn("__met", F.lit(1))
+    n = F.count(F.lit(1))
+    opened = starts.join(known(ends), [by, "id"], "left").groupBy(by, "name").agg(n.alias("n"), F.count("__met").alias("closed"))
+    named = F.col("name").isNotNull()
+    per = opened.groupBy(by).agg(F.sum("n").alias("starts_total"), F.sum("closed").alias("closed"), F.coalesce(F.sum(F.when(F.startswith("name", F.lit("_")), F.col("n"))), F.lit(0)).alias("hidden"), F.count_if(named).alias("names"), F.count_if(named & (F.col("n") > 1)).alias("duplicate_names"))
+    shut = ends.join(known(starts), [by, "id"], "left").groupBy(by).agg(n.alias("ends_total"), F.count_if(F.col("__met").isNull()).alias("orphan_ends"))
+    both = per.join(shut, by, "full").na.fill(0)
+    return both.select(by, "starts_total", "ends_total", "closed", (F.col("starts_total") - F.col("closed")).alias("open_starts"), "orphan_ends", "hidden", "names", "duplicate_names")
+
+
+def project_issues(projects: DataFrame, files: DataFrame, blocks: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(project, severity, what, name): chapters in a project's order that have no file are errors, files that the order lacks and
+    sources of blocks that the manifest lacks are warnings, each once.
+
+    ``projects``: (project, chapters), an array; ``files``: (project, name); ``blocks``: (project, uris), an array for each block;
+    ``manifest``: (project, uri)."""
+    listed = projects.select("project", F.explode("chapters").alias("name")).distinct()
+    there = files.select("project", "name").distinct()
+    used = blocks.select("project", F.explode("uris").alias("name")).where("name is not null").distinct()
+    held = manifest.select("project", F.col("uri").alias("name"))
+    issue = lambda df, severity, what: df.select("project", F.lit(severity).alias("severity"), F.lit(what).alias("what"), "name")
+    out = issue(listed.join(there, ["project", "name"], "left_anti"), "error", "no file")
+    out = out.unionByName(issue(there.join(listed, ["project", "name"], "left_anti"), "warning", "not in order"))
+    return out.unionByName(issue(used.join(held, ["project", "name"], "left_anti"), "warning", "not in manifest"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakewright.functions import scalars as S
 from lakewright.operators.joins import first_of_each
+from lakewright.session import checkpointed
 
 
 def positional(df: DataFrame, at: str, book: DataFrame, index: str, value: str) -> DataFrame:
@@ -49,20 +49,21 @@ def update_where_known(df: DataFrame, key: str, known: DataFrame, value: str) ->
 def greedy_claim(offers: DataFrame, group: str) -> DataFrame:
     """(group, key, item) from offers (group, key, item, priority): keys in order take their best item that no earlier key has taken.
 
-    A claim depends on all claims before it, so a group is handled in one place, in pandas.
-    """
-
-    def claim(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken, out = set(), []
-        for key, rows in pdf.sort_values(["key", "priority", "item"], kind="stable").groupby("key", sort=True):
-            item = next((i for i in rows["item"] if i not in taken), None)
-            if item is not None:
-                taken.add(item)
-                out.append((pdf[group].iloc[0], key, item))
-        return pd.DataFrame(out, columns=[group, "key", "item"])
-
-    kinds = dict(offers.dtypes)
-    return offers.select(group, "key", "item", "priority").groupBy(group).applyInPandas(claim, f"{group} {kinds[group]}, key {kinds['key']}, item {kinds['item']}")
+    By deferred acceptance: every key asks for its best item, an item keeps the smallest key that asks, and those that it sends
+    away ask for their next best, until nobody is sent away. As all items rank the keys alike, that ends where taking turns
+    does. A round is a sum by item, and a key's own offers are all that is ever ordered together, so a group of any size is
+    spread. Offers with a null key or item are left out; of a key's equal offers one counts. The rounds are at most the offers."""
+    best = offers.where("key is not null and item is not null").groupBy(group, "key", "item").agg(F.min("priority").alias("priority"))
+    place = F.row_number().over(Window.partitionBy(group, "key").orderBy("priority", "item"))
+    ranked = checkpointed(best.select(group, "key", "item", place.alias("place")))
+    asking = ranked.select(group, "key").distinct().withColumn("place", F.lit(1))
+    while True:
+        asked = asking.join(ranked, [group, "key", "place"])
+        kept = asked.groupBy(group, "item").agg(F.min("key").alias("__key"))
+        held = checkpointed(asked.join(kept, [group, "item"]).select(group, "key", "item", "place", (F.col("key") == F.col("__key")).alias("kept")))
+        if not held.where("not kept").limit(1).count():
+            return held.select(group, "key", "item")
+        asking = held.select(group, "key", F.when(F.col("kept"), F.col("place")).otherwise(F.col("place") + 1).alias("place"))
 
 
 def depth_tally(nodes: DataFrame, by: list[str], depth: str, span: str) -> DataFrame:

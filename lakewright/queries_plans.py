@@ -151,3 +151,41 @@ def run_inserts(spark, sf_dir):
     runs = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("tool"))
     new = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").select("o_orderkey", F.lit("order").alias("tool"))
     return listings.insert_and_keep(runs, new, "id", ["o_orderkey"], 500)
+
+
+@query("bookmark_pairs", """WITH s AS (SELECT l_suppkey AS doc, CASE WHEN l_tax > 0 THEN l_orderkey % 500 END AS id, CASE WHEN l_linenumber > 1 THEN CASE WHEN l_discount > 0.08 THEN '_' ELSE 'b' END || (l_partkey % 70) END AS name FROM lineitem WHERE l_returnflag <> 'N'),
+    e AS (SELECT l_suppkey AS doc, CASE WHEN l_tax > 0 THEN l_orderkey % 500 END AS id FROM lineitem WHERE l_returnflag = 'N'),
+    p AS (SELECT doc, count(*) AS starts_total, count(*) FILTER (EXISTS (SELECT 1 FROM e WHERE e.doc = s.doc AND e.id = s.id)) AS closed, count(*) FILTER (name LIKE '\\_%' ESCAPE '\\') AS hidden, count(DISTINCT name) AS names FROM s GROUP BY doc),
+    d AS (SELECT doc, count(*) AS duplicate_names FROM (SELECT doc, name FROM s WHERE name IS NOT NULL GROUP BY doc, name HAVING count(*) > 1) GROUP BY doc),
+    q AS (SELECT doc, count(*) AS ends_total, count(*) FILTER (NOT EXISTS (SELECT 1 FROM s WHERE s.doc = e.doc AND s.id = e.id)) AS orphan_ends FROM e GROUP BY doc)
+    SELECT doc, coalesce(starts_total, 0) AS starts_total, coalesce(ends_total, 0) AS ends_total, coalesce(closed, 0) AS closed, coalesce(starts_total - closed, 0) AS open_starts, coalesce(orphan_ends, 0) AS orphan_ends, coalesce(hidden, 0) AS hidden, coalesce(names, 0) AS names, coalesce(duplicate_names, 0) AS duplicate_names
+    FROM p FULL JOIN q USING (doc) LEFT JOIN d USING (doc)""")
+def bookmark_pairs(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").selectExpr("l_suppkey AS doc", "CASE WHEN l_tax > 0 THEN l_orderkey % 500 END AS id", "CASE WHEN l_linenumber > 1 THEN concat(CASE WHEN l_discount > 0.08 THEN '_' ELSE 'b' END, l_partkey % 70) END AS name", "l_returnflag")
+    return listings.bookmark_pairs(lines.where("l_returnflag <> 'N'").drop("l_returnflag"), lines.where("l_returnflag = 'N'").select("doc", "id"), "doc")
+
+
+@query("project_issues", """WITH o AS (SELECT DISTINCT o_custkey AS project, 'c' || o_orderkey % 60 AS name FROM orders), f AS (SELECT DISTINCT c_custkey AS project, 'c' || k AS name FROM customer, (SELECT unnest(range(60)) AS k) WHERE (c_custkey + k) % 3 > 0 AND k % 4 > 0),
+    u AS (SELECT DISTINCT o_custkey AS project, 'u' || unnest([o_orderkey % 90, o_orderkey % 7]) AS name FROM orders), m AS (SELECT c_custkey AS project, 'u' || k AS name FROM customer, (SELECT unnest(range(90)) AS k) WHERE (c_custkey * 7 + k) % 5 > 0)
+    SELECT project, 'error' AS severity, 'no file' AS what, name FROM o WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.project = o.project AND f.name = o.name) UNION ALL
+    SELECT project, 'warning', 'not in order', name FROM f WHERE NOT EXISTS (SELECT 1 FROM o WHERE f.project = o.project AND f.name = o.name) UNION ALL
+    SELECT project, 'warning', 'not in manifest', name FROM u WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.project = u.project AND m.name = u.name)""")
+def project_issues(spark, sf_dir):
+    """Customers as projects; their orders name the chapters and the sources of blocks."""
+    orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    projects = orders.groupBy(F.col("o_custkey").alias("project")).agg(F.collect_list(F.concat(F.lit("c"), F.col("o_orderkey") % 60)).alias("chapters"))
+    each = lambda n, name: customers.selectExpr("c_custkey AS project", f"explode(sequence(0L, {n - 1}L)) AS k").select("project", "k", F.concat(F.lit(name), "k").alias("x"))
+    files = each(60, "c").where("(project + k) % 3 > 0 AND k % 4 > 0").select("project", F.col("x").alias("name"))
+    blocks = orders.selectExpr("o_custkey AS project", "array(concat('u', o_orderkey % 90), concat('u', o_orderkey % 7)) AS uris")
+    manifest = each(90, "u").where("(project * 7 + k) % 5 > 0").select("project", F.col("x").alias("uri"))
+    return listings.project_issues(projects, files, blocks, manifest)
+
+
+@query("top_cells", """SELECT gx, gy, score FROM (SELECT CAST(floor(l_linenumber / 2.0) AS BIGINT) AS gx, CAST(floor(l_quantity / 10) AS BIGINT) AS gy, round(avg(abs(floor(l_tax * 100) - floor(l_discount * 100)) / 255.0), 9) AS score FROM lineitem GROUP BY 1, 2) ORDER BY score DESC, gy, gx LIMIT 5""")
+def top_cells(spark, sf_dir):
+    """The cells of a picture that differ most."""
+    from lakewright.operators import images
+
+    pixels = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("x"), F.col("l_quantity").alias("y"), F.floor(F.col("l_tax") * 100).alias("a"), F.floor(F.col("l_discount") * 100).alias("b"))
+    cells = aggregates.grid_diff(pixels, 2, 10).withColumn("score", F.round("score", 9))
+    return images.top_cells(cells, "score", 5, "gy", "gx").select("gx", "gy", "score")

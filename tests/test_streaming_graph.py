@@ -32,6 +32,16 @@ def test_latest(spark):
     assert {r["feed"]: r["text"] for r in feeds.latest_per_key(spark.createDataFrame(FEED, SCHEMA), "feed", "text", "seq").collect()} == {"a": "m", "b": "q"}
 
 
+def test_latest_as_a_stream(spark, tmp_path):
+    """In update mode a batch gives the keys that it changes, and what they hold now."""
+    got = []
+    for k, part in enumerate((FEED[:3], FEED[3:5], FEED[5:], [("b", 0, 0, "older")])):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        stream = feeds.latest_per_key(spark.readStream.schema(SCHEMA).json(str(tmp_path / "in")), "feed", "text", "seq")
+        stream.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).foreachBatch(lambda df, _: got.append(sorted(map(tuple, df.collect())))).start().awaitTermination()
+    assert [g for g in got if g] == [[("a", "z", 3)], [("a", "", 4), ("b", "q", 1)], [("a", "m", 7)], [("b", "q", 1)]]
+
+
 def test_graph():
     assert graph.stages(["a", "b", "c"], [("a", "b"), ("b", "c"), ("a", "c")]) == ([["a"], ["b"], ["c"]], set())
     assert graph.check(["a", "b"], [("a", "b"), ("b", "a"), ("a", "z")], {"a"}) == ["node b has no command", "edge a->z: no node z", "cycle among a, b"]
