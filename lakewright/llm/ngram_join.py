@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakewright.llm.common import stored, table
-from lakewright.llm.minhash import _BASE, _INVERSE, _LOWER, _times_base, labelled, merged_labels, mix, nearest, overlap, shared, stars, still_open, text_key
+from lakewright.llm.minhash import _BASE, _INVERSE, _LOWER, _times_base, labelled, merged_labels, mix, nearest, overlap, stars, still_open, text_key
 from lakewright.llm.quality import chunks
 
 SHINGLE, PERCENT = 4, 85
@@ -44,7 +44,7 @@ FREQUENT, VERY_FREQUENT = 1 / 2000, 1 / 100
 #: Tokens of classes 2 and 3 at most, the most frequent ones (8 bytes each are sent to every task).
 MAX_FREQUENT = 1 << 17
 #: Tokens that are counted at once in a task, and texts of them that must hold a token for it to be counted on.
-BLOCK_TOKENS, LEAST_SEEN = 4 << 20, 3
+BLOCK_TOKENS, LEAST_SEEN = 2 << 20, 3
 #: Sets of fewer tokens have no similar ones but equal ones, from 80 percent on.
 LEAST = 4
 #: Entries of a set that go along with each of its rows, so that a pair is met where it first shares one.
@@ -340,6 +340,14 @@ def between(rows: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct()
 
 
+def centered(met: DataFrame) -> DataFrame:
+    """(bucket, node, n, weight, center, center_weight), stored, of lists (bucket, node, n) of n nodes: how many others a node meets in all
+    its lists, and the list's node of most weight, the smallest of equal ones."""
+    weighed = stored(met.join(met.groupBy("node").agg(F.sum("n").alias("weight")), "node"), "weighed")
+    top = weighed.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("node")).alias("node"))).alias("top"))
+    return stored(weighed.join(top, "bucket").select("bucket", "node", "n", "weight", (-F.col("top.node")).alias("center"), F.col("top.weight").alias("center_weight")), "lists")
+
+
 def components_of(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row a document (doc_id, text): doc_id, n_shingles and component_id. ``percent`` is 80 to 100: below, small sets could
     end before their prefix does."""
@@ -355,9 +363,9 @@ def components_of(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     nodes = stored(nodes.select(F.monotonically_increasing_id().alias("node"), "*"), "nodes")
 
     rows = nodes.select(F.explode(F.arrays_zip("entries", "codes")).alias("e"), "node", "n").select(F.col("e.entries").alias("token"), "node", "n", F.col("e.codes").alias("code"))
-    lists = rows.groupBy("token").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1").select("token")
+    lists = rows.groupBy("token").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1")
     rows = stored(rows.join(lists, "token"), "entries")
-    met = shared(rows.select(F.col("token").alias("bucket"), "node").distinct())
+    met = centered(rows.select(F.col("token").alias("bucket"), "node", F.col("seen").alias("n")))
     labels = met.select("node", F.col("node").alias("label")).limit(0)
     nodes_small = nodes.select("node", "n", "sketch", "rep")
 
@@ -381,7 +389,8 @@ def components_of(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         single, own = F.col("code") >= 0, Window.partitionBy("node")
         before = F.coalesce(F.count_if(single).over(own.orderBy("code").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         alone = F.col("singles") - F.count_if(single).over(own)
-        placed = rows.join(nodes.select("node", "singles"), "node").select("token", "node", "n", "code", F.when(single, alone + before).otherwise(F.col("singles")).alias("at"), F.when(single, F.col("code") % 2 == 1).otherwise(F.col("code") == -2).alias("listed"))
+        here = nodes.select("node", "singles").join(open_.select("node").distinct(), "node", "left_semi")
+        placed = rows.join(here, "node").select("token", "node", "n", "code", F.when(single, alone + before).otherwise(F.col("singles")).alias("at"), F.when(single, F.col("code") % 2 == 1).otherwise(F.col("code") == -2).alias("listed"))
         left = placed.join(open_.select(F.col("bucket").alias("token")).distinct(), "token", "left_semi")
         compare(between(stored(labelled(met_first(left), labels), "last"), percent))
 
