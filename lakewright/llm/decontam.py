@@ -56,16 +56,19 @@ def _sized(rows: DataFrame) -> DataFrame:
 
 
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """The index, stored: row (number of the document), pos (from 1) and term (a number of ``terms``: word, term).
+    """The index, stored: row (number of the document), pos (from 1) and term (a number of ``terms``: word, term), of those
+    terms alone: items with other words need a pass of their own.
 
     Position 0, with a null term, stands for the document itself: its columns but text as ``doc``, and n_words.
     """
     kept = [c for c in docs.columns if c != "text"]
     each = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in kept]).alias("doc"), words(F.col("text")).alias("w"))
     first = terms.limit(0).unionByName(terms.sparkSession.createDataFrame([("", None)], "word string, term long"))
-    each = each.select("*", F.posexplode(F.concat(F.array(F.lit("")), "w")).alias("pos", "word")).join(_sized(stored(terms.unionByName(first), "terms")), "word")
     itself = F.col("pos") == 0
-    return stored(each.select("row", "pos", "term", F.when(itself, F.col("doc")).alias("doc"), F.when(itself, F.size("w")).alias("n_words")), "postings")
+    # A word's row is narrow before it meets the terms: the document and its words don't go through a shuffle with each word.
+    each = each.select("*", F.posexplode(F.concat(F.array(F.lit("")), "w")).alias("pos", "word")).select("row", "pos", "word", F.when(itself, F.col("doc")).alias("doc"), F.when(itself, F.size("w")).alias("n_words"))
+    met = each.join(_sized(stored(terms.unionByName(first), "terms")), "word")
+    return stored(met.select("row", "pos", "term", "doc", "n_words"), "postings")
 
 
 def by_rareness(found: DataFrame, terms: DataFrame, index: DataFrame) -> DataFrame:

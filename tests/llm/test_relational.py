@@ -63,6 +63,21 @@ def test_decontamination_without_broadcast(spark, monkeypatch):
     assert sorted(map(str, decontam.report(docs, items).collect())) == want
 
 
+def test_long_text_without_broadcast(spark, monkeypatch):
+    """A text of 200,000 words whose rows are shuffled: a word's row holds neither the text nor the document."""
+    import time
+
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    item = " ".join(f"w{k}" for k in range(20))
+    text = " ".join(f"x{k % 977}" for k in range(100_000)) + " " + item + " " + " ".join(f"y{k % 991}" for k in range(99_980))
+    docs = spark.createDataFrame([(1, text), (2, "x1 x2")], "doc_id long, text string")
+    began = time.perf_counter()
+    row = decontam.report(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).where("doc_id = 1").first()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert (row["n_words"], row["n_hit"], row["n_items"]) == (200_000, 20, 1) and time.perf_counter() - began < 60
+
+
 def test_proximity(spark):
     item = "alpha one two beta three four gamma five six seven eight nine ten"
     docs = spark.createDataFrame([(1, "x alpha y beta z gamma"), (2, "alpha " + "q " * 60 + "beta gamma")], "doc_id long, text string")
