@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakewright.llm.common import stored, table
+from lakewright.llm.components import components
 from lakewright.llm.minhash import _BASE, _INVERSE, _LOWER, _times_base, labelled, merged_labels, mix, nearest, overlap, stars, still_open, text_key
 from lakewright.llm.quality import chunks
 
@@ -82,7 +83,9 @@ def token_sets(texts: list[str | None], size: int = SHINGLE) -> tuple[np.ndarray
     for k in range(size):
         more = k < width[owner]
         out[more] = mix(out[more] * _BASE + word[at[more] + k])
-    order = np.lexsort((out, owner))
+    order = np.argsort(out)
+    # By text, keeping the order of tokens; 16-bit numbers are sorted by radix.
+    order = order[np.argsort(owner[order].astype(np.uint16 if len(texts) <= 1 << 16 else np.int64), kind="stable")]
     out, owner = out[order], owner[order]
     new = np.ones(len(out), bool)
     new[1:] = (out[1:] != out[:-1]) | (owner[1:] != owner[:-1])
@@ -120,8 +123,9 @@ def entries(tokens: np.ndarray, owner: np.ndarray, texts: int, frequent: list[np
         if len(known):
             found = np.searchsorted(known, tokens)
             kind[known[np.minimum(found, len(known) - 1)] == tokens] = k
-    order = np.lexsort((tokens, kind, owner))
-    tokens, owner, kind = tokens[order], owner[order], kind[order]
+    if (kind > 1).any():  # tokens come in order of the text and their hash
+        order = np.argsort(owner * 4 + kind, kind="stable")
+        tokens, owner, kind = tokens[order], owner[order], kind[order]
     n = np.bincount(owner, minlength=texts)
     begin = np.cumsum(n) - n
     place = np.arange(len(tokens)) - begin[owner]
@@ -366,7 +370,7 @@ def components_of(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     lists = rows.groupBy("token").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1")
     rows = stored(rows.join(lists, "token"), "entries")
     met = centered(rows.select(F.col("token").alias("bucket"), "node", F.col("seen").alias("n")))
-    labels = met.select("node", F.col("node").alias("label")).limit(0)
+    labels = none = met.select("node", F.col("node").alias("label")).limit(0)
     nodes_small = nodes.select("node", "n", "sketch", "rep")
 
     def compare(pairs: DataFrame) -> None:
@@ -377,7 +381,7 @@ def components_of(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             return
         links = stored(linked(fresh, docs, nodes_small, percent), "links")
         if links.limit(1).count():
-            labels = merged_labels(labels, links)
+            labels = components(links) if labels is none else merged_labels(labels, links)
 
     compare(nearest(met))
     open_ = still_open(met, labels)
