@@ -61,7 +61,7 @@ def crc_checksums(spark, sf_dir):
 
 BARE, HOST = "regexp_replace(url, '[?#].*$', '')", "regexp_extract(url, '^[a-z]+://[^/?#]*', 0)"
 REFS = ["concat('g', page_id)", "concat('../up/', page_id)", "concat('/top?q=', page_id)", "concat('//other.example/', page_id)", "concat('#s', page_id)", "concat('https://z.example/', page_id)", "concat('?n=', page_id)", "''"]
-JOINED = [f"regexp_replace({BARE}, '/[^/]*$', '/') || 'g' || page_id", f"regexp_replace(regexp_replace({BARE}, '/[^/]*$', ''), '/[^/]*$', '/') || 'up/' || page_id", f"{HOST} || '/top?q=' || page_id", "regexp_extract(url, '^[a-z]+:', 0) || '//other.example/' || page_id", "url || '#s' || page_id", "'https://z.example/' || page_id", f"{BARE} || '?n=' || page_id", "url"]
+JOINED = [f"regexp_replace({BARE}, '/[^/]*$', '/') || 'g' || page_id", f"regexp_replace(regexp_replace({BARE}, '/[^/]*$', ''), '/[^/]*$', '/') || 'up/' || page_id", f"{HOST} || '/top?q=' || page_id", "regexp_extract(url, '^[a-z]+:', 0) || '//other.example/' || page_id", "regexp_replace(url, '#.*$', '') || '#s' || page_id", "'https://z.example/' || page_id", f"{BARE} || '?n=' || page_id", "url"]
 CASE = lambda options: f"CASE {' '.join(f'WHEN page_id % 8 = {i} THEN {o}' for i, o in enumerate(options))} END"
 
 
