@@ -118,7 +118,7 @@ def page_links(spark, sf_dir):
     return found.join(given.select("page_id", "url"), "page_id").select("page_id", S.resolve_url(F.col("url"), F.col("href")).alias("href")).distinct()
 
 
-@query("matched_elements", r"""SELECT page_id, 'h1' AS tag, regexp_replace(trim(regexp_replace(replace(replace(replace(replace(regexp_extract(html, '<article><h1>(.*?)</h1>', 1, 's'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')), '<[^>]*>', '', 'g') AS text, CAST(NULL AS VARCHAR) AS href FROM pages WHERE contains(html, '<article><h1>')
+@query("matched_elements", r"""SELECT page_id, 'h1' AS tag, regexp_replace(trim(regexp_replace(regexp_replace(replace(replace(replace(regexp_extract(html, '<article><h1>(.*?)</h1>', 1, 's'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')), '<[^>]*>', '', 'g') AS text, CAST(NULL AS VARCHAR) AS href FROM pages WHERE contains(html, '<article><h1>')
     UNION ALL SELECT page_id, 'a', x.t, x.h FROM (SELECT page_id, unnest(list_zip(regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1), '<a href="[^"]*">([^<]*)</a>', 1), regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1), '<a href="([^"]*)">', 1))) AS z FROM pages) q, LATERAL (SELECT z[1] AS t, z[2] AS h) x""")
 def matched_elements(spark, sf_dir):
     """Tag, text and target of what a selector finds, as a response's matches."""
