@@ -166,29 +166,41 @@ def banded_distance(a: Column, b: Column, threshold: int) -> Column:
     return F.when((end >= 0) & (end < width), F.when(within >= 0, within))
 
 
-def may_be_near(a: Column, b: Column, threshold: int, blocks: int = 8) -> Column:
-    """Whether all but ``threshold`` of the blocks of one line stand in the other, as each edit spoils one at most."""
+def may_be_near(a: Column, b: Column, edits: int | Column, blocks: int = 8) -> Column:
+    """Whether all but ``edits`` of the blocks of one line stand in the other, as each edit spoils one at most."""
     size = F.call_function("div", F.length(a), F.lit(blocks)).cast("int")
     held = [F.contains(b, F.substring(a, size * k + 1, size)).cast("int") for k in range(blocks)]
-    return sum(held[1:], held[0]) >= blocks - threshold
+    return sum(held[1:], held[0]) >= blocks - edits
+
+
+def _known(ids: DataFrame) -> DataFrame:
+    """Stored ids or hashes, for a broadcast where they are few. Left to Spark's own statistics, the other side, whole lines
+    at times, may be shuffled before these are told to be few."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
 def _candidates(lines: DataFrame, threshold: int, every: int = 1) -> DataFrame:
-    """Pairs (a, b) of line ids, a < b, that share a key. ``lines``: id, line and length."""
-    keys, probe = key_rows(lines, threshold, False, every), key_rows(lines, threshold, True, every)
+    """Pairs (a, b) of line ids, a < b, that share a key. ``lines``: id, line and length.
+
+    The index is written once, to be counted and to be joined. In the join one row without an id stands for the lines of a
+    hot key, so that one pass over the probes gives the pairs and the lines that ask for a hot key too.
+    """
     pair = lambda df: df.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     refinable = F.col("other") - F.col("size") > F.col("key_edits")
-    hot = stored(keys.where(refinable).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("key"), "hot")
-    n_hot = hot.count()
-    index, asks = keys.select("key", F.col("id").alias("a")), probe.select("key", F.col("id").alias("b"))
-    if not n_hot:
-        return pair(index.join(asks, "key").where("a <> b")).distinct()
-    known = F.broadcast(hot) if n_hot <= BROADCAST_IDS else hot
-    pairs = pair(index.join(known, "key", "left_anti").join(asks, "key").where("a <> b"))
+    index = stored(key_rows(lines, threshold, False, every).select("key", F.col("id").alias("a"), refinable.alias("refinable")), "index")
+    asks = key_rows(lines, threshold, True, every).select("key", F.col("id").alias("b"))
+    hot = stored(index.where("refinable").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("key"), "hot")
+    index = index.select("key", "a")
+    if hot.isEmpty():
+        return pair(index.join(asks, "key")).distinct()
+    known = _known(hot)
+    standing = index.join(known, "key", "left_anti").unionByName(hot.select("key", F.lit(None).cast("long").alias("a")))
+    found = standing.join(asks, "key").where("a is null or a <> b")
+    met = stored(found.select(F.when(F.col("a").isNotNull(), F.least("a", "b")).alias("a"), F.greatest("a", "b").alias("b")).distinct(), "met")
     # A line's own segments are among what it asks for, so its probes tell whether it has a hot key.
-    having = probe.join(known, "key", "left_semi").select("id").distinct()
+    having = _known(met.where("a is null").select(F.col("b").alias("id")))
     some = stored(lines.join(having, "id", "left_semi").select("id", "line", "length", letter_parities(F.col("line")).alias("letters")), "hot-lines")
-    return pairs.unionByName(pair(_refined(some, known, threshold, every))).distinct()
+    return met.where("a is not null").unionByName(pair(_refined(some, known, threshold, every))).distinct()
 
 
 def _refined(lines: DataFrame, hot: DataFrame, threshold: int, every: int) -> DataFrame:
@@ -222,13 +234,12 @@ def links(nodes: DataFrame, threshold: int = THRESHOLD, every: int = EVERY) -> D
     """(a, b, later): linked lines, and which of them goes."""
     pairs = stored(_candidates(nodes.select("id", "line", "length"), threshold, every), "pairs")
     ids = stored(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
-    few = ids.count() <= BROADCAST_IDS
-    wanted = nodes.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    wanted = nodes.join(_known(ids), "id", "left_semi")
     at = F.struct(F.col("first_id").isNull().alias("no_id"), "first_id", "first_row", "line")
     side = lambda c: wanted.select(F.col("id").alias(c), at.alias(f"{c}_at"), F.col("length").alias(f"{c}_length"))
     a, b = F.col("a_at.line"), F.col("b_at.line")
     edits = allowed_edits(F.least("a_length", "b_length"), threshold, every)
-    likely = pairs.join(side("a"), "a").join(side("b"), "b").where(may_be_near(a, b, threshold))
+    likely = pairs.join(side("a"), "a").join(side("b"), "b").where(may_be_near(a, b, edits))
     found = likely.where(banded_distance(a, b, threshold) <= edits)
     return found.select("a", "b", F.when(F.col("a_at") > F.col("b_at"), F.col("a")).otherwise(F.col("b")).alias("later"))
 
@@ -242,9 +253,8 @@ def removals(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_C
     h1, h2 = F.xxhash64("line"), F.xxhash64(F.lit(1), F.col("line"))
     verdict = nodes.join(gone, "id", "left").join(ends, "id", "left").where("n > 1 or gone or n_links > 0")
     verdict = stored(verdict.select(h1.alias("h1"), h2.alias("h2"), "first_id", "first_row", F.coalesce("gone", F.lit(False)).alias("gone"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "verdicts")
-    few = verdict.count() <= BROADCAST_IDS
     each = docs.select("__id", "__row", "__text", F.posexplode(lines_of(F.col("text"))).alias("place", "line")).where(takes_part(F.col("line"), min_chars))
-    placed = each.select("__id", "__row", "__text", "place", h1.alias("h1"), h2.alias("h2")).join(F.broadcast(verdict) if few else verdict, ["h1", "h2"])
+    placed = each.select("__id", "__row", "__text", "place", h1.alias("h1"), h2.alias("h2")).join(_known(verdict), ["h1", "h2"])
     elsewhere = ~(F.col("__id").eqNullSafe(F.col("first_id")) & F.col("__row").eqNullSafe(F.col("first_row")))
     # Partitioned by text once, for both groupings. In its first document a line stays at its first place.
     line = placed.repartition("__id", "__row", "__text").groupBy("__id", "__row", "__text", "h1", "h2")

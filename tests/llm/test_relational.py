@@ -193,6 +193,40 @@ def test_segment_join_of_short_lines(spark, monkeypatch):
     assert {(i, j) for i, j in itertools.combinations(range(len(lines)), 2) if distance(lines[i], lines[j]) <= 2} <= found
 
 
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_line_dedup_shuffles_hot_lines_only_beyond_the_limit(spark, monkeypatch, few):
+    plans, stored = {}, line_dedup.stored
+
+    def noting(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return stored(df, name)
+
+    monkeypatch.setattr(line_dedup, "stored", noting)
+    monkeypatch.setattr(line_dedup, "HOT", 2)
+    monkeypatch.setattr(line_dedup, "BROADCAST_IDS", few)
+    r = random.Random(9)
+    base = ["".join(r.choice("abcdefé ") for _ in range(r.randint(35, 60))) for _ in range(12)]
+    docs = [(d, "\n".join(changed(x, r.randint(0, 3), r, "abc") for x in r.sample(base, 3))) for d in range(50)]
+    key, df = "spark.sql.autoBroadcastJoinThreshold", spark.createDataFrame(docs, "doc_id long, text string")
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        got = line_dedup.dedup_lines(df, 2, 30).select("doc_id", "text").collect()
+    finally:
+        spark.conf.set(key, before)
+    assert sorted(map(tuple, got)) == sorted(slow_line_dedup(docs, 2, 30))
+    assert ("SortMergeJoin" in plans["hot-lines"]) == (few == 0)
+
+
+def test_block_test_goes_by_the_edits_allowed(spark):
+    r = random.Random(10)
+    near = [(a, changed(a, e, r, "abcdé"), e) for e in (0, 1, 2) for a in ("".join(r.choice("abcdé") for _ in range(r.randint(3, 40))) for _ in range(60))]
+    far = [("abcdefgh", "abcXefYh", 1), ("abcdefgh", "abcdefgX", 0)]
+    df = spark.createDataFrame(near + far, "a string, b string, edits int")
+    got = [x[0] for x in df.select(line_dedup.may_be_near(F.col("a"), F.col("b"), F.col("edits"))).collect()]
+    assert all(got[: len(near)]) and not any(got[len(near) :])
+
+
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 
