@@ -22,6 +22,23 @@ def test_contains(spark):
     assert contains.contains_join(df.limit(0), ["id"], "text", kf, "word").count() == 0 and contains.contains_join(df, ["id"], "text", kf.limit(0), "word").count() == 0
 
 
+def test_contains_many_keys(spark, monkeypatch):
+    """Keys that are too many to be sent around give the same pairs, and no text is shuffled once a gram."""
+    r = random.Random(6)
+    texts = [(k % 50 or None, "".join(r.choice("abcd é") for _ in range(r.choice((0, 2, 9, 60))))) for k in range(150)]
+    keys = sorted({"".join(r.choice("abcd é") for _ in range(r.randint(1, 5))) for _ in range(60)})
+    df = spark.createDataFrame(texts, "id long, text string").distinct()
+    kf = spark.createDataFrame([(k, -i) for i, k in enumerate(keys)] + [(keys[0], 1)], "word string, place long")
+    want = sorted((str(i), k, p) for i, t in set(texts) for j, k in enumerate(keys) if k in t for p in ((0, 1) if j == 0 else (-j,)))
+    first = {}
+    for i, k, p in want:
+        first[i] = min(first.get(i, (9, "")), (p, k))
+    for most in (contains.BROADCAST_KEYS, 3):
+        monkeypatch.setattr(contains, "BROADCAST_KEYS", most)
+        assert sorted((str(x["id"]), x["word"], x["place"]) for x in contains.contains_join(df, ["id"], "text", kf, "word").collect()) == want
+        assert {str(x["id"]): (x["place"], x["word"]) for x in contains.first_rule(df, ["id"], "text", kf, "word", ["place"]).collect()} == first
+
+
 def plain_pick(value, pointer):
     for s in (pointer or "").split("/"):
         s = s.replace("~1", "/").replace("~0", "~") if s else None
