@@ -39,6 +39,22 @@ def test_contains_many_keys(spark, monkeypatch):
         assert {str(x["id"]): (x["place"], x["word"]) for x in contains.first_rule(df, ["id"], "text", kf, "word", ["place"]).collect()} == first
 
 
+def test_texts_stay_where_they_are(spark):
+    """Without broadcasts by size, what is shuffled is no more than the matches, and far less than a text for each of its grams."""
+    words = [f"word{k:03d}" for k in range(40)]
+    df = spark.range(50).select("id", F.concat(F.col("id").cast("string"), F.lit(" " + " ".join(words) * 20)).alias("text"))
+    kf = spark.createDataFrame([(w,) for w in words], "word string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = contains.contains_join(df, ["id"], "text", kf, "word")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert found.count() == 50 * len(words)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan.split("BroadcastExchange")[0]
+
+
 def plain_pick(value, pointer):
     for s in (pointer or "").split("/"):
         s = s.replace("~1", "/").replace("~0", "~") if s else None
