@@ -67,14 +67,17 @@ def providers_with_status(parts: dict[str, DataFrame], name: str) -> tuple[dict[
     return good, spark.createDataFrame(rows, "provider string, n long, ok boolean, message string")
 
 
-def three_states(refs: DataFrame, books: DataFrame, held: DataFrame, by: str, ref: str) -> DataFrame:
+def three_states(refs: DataFrame, books: DataFrame, held: DataFrame, by: str, ref: str, shelf: str | None = None) -> DataFrame:
     """The references with ``resolved``: whether their book (by) holds them, null if there is no such book among ``books``.
 
-    ``held``: (by, key), the targets of the books."""
-    known = books.select(F.col(by).alias("__by")).distinct()
-    found = held.select(F.col(by).alias("__in"), F.col("key").alias("__key")).distinct().withColumn("__found", F.lit(True))
-    met = refs.join(known, refs[by] == known["__by"], "left").join(found, (refs[by] == found["__in"]) & (refs[ref] == found["__key"]), "left")
-    return met.select(*[refs[c] for c in refs.columns], F.when(F.col("__by").isNotNull(), F.coalesce("__found", F.lit(False))).alias("resolved"))
+    ``held``: (by, key), the targets of the books. Books that share their targets name a ``shelf``, one each, and ``held`` is (shelf,
+    key) then, so that no list is written out once a book."""
+    share = shelf or by
+    known = books.select(F.col(by).alias("__by"), F.col(share).alias("__shelf"), F.lit(True).alias("__book")).distinct()
+    found = held.select(F.col(share).alias("__in"), F.col("key").alias("__key")).distinct().withColumn("__found", F.lit(True))
+    placed = refs.join(known, refs[by] == known["__by"], "left")
+    met = placed.join(found, (F.col("__shelf") == F.col("__in")) & (refs[ref] == found["__key"]), "left")
+    return met.select(*[refs[c] for c in refs.columns], F.when(F.col("__book"), F.coalesce("__found", F.lit(False))).alias("resolved"))
 
 
 def insert_and_keep(rows: DataFrame, new: DataFrame, key: str, order: list[str], keep: int) -> DataFrame:

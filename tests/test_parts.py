@@ -6,7 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from lakewright.functions import html
-from lakewright.operators import aggregates, parts, records
+from lakewright.operators import aggregates, listings, parts, records
 from lakewright.streaming import feeds
 
 
@@ -154,3 +154,25 @@ def test_greedy_claim(spark):
 def test_custom_order(spark):
     df = spark.createDataFrame([("z", 1), ("b", 2), ("a", 9), ("b", 1), (None, 0)], "tag string, n int")
     assert [tuple(r) for r in records.ordered_by_custom(df, "tag", ["b", "a"], "n").collect()][:3] == [("b", 1), ("b", 2), ("a", 9)]
+
+
+def test_shared_targets(spark):
+    """Books name the shelf of their targets; the query never writes a list out once a book."""
+    refs = spark.createDataFrame([(1, 7), (1, 8), (2, 7), (3, 7), (4, 7), (None, 7), (2, None)], "book long, ref long")
+    books = spark.createDataFrame([(1, 0), (2, 1), (2, 1), (4, None)], "book long, shelf long")
+    held = spark.createDataFrame([(0, 7), (0, 7), (1, 8)], "shelf long, key long")
+    got = listings.three_states(refs, books, held, "book", "ref", "shelf")
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([(1, 7, True), (1, 8, False), (2, 7, False), (3, 7, None), (4, 7, False), (None, 7, None), (2, None, False)], key=repr)
+
+
+def test_states_stay_linear(spark, tmp_path):
+    """As many customers and parts as make a join by remainder 13 million rows."""
+    from lakewright import queries as base
+
+    spark.range(20_000).selectExpr("id AS c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(20_000).selectExpr("id AS p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(1000).selectExpr("id AS o_orderkey", "id * 7 % 20000 AS o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    found = base.queries()["resolved_states"](spark, str(tmp_path))
+    on = [e for e in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in e]
+    assert len(on) == 3 and all("_custkey" in e or "__key" in e for e in on)
+    assert {tuple(r) for r in found.collect()} == {(o * 7 % 20000, o, None if o * 7 % 20000 % 4 == 0 else o % 400 % 30 == o * 7 % 20000 % 30) for o in range(1000)}
