@@ -115,11 +115,16 @@ def project_issues(projects: DataFrame, files: DataFrame, blocks: DataFrame, man
 
     ``projects``: (project, chapters), an array; ``files``: (project, name); ``blocks``: (project, uris), an array for each block;
     ``manifest``: (project, uri)."""
-    listed = projects.select("project", F.explode("chapters").alias("name")).distinct()
-    there = files.select("project", "name").distinct()
-    used = blocks.select("project", F.explode("uris").alias("name")).where("name is not null").distinct()
-    held = manifest.select("project", F.col("uri").alias("name"))
+    listed = projects.select("project", F.explode("chapters").alias("name"), F.lit(1).alias("side"))
+    there = files.select("project", "name", F.lit(2).alias("side"))
+    used = blocks.select("project", F.explode("uris").alias("name"), F.lit(1).alias("side")).where("name is not null")
+    held = manifest.select("project", F.col("uri").alias("name"), F.lit(2).alias("side"))
+    # Both sides are summed by name: a join would send one around if its size before the lists are taken apart looks small.
+    sides = lambda a, b: a.unionByName(b).groupBy("project", "name").agg(F.min("side").alias("least"), F.max("side").alias("most"))
     issue = lambda df, severity, what: df.select("project", F.lit(severity).alias("severity"), F.lit(what).alias("what"), "name")
-    out = issue(listed.join(there, ["project", "name"], "left_anti"), "error", "no file")
-    out = out.unionByName(issue(there.join(listed, ["project", "name"], "left_anti"), "warning", "not in order"))
-    return out.unionByName(issue(used.join(held, ["project", "name"], "left_anti"), "warning", "not in manifest"))
+    known = F.col("project").isNotNull() & F.col("name").isNotNull()
+    chapters = sides(listed, there).where((F.col("least") == F.col("most")) | ~known)
+    lacking = F.explode(F.array_compact(F.array(F.when(F.col("least") == 1, F.struct(F.lit("error"), F.lit("no file"))), F.when(F.col("most") == 2, F.struct(F.lit("warning"), F.lit("not in order"))))))
+    out = chapters.select("project", lacking.alias("i"), "name").select("project", F.col("i.col1").alias("severity"), F.col("i.col2").alias("what"), "name")
+    sources = sides(used, held).where((F.col("least") == 1) & ((F.col("most") == 1) | ~known))
+    return out.unionByName(issue(sources, "warning", "not in manifest"))

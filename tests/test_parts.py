@@ -176,3 +176,18 @@ def test_states_stay_linear(spark, tmp_path):
     on = [e for e in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in e]
     assert len(on) == 3 and all("_custkey" in e or "__key" in e for e in on)
     assert {tuple(r) for r in found.collect()} == {(o * 7 % 20000, o, None if o * 7 % 20000 % 4 == 0 else o % 400 % 30 == o * 7 % 20000 % 30) for o in range(1000)}
+
+
+def test_issues_without_broadcast(spark):
+    """Lists that are small before they are taken apart are never sent around."""
+    ids = spark.range(3).selectExpr("id AS project")
+    projects = ids.selectExpr("project", "array('a', 'b', 'b', NULL) AS chapters")
+    files = ids.where("project > 0").selectExpr("project", "explode(array('b', 'c', 'c', NULL)) AS name")
+    blocks = ids.selectExpr("project", "array('u', 'v', 'v', NULL) AS uris")
+    manifest = ids.where("project < 2").selectExpr("project", "explode(array('v', 'w')) AS uri")
+    got = listings.project_issues(projects, files, blocks, manifest)
+    want = [(p, "error", "no file", n) for p in range(3) for n in ("a", "b", None) if n != "b" or p == 0]
+    want += [(p, "warning", "not in order", n) for p in (1, 2) for n in ("c", None)]
+    want += [(p, "warning", "not in manifest", n) for p in range(3) for n in ("u", "v") if n == "u" or p == 2]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
