@@ -35,6 +35,22 @@ def test_components(spark):
     assert images.components(df.limit(0)).count() == 0
 
 
+def test_components_over_tiles(spark, monkeypatch):
+    """Snakes, combs and spirals over many tiles, places below zero, and images by name; rounds don't grow with a snake's length."""
+    r = random.Random(4)
+    snake = {(x, y) for y in range(-40, 40, 4) for x in range(-150, 150)} | {(149 if y // 4 % 2 else -150, y + k) for y in range(-40, 36, 4) for k in range(4)}
+    comb = {(x, 0) for x in range(600)} | {(x, y) for x in range(0, 600, 2) for y in range(3)}
+    noise = {(r.randrange(-300, 300), r.randrange(500, 620)) for _ in range(30000)}
+    grids = {"snake": snake, "comb": comb, "noise": noise, "far": {(2**40, 2**41), (2**40 + 1, 2**41 - 1), (0, 0)}}
+    rows = [(k, x, y) for k, cells in grids.items() for x, y in cells]
+    rounds = []
+    kept = images.checkpointed
+    monkeypatch.setattr("lakewright.plans.graph.checkpointed", lambda df: rounds.append(1) or kept(df))
+    got = sorted(map(tuple, images.components(spark.createDataFrame(rows, "image_id string, x long, y long")).collect()))
+    assert got == sorted((k, *c) for k, cells in grids.items() for c in flood(cells))
+    assert len(rounds) < 24
+
+
 def test_selector_children():
     root = html.Tree('<ul><li id="a"><a class="x">1</a><b><a>2</a></b></li></ul><a>3</a>').root
     texts = lambda s: [x.children[0] for x in html.select(root, s)]
