@@ -62,3 +62,18 @@ def test_turns(spark):
         got = {(x["run"], x["at"]): (x["phase"], x["awaiting"], x["failures"], x["step"], x["checkpoints"], x["legal"]) for x in machines.run_turns(df, "run", ["at"], "event", most, cap).collect()}
         assert got == {(k, i): s for k, events in runs.items() for i, s in enumerate(simulate(events, most, cap))}
     assert machines.run_turns(df.limit(0), "run", ["at"], "event").count() == 0
+
+
+def test_cut_runs(spark, monkeypatch):
+    """Runs of more than a chunk are cut, and give what they give whole; a run of another size beside them doesn't change."""
+    from lakewright.plans import scan
+
+    monkeypatch.setattr(scan, "CHUNK", 400)
+    monkeypatch.setattr(scan, "SAMPLE", 100)
+    r = random.Random(5)
+    runs = {"long": likely(r, 3000), None: likely(r, 900), "short": likely(r, 200), "noise": [r.choice(EVENTS) for _ in range(1500)]}
+    df = spark.createDataFrame([(k, i, e, {"x": "y"}) for k, events in runs.items() for i, e in enumerate(events)], SCHEMA)
+    assert scan.chunked(df, ["run"], ["at"])[0].select("run", "__chunk").distinct().count() > 12
+    for most, cap in ((300, 3), (5, 1)):
+        got = {(x["run"], x["at"]): (x["phase"], x["awaiting"], x["failures"], x["step"], x["checkpoints"], x["legal"]) for x in machines.run_turns(df, "run", ["at"], "event", most, cap).collect()}
+        assert got == {(k, i): s for k, events in runs.items() for i, s in enumerate(simulate(events, most, cap))}
