@@ -126,6 +126,22 @@ def test_shelves(spark):
     assert atlas.shelves(df.limit(0), "atlas", F.lit(64)).count() == 0
 
 
+def test_cut_shelves(spark, monkeypatch):
+    """Atlases of more than a chunk are cut, and give what they give whole."""
+    from lakewright.plans import scan
+
+    monkeypatch.setattr(scan, "CHUNK", 150)
+    monkeypatch.setattr(scan, "SAMPLE", 50)
+    r = random.Random(7)
+    books = {"long": [(s, r.randint(1, 30), r.randint(1, 20)) for s in range(1500)], "flat": [(s, r.randint(1, 3), 1) for s in range(900)], "wide": [(s, r.randint(1, 80), r.randint(1, 3)) for s in range(400)], "short": [(s, 5, 5) for s in range(60)]}
+    df = spark.createDataFrame([(k, s, w, h) for k, v in books.items() for s, w, h in v], "atlas string, sprite long, w int, h int")
+    for side in (64, 400):
+        got = {(x["atlas"], x["sprite"]): (x["x"], x["y"], x["fits"]) for x in atlas.shelves(df, "atlas", F.lit(side)).collect()}
+        for k, v in books.items():
+            places, fits = plain_shelves(v, side)
+            assert {s: got[(k, s)] for s in places} == {s: (*p, fits) for s, p in places.items()}
+
+
 def test_composited(spark):
     r = random.Random(4)
     rows = [(p, n, *(r.randrange(256) for _ in range(3)), r.choice((0, 0, 1, 40, 200, 255))) for p in range(40) for n in range(r.randint(1, 6))]
