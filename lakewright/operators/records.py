@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakewright.functions import scalars as S
 from lakewright.operators.joins import first_of_each
+from lakewright.plans.scan import begins, chunked, sorted_groups, whole
 from lakewright.session import checkpointed
 
 
@@ -46,14 +50,56 @@ def update_where_known(df: DataFrame, key: str, known: DataFrame, value: str) ->
     return out.withColumn(value, F.when(F.col("__known"), F.col("__v")).otherwise(F.col(value))).drop("__k", "__v", "__known")
 
 
+def _claims(group: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of sorted groups the offers that are taken when keys take turns."""
+
+    def claims(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, first in whole(batches, [group]):
+            turns, starts = begins(rows, [group, "key"]).tolist(), set(first.tolist())
+            item, bare = rows.column("item").to_pylist(), rows.column("__bare").to_pylist()
+            taken, kept = set(), []
+            for i, end in zip(turns, [*turns[1:], rows.num_rows], strict=True):
+                if i in starts:
+                    taken = set()
+                places = range(i, end)
+                if bare[end - 1]:  # offers without a priority come first, if the item has none with one
+                    known = {item[k] for k in places if not bare[k]}
+                    places = [k for k in places if bare[k] and item[k] not in known] + [k for k in places if not bare[k]]
+                for k in places:
+                    if item[k] not in taken:
+                        taken.add(item[k])
+                        kept.append(k)
+                        break
+            yield from rows.select([group, "key", "item"]).take(pa.array(kept, pa.int64())).to_batches()
+
+    return claims
+
+
 def greedy_claim(offers: DataFrame, group: str) -> DataFrame:
     """(group, key, item) from offers (group, key, item, priority): keys in order take their best item that no earlier key has taken.
 
-    By deferred acceptance: every key asks for its best item, an item keeps the smallest key that asks, and those that it sends
-    away ask for their next best, until nobody is sent away. As all items rank the keys alike, that ends where taking turns
-    does. A round is a sum by item, and a key's own offers are all that is ever ordered together, so a group of any size is
-    spread. Offers with a null key or item are left out; of a key's equal offers one counts. The rounds are at most the offers."""
-    best = offers.where("key is not null and item is not null").groupBy(group, "key", "item").agg(F.min("priority").alias("priority"))
+    A group is sorted and its keys take turns, in one task. One too large for that (``plans.scan``) goes by deferred acceptance: every key
+    asks for its best item, an item keeps the smallest key that asks, and those that it sends away ask for their next best, until
+    nobody is sent away. As all items rank the keys alike, that ends where taking turns does. A round is a sum by item, and a key's own
+    offers are all that is ever ordered together. Offers with a null group, key or item are left out; of a key's equal offers one counts."""
+    given = offers.where(f"`{group}` is not null and key is not null and item is not null").select(group, "key", "item", "priority")
+    dealt, large = chunked(given, [group], ["key", "item"])
+    if not large:
+        return _by_turns(given, group)
+    cut = dealt.groupBy(F.col(group).alias("__b")).agg(F.max("__chunk").alias("__most")).where("__most > 0").select("__b")
+    same = F.col(group).eqNullSafe(F.col("__b"))
+    small = given.join(F.broadcast(cut), same, "left_anti")
+    return _by_turns(small, group).unionByName(_deferred(given.join(F.broadcast(cut), same, "left_semi"), group))
+
+
+def _by_turns(offers: DataFrame, group: str) -> DataFrame:
+    kinds = dict(offers.dtypes)
+    rows = sorted_groups(offers.select(group, "key", "item", "priority", F.col("priority").isNull().alias("__bare")), [group], ["key", F.asc_nulls_last("priority"), "item"]).drop("priority")
+    return rows.mapInArrow(_claims(group), f"`{group}` {kinds[group]}, key {kinds['key']}, item {kinds['item']}")
+
+
+def _deferred(offers: DataFrame, group: str) -> DataFrame:
+    best = offers.groupBy(group, "key", "item").agg(F.min("priority").alias("priority"))
     place = F.row_number().over(Window.partitionBy(group, "key").orderBy("priority", "item"))
     ranked = checkpointed(best.select(group, "key", "item", place.alias("place")))
     asking = ranked.select(group, "key").distinct().withColumn("place", F.lit(1))

@@ -151,6 +151,35 @@ def test_greedy_claim(spark):
     assert sorted(map(tuple, got.collect())) == want
 
 
+def test_claims_of_large_groups(spark, monkeypatch):
+    """Small groups take turns in a task, without a checkpoint of their offers; a large one beside them gives what turns give."""
+    from lakewright.plans import scan
+
+    draw = random.Random(8)
+    # A key gives an item no priority or some, and of equal offers the least known one counts.
+    offers = [(g, k, draw.randrange(9), draw.choice((None, 0, 1, 2, 3))) for g, n in (("a", 300), ("b", 12), ("c", 5)) for k in range(n) for _ in range(4)]
+    offers += [(None, 1, 1, 1), ("b", None, 1, 1), ("b", 1, None, 1)]
+    want = []
+    for g, n in (("a", 300), ("b", 12), ("c", 5)):
+        taken = set()
+        for k in range(n):
+            best = {}
+            for _, _, i, p in (o for o in offers if o[:2] == (g, k) and o[2] is not None):
+                best.setdefault(i, []).append(p)
+            ranked = sorted((min([p for p in ps if p is not None], default=-1), i) for i, ps in best.items() if i not in taken)
+            if ranked:
+                taken.add(ranked[0][1])
+                want.append((g, k, ranked[0][1]))
+    df = spark.createDataFrame(offers, "g string, key int, item int, priority int")
+    assert sorted(map(tuple, records.greedy_claim(df, "g").collect())) == want
+    monkeypatch.setattr(scan, "CHUNK", 200)
+    monkeypatch.setattr(scan, "SAMPLE", 50)
+    assert sorted(map(tuple, records.greedy_claim(df, "g").collect())) == want
+    made = []
+    monkeypatch.setattr(records, "checkpointed", lambda d: made.append(d) or d)
+    assert sorted(map(tuple, records.greedy_claim(df.where("g <> 'a'"), "g").collect())) == [w for w in want if w[0] != "a"] and not made
+
+
 def test_custom_order(spark):
     df = spark.createDataFrame([("z", 1), ("b", 2), ("a", 9), ("b", 1), (None, 0)], "tag string, n int")
     assert [tuple(r) for r in records.ordered_by_custom(df, "tag", ["b", "a"], "n").collect()][:3] == [("b", 1), ("b", 2), ("a", 9)]
