@@ -25,6 +25,27 @@ def test_random(spark):
         assert found == want
 
 
+def test_what_is_kept(spark, monkeypatch):
+    """A path of 40 nodes beside a wide layer: tables that were replaced are gone, and edges are written no more than a few times."""
+    kept, made = [], []
+
+    class Counted(graph.Written):
+        def __init__(self, df):
+            super().__init__(df)
+            kept.append(self)
+            made.append(df.columns)
+
+        def drop(self):
+            super().drop()
+            kept.remove(self)
+
+    monkeypatch.setattr(graph, "Written", Counted)
+    edges = [(k, k + 1) for k in range(40)] + [(1000 + k, 5000) for k in range(200)]
+    got = {r["node"]: r["level"] for r in graph.levels(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == {k: k for k in range(41)} | {1000 + k: 0 for k in range(200)} | {5000: 1}
+    assert len(kept) < 20 and sum(c == ["src", "dst"] for c in made) < 9
+
+
 def test_million_edges(spark):
     """A layered graph of a million edges."""
     edges = spark.range(1_000_000).selectExpr("id % 5 * 20000 + id % 19997 as src", "(id % 5 + 1) * 20000 + (id * 31 + id div 7) % 19993 as dst")
